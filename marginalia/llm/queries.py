@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from marginalia.llm import decontamination
 from marginalia.llm.packing import op10_packing
 
 QUERIES = {
+    "op3_decontamination": decontamination.op3_decontamination,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontamination.ORACLE_SQL,
+}
