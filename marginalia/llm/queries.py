@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from marginalia.llm import decontamination
+from marginalia.llm import decontamination, line_dedup
 from marginalia.llm.packing import op10_packing
 
 QUERIES = {
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op3_decontamination": decontamination.ORACLE_SQL,
 }
