@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marginalia.llm import decontamination, line_dedup
+from marginalia.llm import decontamination, line_dedup, quality
 from marginalia.llm.packing import op10_packing
 
 QUERIES = {
+    "op7_quality": quality.op7_quality,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op10_packing": op10_packing,
