@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marginalia.llm import decontamination, line_dedup, quality
+from marginalia.llm import decontamination, jaccard_join, line_dedup, quality
 from marginalia.llm.packing import op10_packing
 
 QUERIES = {
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op7_quality": quality.op7_quality,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op3_decontamination": decontamination.ORACLE_SQL,
 }
