@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marginalia.llm import decontamination, jaccard_join, line_dedup, quality
+from marginalia.llm import decontamination, jaccard_join, line_dedup, pii, quality
 from marginalia.llm.packing import op10_packing
 
 QUERIES = {
+    "op4_pii": pii.op4_pii,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op7_quality": quality.op7_quality,
     "op6_line_dedup": line_dedup.op6_line_dedup,
