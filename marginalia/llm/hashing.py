@@ -75,3 +75,47 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nda
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+class KeyTable:
+    """Open addressing in numpy: the position of each key in a sorted array, or -1."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.slots = np.full((1 << self.bits) + 64, -1, np.int32)
+        todo, step = np.arange(len(keys)), 0
+        slot = self._slot(keys)
+        while len(todo):
+            free = self.slots[slot[todo] + step] < 0
+            want = todo[free]
+            self.slots[slot[want] + step] = want  # of several keys for a slot the last stays
+            lost = self.slots[slot[todo] + step] != todo
+            todo = todo[lost]
+            step += 1
+            if step >= 64 and len(todo):
+                self.bits += 1
+                self.slots = np.full((1 << self.bits) + 64, -1, np.int32)
+                todo, step, slot = np.arange(len(keys)), 0, self._slot(keys)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self.keys) or not len(keys):
+            return out
+        todo, slot = None, self._slot(keys)
+        for step in range(64):
+            here = self.slots[slot + step]
+            hit = (self.keys[np.maximum(here, 0)] == keys) & (here >= 0)
+            if todo is None:
+                out[hit] = here[hit]
+            else:
+                out[todo[hit]] = here[hit]
+            more = ~hit & (here >= 0)
+            if not more.any():
+                break
+            todo = np.flatnonzero(more) if todo is None else todo[more]
+            keys, slot = keys[more], slot[more]
+        return out

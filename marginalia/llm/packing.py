@@ -138,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, tiers: t
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
         for batch in slices(batches):
-            ids, offsets = encoder(path).encode(batch.column(1).to_pylist(), end)
+            ids, offsets = encoder(path).encode(batch.column(1), end)
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
                 packer.add(doc_id, ids[offsets[k] : offsets[k + 1]])
             packer.pack()

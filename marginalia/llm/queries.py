@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marginalia.llm import decontamination, jaccard_join, line_dedup, pii, ppm, quality
+from marginalia.llm import decontamination, jaccard_join, line_dedup, pii, ppm, quality, wavelet
 from marginalia.llm.packing import op10_packing
 
 QUERIES = {
+    "op5_wavelet": wavelet.op5_wavelet,
     "op2_ppm": ppm.op2_ppm,
     "op4_pii": pii.op4_pii,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
