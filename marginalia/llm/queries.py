@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marginalia.llm import decontamination, jaccard_join, line_dedup, pii, ppm, quality, wavelet
+from marginalia.llm import decontamination, jaccard_join, line_dedup, metric_tree, pii, ppm, quality, wavelet
 from marginalia.llm.packing import op10_packing
 
 QUERIES = {
+    "op8_metric_tree": metric_tree.op8_metric_tree,
     "op5_wavelet": wavelet.op5_wavelet,
     "op2_ppm": ppm.op2_ppm,
     "op4_pii": pii.op4_pii,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_metric_tree": metric_tree.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op3_decontamination": decontamination.ORACLE_SQL,
