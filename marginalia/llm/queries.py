@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marginalia.llm import decontamination, jaccard_join, line_dedup, metric_tree, pii, ppm, quality, wavelet
+from marginalia.llm import decontamination, jaccard_join, line_dedup, metric_tree, pii, ppm, quality, suffix_dedup, wavelet
 from marginalia.llm.packing import op10_packing
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op8_metric_tree": metric_tree.op8_metric_tree,
     "op5_wavelet": wavelet.op5_wavelet,
     "op2_ppm": ppm.op2_ppm,
