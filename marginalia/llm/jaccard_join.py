@@ -3,8 +3,10 @@
 Sets whose sizes fall in one band, or in two bands next to each other, and whose similarity reaches the threshold
 differ in at most k features. The hashed feature domain is cut into n1 partitions, so that one of them holds at most
 `drop` differences; each partition is cut into n2 parts, and each way to leave out `drop` parts gives a signature.
-Similar sets share one. Sets that share signatures, directly or through others, meet once in a task, where the links
-between them are decided on the sets themselves.
+Similar sets share one. A sketch of each set, its counts in equal ranges of the hashed domain, bounds the difference
+of two sets from below and so drops most pairs that share a signature by chance, and no similar pair. Sets that are
+joined by what is left, directly or through others, meet in a task, where the links between them are decided on the
+sets themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import clean, materialise, mix, raw_text, shuffle_partitions, slices, table
+from marginalia.llm.common import clean, materialise, mix, ragged, raw_text, shuffle_partitions, slices, table
 from marginalia.llm.graph import components
 from marginalia.llm.hashing import shingle_sets
 
@@ -73,6 +75,27 @@ def set_id(features: np.ndarray) -> int:
     return max(1, int(total) >> 1)
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """Counts, up to 255, in 2 ** j equal ranges of the hash, about four features to a range."""
+    bits = min(14, max(5, (len(features) // 4).bit_length()))
+    counts = np.bincount((features >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def stack(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one matrix, longer ones folded to the length of the shortest."""
+    least = min(map(len, sketches))
+    return np.stack([np.frombuffer(x, np.uint8).reshape(least, -1).sum(axis=1, dtype=np.int32) for x in sketches])
+
+
+def may_link(rows: np.ndarray, size: np.ndarray, one: np.ndarray, one_size: int, num: int, den: int, full: bool) -> np.ndarray:
+    """Which of the sketched sets may be similar to one: their counts differ by no more than similar sets may. full: no count was cut at 255."""
+    if not full:
+        rows, one = np.minimum(rows, 255), np.minimum(one, 255)
+    apart = np.maximum(np.abs(rows - one).sum(axis=1), np.abs(size - one_size))
+    return (den + num) * apart <= (den - num) * (size + one_size)
+
+
 class Forest:
     def __init__(self, n: int):
         self.up = np.arange(n)
@@ -167,7 +190,7 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(*raw_text(batch.column(1)), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_id", "sketch"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Scheme(num, den, parts, drop)
@@ -193,10 +216,38 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
         ident = np.frombuffer(raw_text(blobs.column("ids"))[0], np.int64)
         order = np.lexsort((ident, sig))
         sig, ident = sig[order], ident[order]
-        new = np.concatenate(([True], np.diff(sig) != 0))
-        head = ident[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-        pair = np.unique(np.stack((head, ident), 1)[head != ident], axis=0) if (head != ident).any() else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
+        once = np.concatenate(([True], (np.diff(sig) != 0) | (np.diff(ident) != 0)))
+        sig, ident = sig[once], ident[once]
+        start = np.flatnonzero(np.concatenate(([True], np.diff(sig) != 0)))
+        length = np.diff(np.append(start, len(sig)))
+        start, length = start[length > 1], length[length > 1]
+        head = np.repeat(ident[start], length - 1)
+        pair = np.unique(np.stack((head, ident[ragged(start + 1, length - 1)]), 1), axis=0)
+        lists = {ident[s : s + n].tobytes() for s, n in zip(start[length > 2].tolist(), length[length > 2].tolist(), strict=True)}
+        members = [np.frombuffer(x, np.int64) for x in sorted(lists)]
+        return pa.table({"a": pa.array(pair[:, 0].tolist() + [None] * len(members), pa.int64()), "b": pa.array(pair[:, 1].tolist() + [None] * len(members), pa.int64()), "members": pa.array([None] * len(pair) + members, pa.list_(pa.int64()))})
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, n, y, m = (c.to_pylist() for c in batch.columns)
+            keep = [bool(may_link(s[:1], np.array([q]), s[1], r, num, den, max(q, r) < 255)[0]) for s, q, r in ((stack([u, v]), q, r) for u, v, q, r in zip(x, y, n, m, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(a, keep, strict=True) if k], pa.int64()), pa.array([i for i, k in zip(b, keep, strict=True) if k], pa.int64())], ["a", "b"])
+
+    def across(group: pa.Table) -> pa.Table:
+        """Pairs of different components in one group that may be similar, until they are joined."""
+        top = group.column("root").to_numpy()
+        size = group.column("n_shingles").to_numpy()
+        rows = stack(group.column("sketch").to_pylist())
+        forest, place = Forest(len(top)), {r: i for i, r in reversed(list(enumerate(top.tolist())))}
+        for i, r in enumerate(top.tolist()):
+            forest.join(i, place[r])
+        pairs = []
+        for i in range(1, len(top)):
+            for j in np.flatnonzero(may_link(rows[:i], size[:i], rows[i], int(size[i]), num, den, int(size.max()) < 255)).tolist():
+                if forest.root(i) != forest.root(j):
+                    forest.join(i, j)
+                    pairs.append((int(top[i]), int(top[j])))
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
 
     def decide(found: pa.Table) -> pa.Table:
         sets = shingle_sets(*raw_text(found.column("text")), words)
@@ -212,13 +263,25 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
             top += [ids[k] for k in linked([members[k] for k in ids], num, den)]
         return pa.table({"set_id": pa.array(node, pa.int64()), "top": pa.array(top, pa.int64())})
 
-    base = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, set_id long"), "sets")
-    near = rows.mapInArrow(sign, "shard int, sigs binary, ids binary").groupBy("shard").applyInArrow(meet, "a long, b long")
-    near = components(near).select(F.col("node").alias("set_id"), "root")
-    picked = base.where(F.col("set_id") != EMPTY_ID).groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(near, "set_id")
+    base = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, set_id long, sketch binary"), "sets")
+    shared = materialise(rows.mapInArrow(sign, "shard int, sigs binary, ids binary").groupBy("shard").applyInArrow(meet, "a long, b long, members array<long>"), "shared")
+    known = base.where(F.col("set_id") != EMPTY_ID).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    known = materialise(known, "known")
+    left, right = known.select(F.col("set_id").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("n")), known.select(F.col("set_id").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("m"))
+    edges = shared.where("a is not null").select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "n", "y", "m").mapInArrow(close, "a long, b long")
+    once = components(edges).select(F.col("node").alias("set_id"), "root")
+
+    # A group's sets that aren't in one component yet are compared with each other.
+    lists = shared.where("members is not null").select("members").distinct().withColumn("group", F.xxhash64("members"))
+    spread = lists.select("group", F.explode("members").alias("set_id")).join(once, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    spread = materialise(spread, "spread")
+    open_groups = spread.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("group")
+    more = spread.join(open_groups, "group").join(known.select("set_id", "sketch", "n_shingles"), "set_id").groupBy("group").applyInArrow(across, "a long, b long").distinct()
+    near = components(once.select(F.col("set_id").alias("a"), F.col("root").alias("b")).unionByName(more)).select(F.col("node").alias("set_id"), "root")
+    picked = known.select("set_id", "doc_id").join(near, "set_id")
     texts = rows.join(picked, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(4 * shards)))
     tops = texts.groupBy("bucket").applyInArrow(decide, "set_id long, top long").distinct()
-    placed = base.join(tops, "set_id", "left").withColumn("top", F.coalesce("top", "set_id"))
+    placed = base.drop("sketch").join(tops, "set_id", "left").withColumn("top", F.coalesce("top", "set_id"))
     placed = materialise(placed, "placed")
     first = placed.where(F.col("set_id") != EMPTY_ID).groupBy("top").agg(F.min("doc_id").alias("component_id"))
     return placed.join(first, "top", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
