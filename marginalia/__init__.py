@@ -1,0 +1 @@
+"""Learning and content analytics as Spark DataFrame operators."""
