@@ -42,7 +42,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
 
     A document's word is hit when it lies inside an occurrence of a benchmark window. Null texts have no words; a
     null doc_id stays null; repeated rows are reported one by one; an empty benchmark hits nothing and an empty
-    table gives no rows; items without words and null item ids are passed over. Only doc_id, text, item_id and text
+    table gives no rows; items without words are passed over; the windows of a null item id hit words, but it is listed as no item. Only doc_id, text, item_id and text
     of the inputs are read, so other columns can't clash.
     """
     stride = (window + 1) // 2

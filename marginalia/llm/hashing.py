@@ -68,10 +68,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nda
         if b - a >= size:
             out.append(np.unique(rolled[a : b - size + 1]))
         elif b > a:
-            one = h[a]
+            one = h[a : a + 1]
             for k in range(a + 1, b):
-                one = mix(np.array([one * BASE + h[k]]))[0]
-            out.append(np.array([mix(np.array([one + np.uint64(b - a)]))[0]]))
+                one = mix(one * BASE + h[k])
+            out.append(mix(one + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -184,13 +184,14 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
     for no minimum, and is the id only of a component that has no other. An empty table gives no rows. Only doc_id and text are read.
     """
     shards = shuffle_partitions(docs.sparkSession)
-    rows = clean(docs)
+    # A row's key is its id, or without one a hash of its text; rows that share a key are told apart by their sets.
+    rows = clean(docs).withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
     parts, drop = scheme
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(*raw_text(batch.column(1)), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_id", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), batch.column(2)], ["doc_id", "n_shingles", "set_id", "sketch", "row"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Scheme(num, den, parts, drop)
@@ -263,9 +264,9 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
             top += [ids[k] for k in linked([members[k] for k in ids], num, den)]
         return pa.table({"set_id": pa.array(node, pa.int64()), "top": pa.array(top, pa.int64())})
 
-    base = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, set_id long, sketch binary"), "sets")
+    base = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, set_id long, sketch binary, row long"), "sets")
     shared = materialise(rows.mapInArrow(sign, "shard int, sigs binary, ids binary").groupBy("shard").applyInArrow(meet, "a long, b long, members array<long>"), "shared")
-    known = base.where(F.col("set_id") != EMPTY_ID).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    known = base.where(F.col("set_id") != EMPTY_ID).groupBy("set_id").agg(F.min("row").alias("row"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     known = materialise(known, "known")
     left, right = known.select(F.col("set_id").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("n")), known.select(F.col("set_id").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("m"))
     edges = shared.where("a is not null").select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "n", "y", "m").mapInArrow(close, "a long, b long")
@@ -278,10 +279,10 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
     open_groups = spread.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("group")
     more = spread.join(open_groups, "group").join(known.select("set_id", "sketch", "n_shingles"), "set_id").groupBy("group").applyInArrow(across, "a long, b long").distinct()
     near = components(once.select(F.col("set_id").alias("a"), F.col("root").alias("b")).unionByName(more)).select(F.col("node").alias("set_id"), "root")
-    picked = known.select("set_id", "doc_id").join(near, "set_id")
-    texts = rows.join(picked, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(4 * shards)))
+    picked = known.select("set_id", "row").join(near, "set_id")
+    texts = rows.join(picked, "row").withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(4 * shards)))
     tops = texts.groupBy("bucket").applyInArrow(decide, "set_id long, top long").distinct()
-    placed = base.drop("sketch").join(tops, "set_id", "left").withColumn("top", F.coalesce("top", "set_id"))
+    placed = base.drop("sketch", "row").join(tops, "set_id", "left").withColumn("top", F.coalesce("top", "set_id"))
     placed = materialise(placed, "placed")
     first = placed.where(F.col("set_id") != EMPTY_ID).groupBy("top").agg(F.min("doc_id").alias("component_id"))
     return placed.join(first, "top", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

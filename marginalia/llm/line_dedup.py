@@ -97,7 +97,10 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, text_col: str = "text", i
     groups = shards = shuffle_partitions(spark)
     own = ["n_lines", "n_dropped", "kept_sha256"]
     kept = docs.drop(*[c for c in docs.columns if c in own])
-    dealt = kept.withColumn("_group", F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int"))
+    place = "_group"
+    while place in kept.columns:
+        place += "_"
+    dealt = kept.withColumn(place, F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -111,7 +114,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, text_col: str = "text", i
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.array(g, pa.int32()), pa.array(d, pa.int64())], ["h1", "h2", "_group", "doc"])
 
     asked = (
-        dealt.select("_group", F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+        dealt.select(F.col(place).alias("_group"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
         .mapInArrow(keys, "h1 long, h2 long, _group int, doc long")
         .groupBy("h1", "h2", "_group")
         .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
@@ -157,7 +160,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, text_col: str = "text", i
         return texts.append_column("n_lines", pa.array(n_lines, pa.int64())).append_column("n_dropped", pa.array(n_dropped, pa.int64())).append_column("kept_sha256", pa.array(digest, pa.string()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + extra
-    return dealt.groupBy("_group").cogroup(answers.groupBy("_group")).applyInArrow(edit, fields)
+    return dealt.groupBy(place).cogroup(answers.groupBy("_group")).applyInArrow(edit, fields)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

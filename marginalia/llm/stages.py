@@ -22,11 +22,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates (five-word shingles, similarity 0.8 or more); of repeated rows one; null ids always stay."""
+    """The first document of each group of near duplicates (five-word shingles, similarity 0.8 or more); of rows that repeat both id and text one; a null id is never grouped away."""
     groups = jaccard_join.cluster(docs, words=5, num=80, den=100)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    mark = "_text"
+    while mark in docs.columns:
+        mark += "_"
+    return kept.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
