@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +17,6 @@ from marginalia.llm.hashing import LOWER, KeyTable, prefix_sums, range_hash, wor
 ORDER = 5
 #: Symbols are bytes and one boundary, which pads a text's first contexts and ends it.
 BOUNDARY, BITS, SYMBOLS = 256, 9, 257
-#: The model's size: counts of all contexts are gathered from the whole corpus, and the trie keeps at most so many nodes, the most frequent.
-MAX_NODES = 2_000_000
 #: The words looked up in memory; the rest are looked up by a join.
 HOT_WORDS = 500_000
 #: The hash of the end token, which no word has.
@@ -63,9 +61,9 @@ class Tally:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, weight: int = 1) -> None:
         found, counts = np.unique(keys, return_counts=True)
-        self.parts.append((found, counts.astype(np.int64)))
+        self.parts.append((found, counts.astype(np.int64) * weight))
         self.waiting += len(found)
         if self.waiting > MERGE_AT:
             self.parts = [self.total()]
@@ -134,55 +132,31 @@ class Trie:
         return out
 
 
-_TRIES: dict[str, tuple[Trie, KeyTable]] = {}
+def gather(docs: DataFrame) -> tuple[DataFrame, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """From the training rows: counts of all words (word, n), and of all grams of 1 and 2 symbols (at most SYMBOLS ** 2)."""
 
-
-def gather(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From the training rows: counts of all words (word, n), and of all byte grams of 3 symbols and more (size, gram, n)."""
-    shards = shuffle_partitions(docs.sparkSession)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-
-        def out() -> pa.RecordBatch:
-            keys, counts = tally.total()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "n"])
-
-        for batch in slices(batches):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, pairs = Tally(), np.zeros(1 << 2 * BITS, np.int64)
+        for batch in slices(batches, most=SCORE_BYTES):
+            pairs += np.bincount((_ends(batch) & np.uint64((1 << 2 * BITS) - 1)).astype(np.int64), minlength=len(pairs))
             raw, offsets = raw_text(batch.column(1))
             raw = LOWER[raw]
             starts, ends, _ = word_bounds(raw, offsets)
             tally.add(np.concatenate((range_hash(prefix_sums(raw), starts, ends), np.full(batch.num_rows, END_WORD))))
-        yield out()
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        for batch in slices(batches, most=SCORE_BYTES):
-            tally.add(_ends(batch))
         keys, counts = tally.total()
-        shard = mix(keys & np.uint64((1 << 3 * BITS) - 1)) % np.uint64(shards)
-        order = np.argsort(shard, kind="stable")
-        edge = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-        keys, counts = keys[order], counts[order]
-        full = np.flatnonzero(np.diff(edge))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([keys[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary()), pa.array([counts[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())], ["shard", "keys", "counts"])
+        held = np.flatnonzero(pairs)
+        is_word = np.concatenate((np.ones(len(keys), bool), np.zeros(len(held), bool)))
+        yield pa.RecordBatch.from_arrays([pa.array(is_word), pa.array(np.concatenate((keys.view(np.int64), held))), pa.array(np.concatenate((counts, pairs[held])))], ["is_word", "word", "n"])
 
-    def merge(blobs: pa.Table) -> pa.Table:
-        keys, counts = add_up(np.frombuffer(raw_text(blobs.column("keys"))[0], np.uint64), np.frombuffer(raw_text(blobs.column("counts"))[0], np.int64))
-        found = []
-        for size in range(ORDER + 1, 2, -1):
-            keys, counts = add_up(keys & np.uint64((1 << BITS * size) - 1), counts)
-            found.append((np.full(len(keys), size, np.int32), keys, counts))
-        return pa.table({"size": pa.array(np.concatenate([x for x, _, _ in found])), "gram": pa.array(np.concatenate([x for _, x, _ in found]).view(np.int64)), "n": pa.array(np.concatenate([x for _, _, x in found]))})
-
-    rows = clean(docs)
-    learnt = rows.where(crc_mod(10) != 0)
-    word = materialise(learnt.mapInArrow(words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    gram = materialise(learnt.mapInArrow(grams, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(merge, "size int, gram long, n long"), "grams")
-    return word, gram
+    learnt = clean(docs).where(crc_mod(10) != 0)
+    made = materialise(learnt.mapInArrow(count, "is_word boolean, word long, n long").groupBy("is_word", "word").agg(F.sum("n").alias("n")), "words")
+    pair = made.where("not is_word").orderBy("word").toArrow()
+    keys, n = pair.column("word").to_numpy().view(np.uint64), pair.column("n").to_numpy()
+    return made.where("is_word").select("word", "n"), {1: add_up(keys & np.uint64((1 << BITS) - 1), n), 2: (keys, n)}
 
 
 def _ends(batch: pa.RecordBatch) -> np.ndarray:
+    """The (ORDER + 1)-grams of a batch's texts, len(text) + 1 for each."""
     grams, first, last = symbols(*raw_text(batch.column(1)))
     keep = np.zeros(len(grams) + 1, np.int8)
     keep[first] += 1
@@ -190,27 +164,49 @@ def _ends(batch: pa.RecordBatch) -> np.ndarray:
     return grams[np.cumsum(keep[:-1]) > 0]
 
 
-def pruned(gram: DataFrame, most: int = MAX_NODES) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The most frequent grams, at most `most` of 3 symbols and more: those with a count from the least bound on that keeps so few; all of 1 and 2 symbols."""
-    level = F.floor(F.log2("n") * 8)
-    levels = gram.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # some 8 * 64 rows at most
-    total, least = 0, None
-    for r in levels:
-        if total + r["count"] > most:
-            break
-        total, least = total + r["count"], r["level"]
-    kept = gram.where(level >= least) if least is not None else gram.limit(0)
-    mask = F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1))
-    pairs = gram.where("size = 3").groupBy(mask.alias("gram")).agg(F.sum("n").alias("n")).select(F.lit(2).alias("size"), "gram", "n")
-    got = kept.unionByName(pairs).toArrow()
-    size, key, n = (got.column(c).to_numpy() for c in ("size", "gram", "n"))
-    out = {}
-    for s in np.unique(size).tolist():
-        order = np.argsort(key[size == s])
-        out[s] = key[size == s][order].view(np.uint64), n[size == s][order]
-    if 2 in out:
-        out[1] = add_up(out[2][0] & np.uint64((1 << BITS) - 1), out[2][1])
-    return out
+def gram_scores(dealt: DataFrame, short: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """place, keys and logs: log10 of the probability of each distinct (ORDER + 1)-gram of the texts of a place.
+
+    Each place sends its distinct grams with their counts in training rows, 0 for those of held-out rows alone, to
+    the shard of the last two symbols of their contexts. All contexts of two symbols and more that a gram's
+    probability depends on, with all their symbols, lie in that shard; the grams of 1 and 2 symbols are given.
+    """
+    shards = shuffle_partitions(dealt.sparkSession)
+    shared = dealt.sparkSession.sparkContext.broadcast(short)
+
+    def ask(texts: pa.Table) -> pa.Table:
+        tally = Tally()
+        for batch in slices(texts.select(["doc_id", "text", "held_out"]).to_batches(), most=SCORE_BYTES):
+            for held, weight in ((False, 1), (True, 0)):
+                part = batch.filter(pc.equal(batch.column(2), held))
+                if part.num_rows:
+                    tally.add(_ends(part), weight)
+        keys, counts = tally.total()
+        shard = mix(keys >> np.uint64(BITS) & np.uint64((1 << 2 * BITS) - 1)) % np.uint64(shards)
+        order = np.argsort(shard, kind="stable")
+        edge = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+        keys, counts = keys[order], counts[order]
+        full = np.flatnonzero(np.diff(edge))
+        place = np.full(len(full), texts.column("place")[0].as_py(), np.int32)
+        return pa.table({"place": place, "shard": pa.array(full, pa.int32()), "keys": pa.array([keys[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary()), "counts": pa.array([counts[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())})
+
+    def answer(asked: pa.Table) -> pa.Table:
+        raw, offsets = raw_text(asked.column("keys"))
+        sent = np.frombuffer(raw, np.uint64)
+        keys, counts = add_up(sent, np.frombuffer(raw_text(asked.column("counts"))[0], np.int64))
+        grams, n = dict(shared.value), counts[counts > 0]
+        known = keys[counts > 0]
+        for size in range(ORDER + 1, 2, -1):
+            known, n = add_up(known & np.uint64((1 << BITS * size) - 1), n)
+            grams[size] = known, n
+        trie = Trie(grams)
+        logs = np.concatenate([trie.log10(keys[i : i + SCORE_BYTES]) for i in range(0, len(keys), SCORE_BYTES)])
+        edges = (offsets // 8).tolist()
+        out = [logs[np.searchsorted(keys, sent[i:j])].tobytes() for i, j in zip(edges, edges[1:])]
+        return pa.table({"place": asked.column("place"), "keys": asked.column("keys"), "logs": pa.array(out, pa.binary())})
+
+    asked = dealt.groupBy("place").applyInArrow(ask, "place int, shard int, keys binary, counts binary")
+    return asked.groupBy("shard").applyInArrow(answer, "place int, keys binary, logs binary")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -220,29 +216,31 @@ def score(docs: DataFrame) -> DataFrame:
     the end token alone. A null doc_id is held out. Repeated rows count, and are scored, as often as they occur. With
     nothing to learn from, no token is known and every symbol is as likely as any other. An empty table gives no rows.
 
-    The frequent words' counts and the trie are bounded (HOT_WORDS, MAX_NODES) and broadcast; counts of rarer words
-    are joined to the places they occur at.
+    Rows are dealt to places, and each place asks once for each distinct byte gram, whose counts lie in shards. The
+    frequent words' counts are broadcast (HOT_WORDS); those of rarer words are joined to the places they occur at.
+    No count is left out of either model.
     """
     spark = docs.sparkSession
-    word, gram = gather(docs)
+    places = shuffle_partitions(spark)
+    word, short = gather(docs)
     n_train, vocabulary = word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     scale = math.log10(n_train + 0.1 * (vocabulary + 1))
     hot = word.orderBy(F.desc("n"), "word").limit(HOT_WORDS).toArrow()
     order = np.argsort(hot.column("word").to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast((hot.column("word").to_numpy().view(np.uint64)[order], hot.column("n").to_numpy()[order], pruned(gram)))
-    key = uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys, hot_counts, grams = shared.value
-        if key not in _TRIES:
-            _TRIES.clear()
-            _TRIES[key] = (Trie(grams), KeyTable(hot_keys))
-        trie, lookup = _TRIES[key]
-        logs = np.log10(hot_counts + 0.1)
-        for batch in slices(batches, most=SCORE_BYTES):
+    shared = spark.sparkContext.broadcast((hot.column("word").to_numpy().view(np.uint64)[order], hot.column("n").to_numpy()[order]))
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        hot_keys, hot_counts = shared.value
+        lookup, logs = KeyTable(hot_keys), np.log10(hot_counts + 0.1)
+        grams = KeyTable(np.frombuffer(raw_text(answers.column("keys"))[0], np.uint64))
+        gram_logs = np.frombuffer(raw_text(answers.column("logs"))[0], np.float64)
+        made, done = [], 0
+        for batch in slices(texts.select(["doc_id", "text", "place"]).to_batches(), most=SCORE_BYTES):
             raw, offsets = raw_text(batch.column(1))
-            every, first, last = symbols(raw, offsets)
-            p = np.append(trie.log10(every), 0.0)
+            at = grams.find(_ends(batch))
+            if (at < 0).any():
+                raise ValueError("a gram of the texts has no answer")
+            p = gram_logs[at]
             low = LOWER[raw]
             starts, ends, words = word_bounds(low, offsets)
             h = np.insert(range_hash(prefix_sums(low), starts, ends), words[1:], END_WORD)
@@ -251,19 +249,20 @@ def score(docs: DataFrame) -> DataFrame:
             part = np.where(at >= 0, logs[at] if len(logs) else 0.0, 0.0)
             seen = np.concatenate(([0], np.cumsum(at >= 0)))
             n = np.diff(words)
+            rows = (batch.column(2)[0].as_py() << 40) + done + np.arange(batch.num_rows)
+            done += batch.num_rows
             nil = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(2), nil, batch.column(0), pa.array(n), pa.array(seen[words[1:]] - seen[words[:-1]]), pa.array(np.add.reduceat(part, words[:-1])), pa.array(np.add.reduceat(p, np.stack((first, last), 1).ravel())[::2])],
-                ["row", "word", "doc_id", "n_tokens", "n_known", "part", "score"],
-            )
+            made.append([pa.array(rows), nil, batch.column(0), pa.array(n), pa.array(seen[words[1:]] - seen[words[:-1]]), pa.array(np.add.reduceat(part, words[:-1])), pa.array(np.add.reduceat(p, offsets[:-1] + np.arange(batch.num_rows)))])
             cold = np.flatnonzero(at < 0)
             if len(cold):
-                row = batch.column(2).to_numpy()[np.searchsorted(words, cold, "right") - 1]
+                row = rows[np.searchsorted(words, cold, "right") - 1]
                 nil, none = pa.nulls(len(cold), pa.int64()), pa.nulls(len(cold), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(h[cold].view(np.int64)), nil, nil, nil, none, none], ["row", "word", "doc_id", "n_tokens", "n_known", "part", "score"])
+                made.append([pa.array(row), pa.array(h[cold].view(np.int64)), nil, nil, nil, none, none])
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(x, ["row", "word", "doc_id", "n_tokens", "n_known", "part", "score"]) for x in made])
 
     schema = "row long, word long, doc_id long, n_tokens long, n_known long, part double, score double"
-    both = materialise(clean(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema), "scored")
+    dealt = clean(docs).withColumn("held_out", crc_mod(10) == 0).withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(places)).cast("int"))
+    both = materialise(dealt.groupBy("place").cogroup(gram_scores(dealt, short).groupBy("place")).applyInArrow(run, schema), "scored")
     rare = (
         both.where(F.col("word").isNotNull())
         .select("row", "word")

@@ -97,6 +97,26 @@ def test_ppm_is_a_probability():
         assert abs(p.sum() - 1) < 1e-9
 
 
+def test_ppm_keeps_rare_contexts(spark):
+    """Scores follow from the counts of all contexts, here 2.6 million grams of 3 to 6 symbols that mostly occur once."""
+    letters = np.frombuffer(bytes(range(48, 112)), np.uint8)
+    r = np.random.default_rng(7)
+    texts = [(i, bytes(letters[r.integers(0, 64, 80_000)]).decode()) for i in range(11)] + [(None, "AB")]
+    texts[10] = 10, texts[2][1][:50_000] + texts[3][1][:3000]
+    held = [i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in texts]
+    whole = []
+    for _, t in texts:
+        grams, first, last = ppm.symbols(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        whole.append(grams[first[0] : last[0]])
+    learnt = np.concatenate([g for g, out in zip(whole, held) if not out])
+    counts = {k: tuple(np.unique(learnt & np.uint64((1 << ppm.BITS * k) - 1), return_counts=True)) for k in range(1, ppm.ORDER + 2)}
+    assert sum(len(counts[k][0]) for k in range(3, 7)) > 2_000_000
+    trie = ppm.Trie(counts)
+    found = {r["doc_id"]: r["score"] for r in ppm.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for (i, _), grams in zip(texts, whole):
+        assert found[i] == pytest.approx(trie.log10(grams).sum(), rel=1e-9)
+
+
 def brute_windows(texts, bench):
     wins = defaultdict(set)
     for item, t in bench:
