@@ -45,7 +45,8 @@ def runs(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[
     # A gram is the least of some window if it is the greatest least hash of the windows that hold it.
     padded = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(len(h) - n, np.uint64)))
     chosen = np.flatnonzero(_slide(padded, width, np.maximum, np.uint64(0))[: len(h)] == h)
-    again = (np.diff(chosen) < width) & (h[chosen[1:]] == h[chosen[:-1]]) & (text[chosen[1:]] == text[chosen[:-1]])
+    # At a distance of width the window after the last that holds one use holds the next, so the run goes on.
+    again = (np.diff(chosen) <= width) & (h[chosen[1:]] == h[chosen[:-1]]) & (text[chosen[1:]] == text[chosen[:-1]])
     later = chosen[1:][again]
     double = np.zeros(len(start), bool)
     double[number[np.maximum(later - (width - 1), offsets[text[later]])]] = True

@@ -59,6 +59,26 @@ def test_suffix_dedup_keeps_the_first(spark):
     assert kept[1] == f"start {passage}" and len(kept[2]) < 10
 
 
+@pytest.mark.parametrize("window,gram,keep_first", [(40, 12, False), (40, 12, True), (200, 48, False)])
+def test_suffix_dedup_of_periods(spark, window, gram, keep_first):
+    """Lines repeated inside one document, of each period from gram to window + 2."""
+    r = np.random.default_rng(11)
+    prose = lambda n: bytes(r.integers(97, 123, n, np.uint8)).decode()
+    texts = [(p, prose(window) + (prose(p - 1) + "\n") * 5 + prose(window)) for p in range(gram, window + 3)]
+    seen = Counter(t[k : k + window] for _, t in texts for k in range(len(t) - window + 1))
+    rows, before = [], set()
+    for i, t in texts:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - window + 1):
+            w = t[k : k + window]
+            if w in before if keep_first else seen[w] > 1:
+                gone[k : k + window] = True
+            before.add(w)
+        rows.append((i, int(gone.sum()), sha("".join(c for c, g in zip(t, gone) if not g))))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert got(suffix_dedup.dedup(docs, window, gram, keep_first), "doc_id", "n_removed", "kept_sha256") == want(rows)
+
+
 def test_previous_and_next_agree_with_a_scan():
     rank = np.random.default_rng(1).integers(0, 9, 200)
     before, after = suffix_dedup.previous_and_next(rank)
