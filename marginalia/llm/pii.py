@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -25,8 +26,8 @@ HIT = re.compile(r"[0-9@]")
 BREAK = re.compile(r"\s")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-#: A run of chunks with digits or @ is decoded in pieces of at most so many tokens, cut between chunks where there is one.
-RUN_TOKENS = 96
+#: Features are turned into emissions so many tokens at a time; a run of chunks is decoded as a whole, however long.
+BATCH_TOKENS = 4096
 
 
 def luhn(digits: str) -> bool:
@@ -95,26 +96,25 @@ def shape(token: str) -> str:
     return token
 
 
-def token_features(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, ...]]:
+def token_features(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, ...]]:
     """The shapes of a token and its neighbours, whether they are joined or stand apart, and small facts on its chunk."""
     words = [text[a:b] for a, b in spans]
     shapes = ["<s>", "<s>", *map(shape, words), "</s>", "</s>"]
     glue = [*(i > 0 and spans[i - 1][1] == a for i, (a, _) in enumerate(spans)), False]
-    out, chunk, n = [], [0] * len(words), 0
+    chunk, n = [0] * len(words), 0
+    inside: dict[int, list[str]] = {}
     for i in range(len(words)):
         n += not glue[i]
         chunk[i] = n
+        inside.setdefault(n, []).append(shapes[i + 2])
     facts: dict[int, str] = {}
-    for c in set(chunk):
-        inside = [i for i in range(len(words)) if chunk[i] == c]
-        kinds = [shapes[i + 2] for i in inside]
+    for c, kinds in inside.items():
         facts[c] = f"{'@' in kinds}{any(k[0] in 'xX' for k in kinds)}{min(kinds.count('.'), 4)}{min(kinds.count('-'), 3)}"
     digits = sum(len(w) for w in words if w[0].isdigit())
     for i, w in enumerate(words):
         s = shapes[i : i + 5]
         byte = w[0].isdigit() and len(w) <= 3 and int(w) <= 255
-        out.append((f"s{s[2]}", f"p{s[1]}{glue[i]}", f"n{s[3]}{glue[i + 1]}", f"ps{s[1]}{glue[i]}{s[2]}", f"sn{s[2]}{glue[i + 1]}{s[3]}", f"pp{s[0]}{s[1]}{s[2]}", f"nn{s[2]}{s[3]}{s[4]}", f"f{facts[chunk[i]]}", f"sf{s[2]}{facts[chunk[i]]}", f"b{byte}{facts[chunk[i]]}", f"t{min(digits, 20)}{s[2]}"))
-    return out
+        yield (f"s{s[2]}", f"p{s[1]}{glue[i]}", f"n{s[3]}{glue[i + 1]}", f"ps{s[1]}{glue[i]}{s[2]}", f"sn{s[2]}{glue[i + 1]}{s[3]}", f"pp{s[0]}{s[1]}{s[2]}", f"nn{s[2]}{s[3]}{s[4]}", f"f{facts[chunk[i]]}", f"sf{s[2]}{facts[chunk[i]]}", f"b{byte}{facts[chunk[i]]}", f"t{min(digits, 20)}{s[2]}")
 
 
 @dataclass
@@ -199,7 +199,7 @@ def train(labelled: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 6
     for text, spans in labelled:
         for a, b in runs(text):
             at = tokens(text, a, b)
-            rows.append(token_features(text, at))
+            rows.append(list(token_features(text, at)))
             tag = np.zeros(len(at), np.int64)
             for kind, s, e in spans:
                 inside = [i for i, (x, y) in enumerate(at) if x >= s and y <= e]
@@ -264,20 +264,16 @@ def added_spans(model: Crf, texts: list[str], known: list[list[tuple[int, int, i
             if len(taken) == 1 and b - a <= taken[0][1] - taken[0][0] + 4:
                 continue  # nothing but a known span and its punctuation
             at = tokens(text, a, b)
-            while at:
-                n = len(at)
-                if n > RUN_TOKENS:
-                    cuts = [i for i in range(1, RUN_TOKENS + 1) if at[i - 1][1] < at[i][0]]
-                    n = cuts[-1] if cuts else RUN_TOKENS
+            if at:
                 where.append((d, taken))
-                spans.append(at[:n])
-                feats.append(token_features(text, at[:n]))
-                at = at[n:]
+                spans.append(at)
+                feats.append(token_features(text, at))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not feats:
         return out
-    ends = np.cumsum([len(f) for f in feats])
-    e = model.emissions([row for f in feats for row in f])
+    ends = np.cumsum([len(at) for at in spans])
+    rows = itertools.chain.from_iterable(feats)
+    e = np.concatenate([model.emissions(list(itertools.islice(rows, BATCH_TOKENS))) for _ in range(0, int(ends[-1]), BATCH_TOKENS)])
     for (d, taken), at, path in zip(where, spans, model.decode(np.split(e, ends[:-1])), strict=True):
         i = 0
         while i < len(path):

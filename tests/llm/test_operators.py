@@ -205,6 +205,17 @@ def test_pii(spark, nothing):
     assert pii.find(nothing).count() == 0
 
 
+def test_pii_in_long_runs():
+    """A number is found wherever it stands in a run of chunks with digits, however long the run is."""
+    model = pii.train(pii.examples())
+    phone = "(555) 123-4567"
+    for filler in ("12, ", "a1 "):
+        for pad in [*range(40, 110), 2000]:
+            text = filler * pad + phone + " " + filler * 3
+            at = len(filler) * pad
+            assert (3, at, at + len(phone)) in pii.added_spans(model, [text], [pii.base_spans(text)])[0], (filler, pad)
+
+
 def test_viterbi_is_the_best_path():
     model, r = pii.train(pii.examples(each=3), steps=5), np.random.default_rng(2)
     e = r.normal(size=(4, len(pii.LABELS)))
