@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: A group that meets in one task holds about so many bytes.
+GROUP_BYTES = 16 << 20
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -20,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    """A new folder under spark.checkpoint.dir or, where that is unset, under the context's checkpoint folder.
+
+    With neither, a folder of this machine will do on a local master; on a cluster executors would write apart, so
+    that is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='marginalia-')}")
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -39,6 +47,38 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def deals(spark: SparkSession, total_bytes: int, each: int = GROUP_BYTES) -> int:
+    """Into how many groups to deal data, so that each holds about `each` bytes; the shuffle setting at least."""
+    return max(shuffle_partitions(spark), -(-int(total_bytes or 0) // each))
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """UTF-8 bytes of all texts: one number, from one pass over the column."""
+    return docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+
+
+def by_key(batches: Iterable[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
+    """Tables of whole keys from batches that are sorted by `key`: as many keys together as make about `most` bytes."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0.0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        weight, begin = batch.nbytes / len(names), 0
+        heads = np.flatnonzero(names[1:] != names[:-1]) + 1
+        for cut in ([0] if held and names[0] != last else []) + heads.tolist():
+            if size + (cut - begin) * weight >= most:
+                held += [batch.slice(begin, cut - begin)] * (cut > begin)
+                yield pa.Table.from_batches(held)
+                held, size, begin = [], 0.0, cut
+        held.append(batch.slice(begin))
+        size += (len(names) - begin) * weight
+        last = names[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator works on; a null text counts as empty."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))

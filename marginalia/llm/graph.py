@@ -12,7 +12,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     """node and root (the smallest node it is connected with) for every node with an edge.
 
     Alternates large-star and small-star steps; each round's edges are written to the shared folder. Null ends and
-    loops are passed over; an empty table gives no rows.
+    loops are passed over; an empty table gives no rows. Edges that haven't settled after `rounds` are an error.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     now, before = materialise(now, "edges"), None
@@ -27,4 +27,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components haven't settled after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

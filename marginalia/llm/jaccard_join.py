@@ -5,8 +5,8 @@ differ in at most k features. The hashed feature domain is cut into n1 partition
 `drop` differences; each partition is cut into n2 parts, and each way to leave out `drop` parts gives a signature.
 Similar sets share one. A sketch of each set, its counts in equal ranges of the hashed domain, bounds the difference
 of two sets from below and so drops most pairs that share a signature by chance, and no similar pair. Sets that are
-joined by what is left, directly or through others, meet in a task, where the links between them are decided on the
-sets themselves.
+joined by what is left, directly or through others, are candidates of one component, and the links between them are
+decided on their differences to a reference set: in a task, or dealt over many if the component is large.
 """
 
 from __future__ import annotations
@@ -19,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import clean, materialise, mix, ragged, raw_text, shuffle_partitions, slices, table
+from marginalia.llm.common import SLICE_BYTES, by_key, clean, deals, materialise, mix, ragged, raw_text, slices, table
 from marginalia.llm.graph import components
 from marginalia.llm.hashing import shingle_sets
 
 EMPTY_ID = 0
+#: Shingles of a candidate component that is decided in one task.
+WHOLE = 1 << 18
+#: Sets that are compared with as many others in a task.
+BLOCK = 1024
 
 
 class Scheme:
@@ -106,9 +110,11 @@ class Forest:
             i = int(self.up[i])
         return i
 
-    def join(self, i: int, j: int) -> None:
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
         a, b = self.root(i), self.root(j)
         self.up[max(a, b)] = min(a, b)
+        return a != b
 
     def roots(self) -> np.ndarray:
         while True:
@@ -118,80 +124,116 @@ class Forest:
             self.up = up
 
 
+class Bound:
+    """Links told from differences to a reference set R: with D(x) the features that are in one of x and R alone,
+    x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| features, whatever R is.
+
+    weight(x) = (den + num) |D(x)| - (den - num) |x|. x and y are linked exactly when twice (den + num) times
+    |D(x) & D(y)| reaches weight(x) + weight(y); so always if that sum isn't positive.
+    """
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.twice = num, den, 2 * (den + num)
+
+    def weight(self, apart, size):
+        return (self.den + self.num) * apart - (self.den - self.num) * size
+
+    def overlapping(self, x: Deviations, y: Deviations, forest: Forest, x_at: np.ndarray, y_at: np.ndarray, bin_rows: int = 256) -> Iterator[tuple[int, int]]:
+        """Links between rows of x and of y that join what was apart in the forest, whose places are x_at and y_at."""
+        codes = np.unique(y.features)
+        place = np.searchsorted(codes, y.features)
+        order = np.argsort(place, kind="stable")
+        owners = np.repeat(np.arange(len(y.size)), np.diff(y.edges))[order]
+        first = np.searchsorted(place[order], np.arange(len(codes) + 1))
+        width = len(y.size)
+        for i in range(0, len(x.size), bin_rows):
+            j = min(i + bin_rows, len(x.size))
+            mine = x.features[x.edges[i] : x.edges[j]]
+            row = np.repeat(np.arange(j - i), np.diff(x.edges[i : j + 1]))
+            at = np.minimum(np.searchsorted(codes, mine), max(0, len(codes) - 1))
+            if not len(codes) or not len(mine):
+                continue
+            known = codes[at] == mine
+            at, row = at[known], row[known]
+            n = first[at + 1] - first[at]
+            cell = np.repeat(row * width, n) + owners[ragged(first[at], n)]
+            both = np.bincount(cell, minlength=(j - i) * width).reshape(j - i, width)
+            hit = (self.twice * both >= x.weight[i:j, None] + y.weight[None]) & (both > 0)
+            top = forest.roots()[y_at]
+            for a in np.flatnonzero(hit.any(axis=1)).tolist():
+                found = np.flatnonzero(hit[a])
+                for b in found[np.unique(top[found], return_index=True)[1]].tolist():  # one link for each of y's groups will do
+                    if forest.join(int(x_at[i + a]), int(y_at[b])):
+                        yield i + a, b
+
+
+class Deviations:
+    """Rows of sorted features (edges: where each row begins), with the set's size and weight."""
+
+    def __init__(self, features: np.ndarray, edges: np.ndarray, size: np.ndarray, weight: np.ndarray):
+        self.features, self.edges, self.size, self.weight = features, edges, size, weight
+
+    def take(self, rows: np.ndarray) -> Deviations:
+        n = np.diff(self.edges)[rows]
+        return Deviations(self.features[ragged(self.edges[rows], n)], np.concatenate(([0], np.cumsum(n))), self.size[rows], self.weight[rows])
+
+
+def majority(features: np.ndarray, n: int) -> np.ndarray:
+    """The features that more than half of n sets hold."""
+    values, count = np.unique(features, return_counts=True)
+    return values[2 * count > n]
+
+
+def deviate(sets: list[np.ndarray], base: np.ndarray, bound: Bound) -> Deviations:
+    rows = [np.setxor1d(s, base, assume_unique=True) for s in sets]
+    n = np.array([len(r) for r in rows], np.int64)
+    size = np.array([len(s) for s in sets], np.int64)
+    return Deviations(np.concatenate(rows) if rows else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum(n))), size, bound.weight(n, size))
+
+
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """For each set the smallest index of a set it is linked with, directly or through others. Exact.
 
-    The sets are written as differences from their consensus (features that more than half of them hold). By the
-    triangle inequality, two sets with small differences are linked without a look at them: one pass against the
-    best set joins them all. Any other link needs common differences; an index of each set's rarest ones finds those.
+    One pass joins all sets that the differences to the majority tell to be linked with the nearest set. What is left
+    needs common differences with a partner; differences of one set alone drop out, then the sets whose differences
+    can't suffice, and those that remain are counted against each other by an index of the differences.
     """
-    m, forest = len(sets), Forest(len(sets))
-    size = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(m), size)
-    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = count > m / 2
-    extra = ~common[code]
-    held = np.zeros(m, np.int64)
-    np.add.at(held, owner[~extra], 1)
-    n_common = int(common.sum())
-    far = n_common - held + np.bincount(owner[extra], minlength=m)
-    slack = (den - num) * size - (den + num) * far
-    best = int(slack.argmax())
-    for j in np.flatnonzero(slack + slack[best] >= 0).tolist():
-        if j != best and slack[best] >= -slack[j]:
-            forest.join(best, j)
-    need = -(slack + slack[best])  # 2 (num + den) times the overlap that any link of this set needs, if positive
-    group = forest.roots()
-    if (group == group[0]).all():
-        return group
-    ends = np.cumsum(size)
-    gone = None
-    rank = np.minimum(count, m - count)
-    diffs = []
-    all_common = np.flatnonzero(common)
-    for i in range(m):
-        mine = code[ends[i] - size[i] : ends[i]]
-        gone = np.setdiff1d(all_common, mine, assume_unique=True) if held[i] < n_common else np.zeros(0, np.int64)
-        d = np.concatenate((mine[~common[mine]], gone))
-        diffs.append(d[np.lexsort((d, rank[d]))])
-    plain = [np.sort(d) for d in diffs]
-    index: dict[int, list[int]] = {}
-    for i in np.argsort(size, kind="stable").tolist():
-        least = max(1, -(-int(need[i]) // (2 * (num + den))))
-        tried = set()
-        for f in diffs[i][: max(0, len(diffs[i]) - least + 1)].tolist():
-            posting = index.setdefault(f, [])
-            for j in posting:
-                if j in tried or den * size[j] < num * size[i]:
-                    continue
-                tried.add(j)
-                if forest.root(i) == forest.root(j):
-                    continue
-                apart = len(plain[i]) + len(plain[j]) - 2 * len(np.intersect1d(plain[i], plain[j], assume_unique=True))
-                both = int(size[i] + size[j])
-                if (den - num) * both >= (den + num) * apart:
-                    forest.join(i, j)
-            posting.append(i)
+    bound, forest = Bound(num, den), Forest(len(sets))
+    base = majority(np.concatenate(sets), len(sets))
+    all_rows = deviate(sets, base, bound)
+    best = int(all_rows.weight.argmin())
+    for j in np.flatnonzero(all_rows.weight + all_rows.weight[best] <= 0).tolist():
+        forest.join(best, j)
+    core = all_rows.weight + all_rows.weight[best] <= 0
+    core[best] = True
+    values, code, count = np.unique(all_rows.features, return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    owner = np.repeat(np.arange(len(sets)), np.diff(all_rows.edges))[shared]
+    held = np.bincount(owner, minlength=len(sets))
+    rows = Deviations(code[shared], np.concatenate(([0], np.cumsum(held))), all_rows.size, all_rows.weight)
+    room = bound.twice * held - rows.weight  # a partner's weight may be so high
+    open_rows = np.flatnonzero(~core & (held > 0) & (rows.weight <= room.max(initial=0)) & (rows.weight[best] <= room))
+    if not len(open_rows):
+        return forest.roots()
+    others = np.flatnonzero((held > 0) & (room >= rows.weight[open_rows].min()) & (rows.weight <= room[open_rows].max()))
+    for i in range(0, len(others), 2048):
+        part = others[i : i + 2048]
+        for _ in bound.overlapping(rows.take(open_rows), rows.take(part), forest, open_rows, part):
+            pass
     return forest.roots()
 
 
-def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, scheme: tuple[int, int] = (3, 1)) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs.
+def candidates(docs: DataFrame, base: DataFrame, words: int, num: int, den: int, scheme: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets (set_id, row, sketch, n_shingles), and set_id and root of those that signatures and sketches join.
 
-    Two documents are linked when den * |A & B| >= num * |A | B| for their sets of `words`-word shingles; a
-    component's id is its smallest doc_id. A text without words, or null, has no shingles and is linked with nothing:
-    its component_id is its own doc_id. Equal texts are linked, also when they are repeated rows; a null doc_id counts
-    for no minimum, and is the id only of a component that has no other. An empty table gives no rows. Only doc_id and text are read.
+    Similar sets always have one root; sets that aren't similar may have one too.
     """
-    shards = shuffle_partitions(docs.sparkSession)
-    # A row's key is its id, or without one a hash of its text; rows that share a key are told apart by their sets.
-    rows = clean(docs).withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
+    spark = docs.sparkSession
     parts, drop = scheme
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = shingle_sets(*raw_text(batch.column(1)), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), batch.column(2)], ["doc_id", "n_shingles", "set_id", "sketch", "row"])
+    total, count = base.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
+    plan = Scheme(num, den, parts, drop)
+    n1, left_out = plan.level(plan.band(300))
+    shards = deals(spark, 12 * (2 * n1 * plan.chosen[left_out].shape[1] / 300 * total + 8 * count))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Scheme(num, den, parts, drop)
@@ -213,6 +255,7 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([low[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary()), pa.array([ident[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())], ["shard", "sigs", "ids"])
 
     def meet(blobs: pa.Table) -> pa.Table:
+        """The first member of each signature with each other one, and the members of signatures of three and more."""
         sig = np.frombuffer(raw_text(blobs.column("sigs"))[0], np.uint32)
         ident = np.frombuffer(raw_text(blobs.column("ids"))[0], np.int64)
         order = np.lexsort((ident, sig))
@@ -224,64 +267,187 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
         start, length = start[length > 1], length[length > 1]
         head = np.repeat(ident[start], length - 1)
         pair = np.unique(np.stack((head, ident[ragged(start + 1, length - 1)]), 1), axis=0)
-        lists = {ident[s : s + n].tobytes() for s, n in zip(start[length > 2].tolist(), length[length > 2].tolist(), strict=True)}
-        members = [np.frombuffer(x, np.int64) for x in sorted(lists)]
-        return pa.table({"a": pa.array(pair[:, 0].tolist() + [None] * len(members), pa.int64()), "b": pa.array(pair[:, 1].tolist() + [None] * len(members), pa.int64()), "members": pa.array([None] * len(pair) + members, pa.list_(pa.int64()))})
+        start, length = start[length > 2], length[length > 2]
+        member = ident[ragged(start, length)]
+        edge = np.cumsum(length) - length
+        name = mix(np.add.reduceat(mix(member.view(np.uint64)), edge)) if len(edge) else np.zeros(0, np.uint64)
+        name, one = np.unique(name, return_index=True)  # the same members under several signatures count once
+        at = ragged(edge[one], length[one])
+        n = len(at)
+        return pa.table({"a": np.concatenate((pair[:, 0], np.zeros(n, np.int64))), "b": np.concatenate((pair[:, 1], member[at])), "group": pa.array(np.concatenate((np.zeros(len(pair), np.int64), np.repeat(name, length[one]).view(np.int64))), mask=np.arange(len(pair) + n) < len(pair))})
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, n, y, m = (c.to_pylist() for c in batch.columns)
+            x, n, y, m = (c.to_pylist() for c in batch.columns[2:])
             keep = [bool(may_link(s[:1], np.array([q]), s[1], r, num, den, max(q, r) < 255)[0]) for s, q, r in ((stack([u, v]), q, r) for u, v, q, r in zip(x, y, n, m, strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(a, keep, strict=True) if k], pa.int64()), pa.array([i for i, k in zip(b, keep, strict=True) if k], pa.int64())], ["a", "b"])
-
-    def across(group: pa.Table) -> pa.Table:
-        """Pairs of different components in one group that may be similar, until they are joined."""
-        top = group.column("root").to_numpy()
-        size = group.column("n_shingles").to_numpy()
-        rows = stack(group.column("sketch").to_pylist())
-        forest, place = Forest(len(top)), {r: i for i, r in reversed(list(enumerate(top.tolist())))}
-        for i, r in enumerate(top.tolist()):
-            forest.join(i, place[r])
-        pairs = []
-        for i in range(1, len(top)):
-            for j in np.flatnonzero(may_link(rows[:i], size[:i], rows[i], int(size[i]), num, den, int(size.max()) < 255)).tolist():
-                if forest.root(i) != forest.root(j):
-                    forest.join(i, j)
-                    pairs.append((int(top[i]), int(top[j])))
-        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
-
-    def decide(found: pa.Table) -> pa.Table:
-        sets = shingle_sets(*raw_text(found.column("text")), words)
-        wanted, roots = found.column("set_id").to_pylist(), found.column("root").to_pylist()
-        groups: dict[int, dict[int, np.ndarray]] = {}
-        for s, want, root in zip(sets, wanted, roots, strict=True):
-            if set_id(s) == want:
-                groups.setdefault(root, {})[want] = s
-        node, top = [], []
-        for members in groups.values():
-            ids = sorted(members)
-            node += ids
-            top += [ids[k] for k in linked([members[k] for k in ids], num, den)]
-        return pa.table({"set_id": pa.array(node, pa.int64()), "top": pa.array(top, pa.int64())})
-
-    base = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, set_id long, sketch binary, row long"), "sets")
-    shared = materialise(rows.mapInArrow(sign, "shard int, sigs binary, ids binary").groupBy("shard").applyInArrow(meet, "a long, b long, members array<long>"), "shared")
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of different roots in a cell that may be similar, until they are joined; within a block only in the block's own cell."""
+        for table in by_key(batches, "cell", SLICE_BYTES):
+            cell, top, size, block = (table.column(c).to_numpy() for c in ("cell", "root", "n_shingles", "block"))
+            sketches, edge = table.column("sketch").to_pylist(), np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+            pairs = []
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                at, names = np.unique(top[i:j], return_inverse=True)[::-1], top[i:j]
+                if names[0] == names[-1] and (names == names[0]).all():
+                    continue
+                rows, n, here, full = stack(sketches[i:j]), size[i:j], block[i:j], int(size[i:j].max()) < 255
+                other = (here != here[0]).any()
+                forest, group = Forest(int(at[0].max()) + 1), at[0]
+                for k in range(1, j - i):
+                    may = may_link(rows[:k], n[:k], rows[k], int(n[k]), num, den, full) & (group[:k] != group[k])
+                    if other:
+                        may &= here[:k] != here[k]
+                    for x in np.flatnonzero(may).tolist():
+                        if forest.join(int(group[k]), int(group[x])):
+                            pairs.append((int(names[k]), int(names[x])))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+
+    shared = materialise(docs.mapInArrow(sign, "shard int, sigs binary, ids binary").groupBy("shard").applyInArrow(meet, "a long, b long, group long"), "shared")
     known = base.where(F.col("set_id") != EMPTY_ID).groupBy("set_id").agg(F.min("row").alias("row"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     known = materialise(known, "known")
     left, right = known.select(F.col("set_id").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("n")), known.select(F.col("set_id").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("m"))
-    edges = shared.where("a is not null").select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "n", "y", "m").mapInArrow(close, "a long, b long")
+    edges = shared.where("group is null").select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "n", "y", "m").mapInArrow(close, "a long, b long")
     once = components(edges).select(F.col("node").alias("set_id"), "root")
 
-    # A group's sets that aren't in one component yet are compared with each other.
-    lists = shared.where("members is not null").select("members").distinct().withColumn("group", F.xxhash64("members"))
-    spread = lists.select("group", F.explode("members").alias("set_id")).join(once, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    # A group's sets that aren't in one component yet are compared with each other, a block with a block in each cell.
+    spread = shared.where("group is not null").select("group", F.col("b").alias("set_id")).distinct().join(once, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     spread = materialise(spread, "spread")
-    open_groups = spread.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("group")
-    more = spread.join(open_groups, "group").join(known.select("set_id", "sketch", "n_shingles"), "set_id").groupBy("group").applyInArrow(across, "a long, b long").distinct()
+    open_groups = spread.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low <> high").select("group", "blocks")
+    block = F.pmod(F.xxhash64("set_id"), "blocks")
+    cells = spread.join(open_groups, "group").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("set_id", "root", "block", F.xxhash64("group", F.least("block", "with"), F.greatest("block", "with")).alias("cell"))
+    more = cells.join(known.select("set_id", "sketch", "n_shingles"), "set_id").repartition("cell").sortWithinPartitions("cell").mapInArrow(across, "a long, b long").distinct()
     near = components(once.select(F.col("set_id").alias("a"), F.col("root").alias("b")).unionByName(more)).select(F.col("node").alias("set_id"), "root")
-    picked = known.select("set_id", "row").join(near, "set_id")
-    texts = rows.join(picked, "row").withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(4 * shards)))
-    tops = texts.groupBy("bucket").applyInArrow(decide, "set_id long, top long").distinct()
+    return known, near
+
+
+def links_within(texts: DataFrame, words: int, num: int, den: int, whole: int) -> DataFrame:
+    """a and b: links that connect the similar sets of candidate components that are too large for one task.
+
+    texts: set_id, root, total (shingles of the component), text. Rows are dealt by a salt beside the root, and what
+    all of a component's sets need (reference, nearest set, limits) is sent once for each salt. The reference is the
+    majority of a sample of about `whole` shingles; links are exact whatever it is (see Bound).
+    """
+    bound = Bound(num, den)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(*raw_text(batch.column(batch.schema.get_field_index("text"))), words)
+            keep = pa.array([set_id(s) == want for s, want in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["set_id", "root", "total", "features"]).filter(keep)
+
+    def reference(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = [b.column("features") for b in batches]
+        base = majority(np.concatenate([x.flatten().to_numpy() for x in lists]), sum(map(len, lists)))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([base.tolist()], pa.list_(pa.int64()))], ["root", "base"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_key(batches, "cell", SLICE_BYTES):
+            cell = table.column("cell").to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                part = table.slice(i, j - i).combine_chunks()
+                ids, names = np.unique(part.column("set_id").to_numpy(), return_inverse=True)
+                lists, weight = part.column("shared").combine_chunks(), part.column("weight").to_numpy()
+                edges = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+                rows = Deviations(lists.flatten().to_numpy(), edges, np.zeros(len(weight)), weight)
+                asks = part.column("asks").to_numpy(zero_copy_only=False)
+                x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+                pairs = [(ids[names[x[a]]], ids[names[y[b]]]) for a, b in bound.overlapping(rows.take(x), rows.take(y), Forest(len(ids)), names[x], names[y])]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in pairs], pa.int64()), pa.array([int(b) for _, b in pairs], pa.int64())], ["a", "b"])
+
+    salts = F.ceil(F.col("total") / whole)
+    feats = materialise(texts.select("set_id", "root", "total", "text").mapInArrow(describe, "set_id long, root long, total long, features array<long>"), "features")
+    salted = feats.withColumn("salt", F.pmod(F.xxhash64("set_id", F.lit(1)), salts))
+    sizes = feats.groupBy("root").agg(F.first("total").alias("total"))
+
+    def sent(few: DataFrame) -> DataFrame:
+        """A row for each root, copied for each of its salts."""
+        return few.join(sizes, "root").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("total")
+
+    sample = feats.where(F.pmod(F.xxhash64("set_id", F.lit(2)), F.lit(1 << 20)) * F.col("total") < F.lit(whole << 20))
+    base = sample.groupBy("root").applyInArrow(reference, "root long, base array<long>")
+    dev = salted.join(sent(base), ["root", "salt"], "left").withColumn("base", F.coalesce("base", F.array().cast("array<long>")))
+    dev = dev.withColumn("apart", F.concat(F.array_except("features", "base"), F.array_except("base", "features")))
+    dev = materialise(dev.select("set_id", "root", "salt", "apart", bound.weight(F.size("apart"), F.size("features")).cast("long").alias("weight")), "apart")
+    best = dev.groupBy("root").agg(F.min(F.struct("weight", "set_id")).alias("best"))
+    dev = dev.join(sent(best), ["root", "salt"])
+    core = F.col("weight") + F.col("best.weight") <= 0
+
+    # Differences that one set alone has drop out; a set must have enough of the others.
+    each = dev.select("root", "set_id", F.explode("apart").alias("f"))
+    common = each.groupBy("root", "f").agg(F.count("*").alias("n")).where("n > 1").select("root", "f")
+    held = each.join(common, ["root", "f"]).groupBy("set_id").agg(F.collect_set("f").alias("shared"))
+    rest = dev.select("set_id", "root", "salt", "weight", "best", core.alias("core")).join(held, "set_id")
+    rest = materialise(rest.withColumn("room", F.size("shared") * bound.twice - F.col("weight")).where(F.col("best.weight") <= F.col("room")), "shared")
+    limit = rest.groupBy("root").agg(F.max("room").alias("most"))
+    asking = rest.where("not core").join(sent(limit), ["root", "salt"]).where("weight <= most").drop("most")
+    asking = materialise(asking, "asking")
+    limits = asking.groupBy("root").agg(F.min("weight").alias("low"), F.max("room").alias("high"), F.ceil(F.count("*") / BLOCK).alias("x_blocks"))
+    asked = rest.join(sent(limits), ["root", "salt"]).where("room >= low and weight <= high")
+    blocks = asked.groupBy("root").agg(F.first("x_blocks").alias("x_blocks"), F.ceil(F.count("*") / BLOCK).alias("y_blocks"))
+
+    def dealt(rows: DataFrame, asks: bool) -> DataFrame:
+        mine, other = ("x_blocks", "y_blocks") if asks else ("y_blocks", "x_blocks")
+        rows = rows.select("set_id", "root", "salt", "shared", "weight").join(sent(blocks), ["root", "salt"])
+        rows = rows.withColumn("mine", F.pmod(F.xxhash64("set_id", F.lit(3)), mine)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return rows.select("set_id", "weight", "shared", F.lit(asks).alias("asks"), F.xxhash64("root", "mine" if asks else "other", "other" if asks else "mine").alias("cell"))
+
+    cells = dealt(asking, True).unionByName(dealt(asked, False))
+    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(counted, "a long, b long")
+    return dev.where(core).select(F.col("set_id").alias("a"), F.col("best.set_id").alias("b")).unionByName(found)
+
+
+def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, scheme: tuple[int, int] = (3, 1), whole: int = WHOLE) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of docs.
+
+    Two documents are linked when den * |A & B| >= num * |A | B| for their sets of `words`-word shingles; a
+    component's id is its smallest doc_id. A text without words, or null, has no shingles and is linked with nothing:
+    its component_id is its own doc_id. Equal texts are linked, also when they are repeated rows; a null doc_id counts
+    for no minimum, and is the id only of a component that has no other. An empty table gives no rows. Only doc_id and text are read.
+
+    Candidate components of up to `whole` shingles are decided in a task, several together; the sets of larger ones
+    are dealt over tasks (links_within).
+    """
+    # A row's key is its id, or without one a hash of its text; rows that share a key are told apart by their sets.
+    rows = clean(docs).withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(*raw_text(batch.column(1)), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), batch.column(2)], ["doc_id", "n_shingles", "set_id", "sketch", "row"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_key(batches, "root", SLICE_BYTES):
+            groups: dict[int, dict[int, np.ndarray]] = {}
+            for batch in slices(table.to_batches()):
+                sets = shingle_sets(*raw_text(batch.column(batch.schema.get_field_index("text"))), words)
+                for s, want, root in zip(sets, batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if set_id(s) == want:
+                        groups.setdefault(root, {})[want] = s
+            node, top = [], []
+            for members in groups.values():
+                ids = sorted(members)
+                node += ids
+                top += [ids[k] for k in linked([members[k] for k in ids], num, den)]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(top, pa.int64())], ["set_id", "top"])
+
+    base = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, set_id long, sketch binary, row long"), "sets")
+    known, near = candidates(rows, base, words, num, den, scheme)
+    picked = materialise(known.select("set_id", "row", "n_shingles").join(near, "set_id"), "picked")
+    total = picked.groupBy("root").agg(F.sum("n_shingles").alias("total"))
+    small = picked.select("set_id", "row", "root").join(total.where(F.col("total") <= whole), "root")
+    texts = rows.select("row", "text").join(small, "row").select("set_id", "root", "text")
+    tops = texts.repartition("root").sortWithinPartitions("root").mapInArrow(decide, "set_id long, top long").distinct()
+    large = materialise(total.where(F.col("total") > whole), "large")
+    if large.limit(1).count():
+        texts = rows.select("row", "text").join(picked.select("set_id", "row", "root").join(large, "root"), "row")
+        tops = tops.unionByName(components(links_within(texts, words, num, den, whole)).select(F.col("node").alias("set_id"), F.col("root").alias("top")))
     placed = base.drop("sketch", "row").join(tops, "set_id", "left").withColumn("top", F.coalesce("top", "set_id"))
     placed = materialise(placed, "placed")
     first = placed.where(F.col("set_id") != EMPTY_ID).groupBy("top").agg(F.min("doc_id").alias("component_id"))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -324,12 +325,8 @@ def test_metric_tree(spark):
     assert metric_tree.top_k(rows.limit(0), rows.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("words,num,den", [(3, 90, 100), (5, 80, 100), (2, 50, 100)])
-def test_jaccard_join(docs, texts, nothing, words, num, den):
-    sets = []
-    for _, t in texts:
-        w = SPACE.findall(lower(t or ""))
-        sets.append({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+def groups_of(sets, num, den):
+    """For each set the first one that it is linked with, directly or through others."""
     up = list(range(len(sets)))
 
     def root(i):
@@ -340,15 +337,75 @@ def test_jaccard_join(docs, texts, nothing, words, num, den):
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
             if a and b and den * len(a & b) >= num * len(a | b):
-                up[root(i)] = root(j)
-    low = {}
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(sets))]
+
+
+def brute_components(texts, words, num, den):
+    sets = []
+    for _, t in texts:
+        w = SPACE.findall(lower(t or ""))
+        sets.append({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+    root, low = groups_of(sets, num, den), {}
     for k, (i, _) in enumerate(texts):
         if i is not None:
-            low[root(k)] = min(i, low.get(root(k), i))
+            low[root[k]] = min(i, low.get(root[k], i))
     by_id = {i: k for k, (i, _) in enumerate(texts)}
-    rows = [(i, len(sets[by_id[i]]), low.get(root(k)) if sets[k] else i) for k, (i, _) in enumerate(texts)]
-    assert got(jaccard_join.cluster(docs, words, num, den), "doc_id", "n_shingles", "component_id") == want(rows)
-    assert jaccard_join.cluster(nothing, words, num, den).count() == 0
+    return [(i, len(sets[by_id[i]]), low.get(root[k]) if sets[k] else i) for k, (i, _) in enumerate(texts)]
+
+
+@pytest.mark.parametrize("words,num,den,whole", [(3, 90, 100, 1 << 18), (5, 80, 100, 1 << 18), (2, 50, 100, 1 << 18), (5, 80, 100, 60), (2, 50, 100, 100)])
+def test_jaccard_join(docs, texts, nothing, words, num, den, whole):
+    assert got(jaccard_join.cluster(docs, words, num, den, whole=whole), "doc_id", "n_shingles", "component_id") == want(brute_components(texts, words, num, den))
+    assert jaccard_join.cluster(nothing, words, num, den, whole=whole).count() == 0
+
+
+def edited(seed, copies, words=60, most=12, vocabulary=3):
+    """Near copies of two passages, with up to `most` words of each changed."""
+    r = np.random.default_rng(seed)
+    out = []
+    for p in range(2):
+        base = [f"w{x}" for x in r.integers(0, 1 << 40, words)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(int(r.integers(0, most))):
+                w[int(r.integers(0, words))] = f"e{int(r.integers(0, vocabulary if vocabulary else 1 << 40))}"
+            out.append(" ".join(w))
+    return [(i, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("vocabulary", [0, 3])
+@pytest.mark.parametrize("whole", [500, 1 << 18])
+def test_jaccard_join_of_near_copies(spark, monkeypatch, whole, vocabulary):
+    """Many varied near copies, whether a component is decided in a task or dealt over several; blocks of a few sets."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rows = edited(5, 70, vocabulary=vocabulary)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard_join.cluster(docs, 5, 80, 100, whole=whole), "doc_id", "n_shingles", "component_id") == want(brute_components(rows, 5, 80, 100))
+
+
+@pytest.mark.parametrize("edits", [3, 12])
+@pytest.mark.parametrize("num", [50, 80, 90])
+def test_linked_agrees_with_all_pairs(num, edits):
+    for vocabulary in (0, 3):
+        texts = edited(num + edits, 60, most=edits, vocabulary=vocabulary)
+        sets = [{hash(x) & (1 << 63) - 1 for x in zip(*(t.split()[k:] for k in range(5)))} for _, t in texts]
+        made = [np.array(sorted(s), np.uint64) for s in sets]
+        assert jaccard_join.linked(made, num, 100).tolist() == groups_of(sets, num, 100)
+
+
+def test_linked_takes_thousands_of_varied_copies():
+    """8,000 sets of 296 shingles, each with five words changed: two seconds where a look at each pair took minutes."""
+    r, n = np.random.default_rng(1), 300
+    base, sets = r.integers(1, 1 << 62, n), []
+    for _ in range(8000):
+        w = base.copy()
+        w[r.integers(0, n, 5)] = r.integers(1, 1 << 62, 5)
+        sets.append(np.unique(sum(w[k : n - 4 + k] * (2 * k + 3) for k in range(5)).view(np.uint64)))
+    began = time.time()
+    assert len(np.unique(jaccard_join.linked(sets, 80, 100))) > 1
+    assert time.time() - began < 40
 
 
 def test_packing(docs, texts, nothing):
