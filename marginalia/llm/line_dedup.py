@@ -1,4 +1,7 @@
-"""Line deduplication by a sharded minimal perfect hash over the distinct keys of repeated lines."""
+"""Line deduplication by a sharded minimal perfect hash over the distinct keys of repeated lines.
+
+Each shard of the index is written as one row of arrays; documents probe the arrays, not the lines.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import mix, shuffle_partitions, slices, table
+from marginalia.llm.common import deals, materialise, mix, raw_text, slices, table, text_bytes
 
 MIN_CHARS = 10
 NO_ID = (1 << 63) - 1
@@ -23,17 +26,27 @@ class PerfectHash:
 
     def __init__(self, keys: np.ndarray, gamma: float = 2.0):
         self.levels: list[tuple[int, np.ndarray, np.ndarray, int]] = []
-        base, rest = 0, keys
+        self.size, rest = 0, keys
         while len(rest):
             size = 64 * max(1, int(len(rest) * gamma) // 64)
             slot = self._slots(rest, len(self.levels), size)
             alone = np.bincount(slot, minlength=size) == 1
-            packed = np.packbits(alone, bitorder="little")
-            ranks = np.cumsum(ONES[packed], dtype=np.int64) - ONES[packed]
-            self.levels.append((size, packed, ranks, base))
-            base += int(alone.sum())
+            self._add(size, np.packbits(alone, bitorder="little"))
             rest = rest[~alone[slot]]
-        self.size = base
+
+    @classmethod
+    def of_bits(cls, sizes: list[int], bits: np.ndarray) -> PerfectHash:
+        """The hash from its levels' sizes and bits alone."""
+        made, at = cls(np.zeros(0, np.uint64)), 0
+        for size in sizes:
+            made._add(size, bits[at : at + size // 8])
+            at += size // 8
+        return made
+
+    def _add(self, size: int, packed: np.ndarray) -> None:
+        ones = np.cumsum(ONES[packed], dtype=np.int64)
+        self.levels.append((size, packed, ones - ONES[packed], self.size))
+        self.size += int(ones[-1])
 
     @staticmethod
     def _slots(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -55,20 +68,48 @@ class PerfectHash:
 
 
 class LineIndex:
-    """One shard: the perfect hash and, by its indices, arrays of fingerprints, document counts (2 stands for more) and first documents."""
+    """One shard of the index: the perfect hash and, by its indices, arrays of fingerprints, document counts (2 stands for more) and first documents.
 
-    def __init__(self, keys: np.ndarray, prints: np.ndarray, first: np.ndarray, last: np.ndarray):
-        self.hash = PerfectHash(keys)
-        at = self.hash.index(keys)
-        self.prints, self.first, self.count = np.empty_like(prints), np.empty_like(first), np.empty(len(keys), np.uint8)
-        self.prints[at], self.first[at], self.count[at] = prints, first, np.where(first != last, 2, 1)
+    A shard is kept as one row of a table: the sizes of the levels, their bits, and the arrays. Of keys that share the
+    hashed half all but one are kept as they are, beside the arrays.
+    """
+
+    SCHEMA = "shard int, levels array<long>, bits binary, prints binary, counts binary, first binary, rest binary"
+
+    def __init__(self, hashed: PerfectHash, prints: np.ndarray, counts: np.ndarray, first: np.ndarray, rest: np.ndarray):
+        self.hash, self.prints, self.counts, self.first, self.rest = hashed, prints, counts, first, rest
+
+    @classmethod
+    def build(cls, keys: np.ndarray, prints: np.ndarray, counts: np.ndarray, first: np.ndarray) -> LineIndex:
+        one = np.zeros(len(keys), bool)
+        one[np.unique(keys, return_index=True)[1]] = True
+        rest = np.stack((keys.view(np.int64), prints.view(np.int64), counts.astype(np.int64), first), 1)[~one]
+        keys, prints, counts, first = keys[one], prints[one], counts[one], first[one]
+        hashed = PerfectHash(keys)
+        order = np.argsort(hashed.index(keys), kind="stable")
+        return cls(hashed, prints[order], np.minimum(counts[order], 2).astype(np.uint8), first[order], rest)
+
+    def row(self, shard: int) -> pa.RecordBatch:
+        levels = self.hash.levels
+        data = [b"".join(packed.tobytes() for _, packed, _, _ in levels), self.prints.tobytes(), self.counts.tobytes(), self.first.tobytes(), self.rest.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([[size for size, _, _, _ in levels]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in data)], ["shard", "levels", "bits", "prints", "counts", "first", "rest"])
+
+    @classmethod
+    def from_row(cls, row: dict) -> LineIndex:
+        take = lambda name, kind: np.frombuffer(row[name], kind)
+        return cls(PerfectHash.of_bits(row["levels"], take("bits", np.uint8)), take("prints", np.uint64), take("counts", np.uint8), take("first", np.int64), take("rest", np.int64).reshape(-1, 4))
 
     def probe(self, keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each key the count (0: not in the index) and the first document."""
         at = self.hash.index(keys)
         known = at >= 0
         known[known] = self.prints[at[known]] == prints[known]
-        return np.where(known, self.count[np.where(known, at, 0)], 0), self.first[np.where(known, at, 0)]
+        count, first = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        count[known], first[known] = self.counts[at[known]], self.first[at[known]]
+        for k, p, n, doc in self.rest:
+            here = (keys.view(np.int64) == k) & (prints.view(np.int64) == p)
+            count[here], first[here] = n, doc
+        return count, first
 
 
 def line_key(line: bytes, least: int) -> tuple[int, int] | None:
@@ -89,78 +130,98 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, text_col: str = "text", i
     document; a null id counts as the largest. An empty table gives no rows. Columns of docs named like the three
     counts are replaced; all others are kept as they are.
 
-    Documents are dealt to groups by id. A key is sent once for each group it is in, so a line that all documents
-    share reaches its shard a bounded number of times; the shard builds its index over those keys and answers with
-    the keys to drop; then each group meets its answers and its texts.
+    The index is built first, from line hashes that are combined before they meet, and written shard by shard. Then
+    documents, dealt to groups by id, send the distinct hashes of their group to the shards, which look them up in
+    their arrays and answer with the first document of each repeated one. A line that all documents share is so asked
+    for once a group.
     """
     spark = docs.sparkSession
-    groups = shards = shuffle_partitions(spark)
+    groups = deals(spark, text_bytes(docs, text_col))
     own = ["n_lines", "n_dropped", "kept_sha256"]
     kept = docs.drop(*[c for c in docs.columns if c in own])
     place = "_group"
     while place in kept.columns:
         place += "_"
-    dealt = kept.withColumn(place, F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int"))
+    names = kept.columns
+    id_at, text_at = names.index(id_col), names.index(text_col)
+    # Rows without an id are told apart by their texts: they are one document, but need no one group.
+    dealt = kept.withColumn(place, F.pmod(F.coalesce(F.xxhash64(id_col), F.lit(0)) + F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(0), F.lit(groups)).cast("int"))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The line hashes of each slice of texts, with the first and the last document that has each."""
         for batch in slices(batches):
-            seen = set()
-            for g, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            first: dict[tuple[int, int], int] = {}
+            last: dict[tuple[int, int], int] = {}
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                doc = NO_ID if doc is None else doc
                 for line in (text or "").encode().split(b"\n"):
                     if k := line_key(line, min_chars):
-                        seen.add((*k, g, NO_ID if doc is None else doc))
-            if seen:
-                h1, h2, g, d = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.array(g, pa.int32()), pa.array(d, pa.int64())], ["h1", "h2", "_group", "doc"])
-
-    asked = (
-        dealt.select(F.col(place).alias("_group"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-        .mapInArrow(keys, "h1 long, h2 long, _group int, doc long")
-        .groupBy("h1", "h2", "_group")
-        .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        .withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
-    )
-
-    def answer(rows: pa.Table) -> pa.Table:
-        h1, h2, first, last = (rows.column(c).to_numpy() for c in ("h1", "h2", "first", "last"))
-        h1, h2 = h1.view(np.uint64), h2.view(np.uint64)
+                        first[k] = min(doc, first.get(k, doc))
+                        last[k] = max(doc, last.get(k, doc))
+            if first:
+                h1, h2 = (np.array(h, np.uint64).view(np.int64) for h in zip(*first, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(list(first.values()), pa.int64()), pa.array(list(last.values()), pa.int64())], ["h1", "h2", "first", "last"])
+
+    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        h1, h2, first = (rows.column(c).to_numpy() for c in ("h1", "h2", "first"))
         order = np.lexsort((h2, h1))
-        edge = np.flatnonzero(np.concatenate(([True], (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0))))
-        low, high, one = np.minimum.reduceat(first[order], edge), np.maximum.reduceat(last[order], edge), order[edge]
-        # Two keys that share the first half: the second is told apart by a changed half on both sides.
-        k1, k2 = h1[one], h2[one]
-        clash = np.concatenate(([False], np.diff(k1) == 0))
-        if clash.any():
-            h1, k1 = mix(h1 ^ h2), mix(k1 ^ k2)
-        index = LineIndex(k1, k2, low, high)
-        count, doc = index.probe(h1, h2)
-        drop = count > 1
-        back = rows.filter(pa.array(drop)).select(["h1", "h2", "_group"])
-        return back.append_column("first", pa.array(doc[drop], pa.int64()))
-
-    answers = asked.groupBy("shard").applyInArrow(answer, "h1 long, h2 long, _group int, first long")
-    names = kept.columns
-    extra = "n_lines long, n_dropped long, kept_sha256 string"
+        yield LineIndex.build(h1[order].view(np.uint64), h2[order].view(np.uint64), np.full(len(h1), 2), first[order]).row(key[0].as_py())
+
+    def ask(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct line hashes of a group, a row for each shard."""
+        seen = {k for batch in slices(batches, text_col) for text in batch.column(text_at).to_pylist() for line in (text or "").encode().split(b"\n") if (k := line_key(line, min_chars))}
+        if not seen:
+            return
+        h1, h2 = (np.array(h, np.uint64) for h in zip(*sorted(seen), strict=True))
+        shard = (h1 % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        edge = np.searchsorted(shard[order], np.arange(groups + 1))
+        full = np.flatnonzero(np.diff(edge))
+        parts = [pa.array([h[order[edge[k] : edge[k + 1]]].tobytes() for k in full], pa.binary()) for h in (h1, h2)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), key[0].as_py()), pa.int32()), pa.array(full, pa.int32()), *parts], ["place", "shard", "h1", "h2"])
+
+    def probe(asked: pa.Table, index: pa.Table) -> pa.Table:
+        made: list[list] = [[], [], [], []]
+        if index.num_rows:
+            shard = LineIndex.from_row(index.to_pylist()[0])
+            for group, a, b in zip(asked.column("place").to_pylist(), asked.column("h1"), asked.column("h2"), strict=True):
+                h1, h2 = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                count, first = shard.probe(h1, h2)
+                gone = count > 1
+                if gone.any():
+                    for to, x in zip(made, (group, h1[gone].tobytes(), h2[gone].tobytes(), first[gone].tobytes()), strict=True):
+                        to.append(x)
+        return pa.table({"place": pa.array(made[0], pa.int32()), "h1": pa.array(made[1], pa.binary()), "h2": pa.array(made[2], pa.binary()), "first": pa.array(made[3], pa.binary())})
 
     def edit(texts: pa.Table, found: pa.Table) -> pa.Table:
-        first = dict(zip(zip(found.column("h1").to_numpy().view(np.uint64).tolist(), found.column("h2").to_numpy().view(np.uint64).tolist(), strict=True), found.column("first").to_pylist(), strict=True))
-        out, n_lines, n_dropped, digest = [], [], [], []
-        for doc, text in zip(texts.column(id_col).to_pylist(), texts.column(text_col).to_pylist(), strict=True):
-            doc = NO_ID if doc is None else doc
-            lines = (text or "").encode().split(b"\n")
-            left = [x for x in lines if not first or (k := line_key(x, min_chars)) is None or first.get(k, doc) == doc]
-            data = b"\n".join(left)
-            out.append(data.decode())
-            n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(left))
-            digest.append(hashlib.sha256(data).hexdigest())
-        texts = texts.select(names)
-        at = names.index(text_col)
-        texts = texts.set_column(at, text_col, pa.array(out, pa.string()))
-        return texts.append_column("n_lines", pa.array(n_lines, pa.int64())).append_column("n_dropped", pa.array(n_dropped, pa.int64())).append_column("kept_sha256", pa.array(digest, pa.string()))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + extra
-    return dealt.groupBy(place).cogroup(answers.groupBy("_group")).applyInArrow(edit, fields)
+        take = lambda name, kind: np.frombuffer(raw_text(found.column(name))[0], kind).tolist()
+        first = dict(zip(zip(take("h1", np.uint64), take("h2", np.uint64), strict=True), take("first", np.int64), strict=True)) if found.num_rows else {}
+        made = []
+        for batch in slices(texts.select(names).to_batches(), text_col):
+            out, n_lines, n_dropped, digest = [], [], [], []
+            for doc, text in zip(batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist(), strict=True):
+                doc = NO_ID if doc is None else doc
+                lines = (text or "").encode().split(b"\n")
+                left = [x for x in lines if not first or (k := line_key(x, min_chars)) is None or first.get(k, doc) == doc]
+                data = b"\n".join(left)
+                out.append(data.decode())
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(left))
+                digest.append(hashlib.sha256(data).hexdigest())
+            columns = [*batch.columns[:text_at], pa.array(out, pa.string()), *batch.columns[text_at + 1 :], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(digest, pa.string())]
+            made.append(pa.RecordBatch.from_arrays(columns, [*names, *own]))
+        return pa.Table.from_batches(made) if made else texts.select(names).append_column("n_lines", pa.array([], pa.int64())).append_column("n_dropped", pa.array([], pa.int64())).append_column("kept_sha256", pa.array([], pa.string()))
+
+    lines = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(held, "h1 long, h2 long, first long, last long")
+    repeated = lines.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")
+    # The same shard as in ask: h1 as an unsigned number modulo the number of shards.
+    shard = F.pmod(F.pmod("h1", F.lit(groups)) + F.when(F.col("h1") < 0, pow(2, 64, groups)).otherwise(0), F.lit(groups)).cast("int")
+    index = materialise(repeated.withColumn("shard", shard).groupBy("shard").applyInArrow(build, LineIndex.SCHEMA), "line-index")
+    texts = dealt.groupBy(place)
+    answers = texts.applyInArrow(ask, "place int, shard int, h1 binary, h2 binary").groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "place int, h1 binary, h2 binary, first binary")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n_lines long, n_dropped long, kept_sha256 string"
+    return texts.cogroup(answers.groupBy("place")).applyInArrow(edit, fields)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontamination, jaccard_join, line_dedup, packing, quality
-from marginalia.llm.common import table
+from marginalia.llm.common import materialise, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,14 +16,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier document has; n_chars follows the text."""
-    edited = line_dedup.dedup(docs).select(*docs.columns)
+    """The documents without the lines that an earlier document has; n_chars follows the text. One of which nothing but white space is left is a copy and goes; rows that lost no line stay, blank ones included."""
+    edited = line_dedup.dedup(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
     return edited.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else edited
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates (five-word shingles, similarity 0.8 or more); of rows that repeat both id and text one; a null id is never grouped away."""
-    groups = jaccard_join.cluster(docs, words=5, num=80, den=100)
+    groups = materialise(jaccard_join.cluster(docs, words=5, num=80, den=100), "groups")
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     mark = "_text"

@@ -281,11 +281,33 @@ def test_line_dedup(docs, texts, nothing):
     assert line_dedup.dedup(nothing).count() == 0
 
 
+def test_line_dedup_of_a_very_long_line(spark):
+    long = "A line of a megabyte " * 50_000
+    docs = spark.createDataFrame([(1, long + "\nend of one"), (2, "  " + long.lower() + "\nend of two")], "doc_id long, text string")
+    assert got(line_dedup.dedup(docs), "doc_id", "n_lines", "n_dropped", "text") == [(1, 2, 0, long + "\nend of one"), (2, 2, 1, "end of two")]
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64))
     assert sorted(line_dedup.PerfectHash(keys).index(keys).tolist()) == list(range(len(keys)))
 
 
+def test_line_index_as_a_row():
+    """A shard read back from its row knows its keys, and no others; keys that share a half are told apart."""
+    r = np.random.default_rng(2)
+    keys = np.unique(r.integers(0, 1 << 63, 3000).astype(np.uint64))
+    keys = np.concatenate((keys, keys[:3]))
+    prints, first = r.integers(0, 1 << 63, len(keys)).astype(np.uint64), r.integers(0, 1 << 40, len(keys))
+    counts = np.where(np.arange(len(keys)) % 5 == 0, 1, 2)
+    row = line_dedup.LineIndex.build(keys, prints, counts, first).row(7).to_pylist()[0]
+    found = line_dedup.LineIndex.from_row(row).probe(keys, prints)
+    assert row["shard"] == 7 and (found[0] == counts).all() and (found[1] == first).all()
+    other = line_dedup.LineIndex.from_row(row).probe(keys, prints + np.uint64(1))
+    assert not other[0].any()
+    empty = line_dedup.LineIndex.build(keys[:0], prints[:0], counts[:0], first[:0])
+    assert not line_dedup.LineIndex.from_row(empty.row(0).to_pylist()[0]).probe(keys, prints)[0].any()
+
+
 def test_quality(spark, docs, texts, nothing):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels)
