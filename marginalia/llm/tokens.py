@@ -14,7 +14,7 @@ from marginalia.llm.hashing import LOWER, KeyTable, prefix_sums, range_hash
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: White space that str.split() knows and the tokenizer's \s does not.
 SPLIT_ONLY = "\x1c\x1d\x1e\x1f"
-CHUNKS = re.compile(r"[^\s\x1c-\x1f]+|[\x1c-\x1f]+(?:[^\s]*)")
+CHUNKS = re.compile(r"(?:[^\s]|[\x1c-\x1f])+")
 #: Lower-cased texts whose normal form and words are plain to see: printable ASCII and Latin-1 letters.
 SIMPLE = re.compile(r"[\t\n\r\x20-\x7e\xdf-\xf6\xf8-\xff]*").fullmatch
 #: The vocabulary's word pattern over those characters.

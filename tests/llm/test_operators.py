@@ -9,10 +9,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from marginalia.llm import decontamination, jaccard_join, line_dedup, metric_tree, packing, pii, ppm, quality, suffix_dedup, wavelet
+from marginalia.llm import decontamination, jaccard_join, line_dedup, metric_tree, packing, pii, ppm, quality, suffix_dedup, tokens, wavelet
 from marginalia.llm.common import shared_path
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -193,7 +194,8 @@ PRIVATE = [
 
 
 def test_pii(spark, nothing):
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(PRIVATE)], "doc_id long, text string, spans string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in [*enumerate(PRIVATE), (None, PRIVATE[0]), (0, PRIVATE[0])]], "doc_id long, text string, spans string")
+    assert pii.find(docs).where("doc_id is null or doc_id = 0").select("spans").distinct().count() == 1
     found = {r["doc_id"]: r for r in pii.find(docs).collect()}
     for i, t in enumerate(PRIVATE):
         base = brute_spans(t or "")
@@ -206,6 +208,31 @@ def test_pii(spark, nothing):
     assert pii.find(nothing).count() == 0
 
 
+def test_base_spans_of_random_texts():
+    r = np.random.default_rng(8)
+    for alphabet in ("a1.@-_ +", "01.2 -+(", "a@.b", "5.6.7@+"):
+        for _ in range(1500):
+            text = "".join(r.choice(list(alphabet), int(r.integers(0, 40))))
+            assert sorted(pii.base_spans(text)) == sorted((pii.KINDS.index(k), a, b) for k, a, b in brute_spans(text)), text
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "a" * 1_000_000 + "@!", "+1" + "(" * 1_000_000, "1.2.3 " * 170_000, "me@x.org, " * 100_000, "a." * 500_000 + "@", "@" * 1_000_000, "+1 555 010 9999; 1.2.3.4 " * 40_000])
+def test_pii_takes_time_in_proportion(text):
+    """A megabyte takes seconds; a pattern that starts anew at every character would take most of an hour."""
+    began = time.time()
+    base = pii.base_spans(text)
+    assert time.time() - began < 20
+    if len(base) < 1000:
+        assert pii.base_spans(text[:2000]) == [x for x in base if x[2] <= 1990] or len(base) == 0
+
+
+def test_pii_of_a_long_table(spark):
+    """Known and added spans by the thousand in one text."""
+    text = "(555) 123-4567 12, a1@x.org and " * 2000
+    row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_email"] == 2000 and row["n_added"] >= 1990
+
+
 def test_pii_in_long_runs():
     """A number is found wherever it stands in a run of chunks with digits, however long the run is."""
     model = pii.train(pii.examples())
@@ -237,6 +264,18 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_token_ids_of_odd_characters():
+    """Ids equal the tokenizer's for all characters up to U+2FFF beside others, and for mixes of spaces, controls and symbols."""
+    code, plain = tokens.ChunkEncoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
+    r = np.random.default_rng(3)
+    texts = [f"{a}{chr(c)}{b}" for c in range(0x3000) for a, b in (("", ""), ("a", "b"), ("!", "1"), ("- ", " x"))]
+    odd = [chr(c) for c in [*range(0x30), 0x3C, 0x7C, 0x7F, 0x85, 0xA0, 0xC0, 0xE9, 0x301, 0x1680, 0x2003, 0x2028, 0x202F, 0x3000, 0xFEFF, 0x1F600]] + list("\x1c\x1d\x1e\x1f\x1c\x1d" + "aZ9'sé")
+    texts += ["".join(r.choice(odd, int(r.integers(1, 12)))) for _ in range(20_000)] + ["<\x1ca", "!\x1c", "x.\x1f\x1fy", "-\x1d-"]
+    ids, edges = code.encode(pa.array(texts, pa.string()))
+    for k, found in enumerate(plain.encode_batch(texts, add_special_tokens=False)):
+        assert ids[edges[k] : edges[k + 1]].tolist() == found.ids, ascii(texts[k])
+
+
 def test_wavelet(spark, docs, texts, nothing):
     path = shared_path(spark, "wavelet")
     wavelet.write(docs, path, file_tokens=500)
