@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import clean, table
+from marginalia.llm.common import clean, materialise, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The benchmark is broadcast up to so many windows (about 100 bytes each), and joined by a shuffle beyond.
 BROADCAST_WINDOWS = 400_000
+#: Copies of the benchmark's tables in a shuffled join.
+SALTS = 8
 
 
 def words_of(text: Column) -> Column:
@@ -37,19 +39,10 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     )
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """One row for each document row: doc_id, n_words, n_hit, items (array of ids as strings), starts (hit windows).
-
-    A document's word is hit when it lies inside an occurrence of a benchmark window. Null texts have no words; a
-    null doc_id stays null; repeated rows are reported one by one; an empty benchmark hits nothing and an empty
-    table gives no rows; items without words are passed over; the windows of a null item id hit words, but it is listed as no item. Only doc_id, text, item_id and text
-    of the inputs are read, so other columns can't clash.
-    """
+def block_hashes(wins: DataFrame, lengths: dict[int, int], window: int) -> DataFrame:
+    """h and len: the hashes of each whole window's blocks, and those of each shorter window as it is."""
     stride = (window + 1) // 2
     block = window - stride + 1
-    wins = benchmark_windows(benchmark, window)
-    lengths = {r["n"]: r["count"] for r in wins.groupBy("n").count().collect()}  # at most `window` rows
-    hint = F.broadcast if sum(lengths.values()) <= BROADCAST_WINDOWS else lambda df: df
     blocks = (
         wins.where(F.col("n") == window)
         .select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda i: F.xxhash64(F.slice("win", i, block)))).alias("h"))
@@ -58,38 +51,88 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
     )
     for n in sorted(k for k in lengths if k < window):
         blocks = blocks.unionByName(wins.where(F.col("n") == n).select(F.col("hash").alias("h"), F.lit(n).alias("len")).distinct())
+    return blocks
 
-    rows = clean(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("w"))
+
+def probes(lengths: dict[int, int], window: int) -> list[Column]:
+    """Arrays of (at, h, len) over the words w: one block hash in `stride` words, and every place for shorter windows."""
+    stride = (window + 1) // 2
     size = F.size("w")
 
-    def probes(n: int, every: int, width: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), size - width + 1, F.lit(every)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, width)).alias("h"), F.lit(n).alias("len")))
-        return F.when(size >= width, made).otherwise(F.array().cast("array<struct<at:int,h:bigint,len:int>>"))
+    def made(n: int, every: int, width: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), size - width + 1, F.lit(every)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, width)).alias("h"), F.lit(n).alias("len")))
+        return F.when(size >= width, found).otherwise(F.array().cast("array<struct<at:int,h:bigint,len:int>>"))
 
+    return [made(window, stride, window - stride + 1)] * (window in lengths) + [made(n, 1, n) for n in sorted(lengths) if n < window]
+
+
+def around(at: Column, n: Column, window: int) -> Column:
+    """The windows (s, win) over the words w that hold the block at `at`."""
+    size = F.size("w")
+    low, high = F.greatest(at - F.when(n == window, (window + 1) // 2 - 1).otherwise(0), F.lit(1)), F.least(at, size - n + 1)
+    return F.when((at > 0) & (low <= high), F.transform(F.sequence(low, high), lambda s: F.struct(s.alias("s"), F.slice("w", s, n).alias("win"))))
+
+
+def by_row(found: DataFrame, *more: Column) -> DataFrame:
+    """The hit windows (s, n) and the items of each row."""
+    return found.groupBy("row").agg(
+        *more,
+        F.collect_set(F.when(F.col("items").isNotNull(), F.struct(F.col("c.s").alias("s"), F.col("n").alias("n")))).alias("starts"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+
+
+def hits_by_broadcast(rows: DataFrame, wins: DataFrame, lengths: dict[int, int], window: int) -> DataFrame:
+    """One pass over the documents, with the benchmark's tables in every task."""
     # One probe without a hash keeps each document's row through the join.
     keep = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("long").alias("h"), F.lit(0).alias("len")))
-    kinds = [probes(window, stride, block)] * (window in lengths) + [probes(n, 1, n) for n in sorted(lengths) if n < window]
-    probe = rows.select("doc_id", "row", "w", F.explode_outer(F.concat(keep, *kinds)).alias("p"))
-    hit = probe.join(hint(blocks).withColumn("known", F.lit(True)), (F.col("p.h") == F.col("h")) & (F.col("p.len") == F.col("len")), "left")
+    probe = rows.select("doc_id", "row", "w", F.explode_outer(F.concat(keep, *probes(lengths, window))).alias("p"))
+    hit = probe.join(F.broadcast(block_hashes(wins, lengths, window)).withColumn("known", F.lit(True)), (F.col("p.h") == F.col("h")) & (F.col("p.len") == F.col("len")), "left")
     hit = hit.where((F.col("p.at") == 0) | F.col("known"))
-
     at, n = F.col("p.at"), F.col("p.len")
-    low, high = F.greatest(at - F.when(n == window, stride - 1).otherwise(0), F.lit(1)), F.least(at, size - n + 1)
-    around = F.when((at > 0) & (low <= high), F.transform(F.sequence(low, high), lambda s: F.struct(s.alias("s"), F.slice("w", s, n).alias("win"))))
-    tried = hit.select("doc_id", "row", F.when(at == 0, size).alias("n_words"), F.explode_outer(around).alias("c"))
-    found = tried.join(hint(wins.select("win", "n", "items", "hash")), (F.xxhash64("c.win") == F.col("hash")) & (F.col("c.win") == F.col("win")), "left")
-    found = found.where(F.col("n_words").isNotNull() | F.col("items").isNotNull())
-    return (
-        found.groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("n_words").cast("long").alias("n_words"),
-            F.collect_set(F.when(F.col("items").isNotNull(), F.struct(F.col("c.s").alias("s"), F.col("n").alias("n")))).alias("starts"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
-        .withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1))))).cast("long"))
-        .select("doc_id", "row", "n_words", "n_hit", "items", "starts")
-    )
+    tried = hit.select("doc_id", "row", F.when(at == 0, F.size("w")).alias("n_words"), F.explode_outer(around(at, n, window)).alias("c"))
+    found = tried.join(F.broadcast(wins), (F.xxhash64("c.win") == F.col("hash")) & (F.col("c.win") == F.col("win")), "left")
+    return by_row(found.where(F.col("n_words").isNotNull() | F.col("items").isNotNull()), F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"))
+
+
+def hits_by_shuffle(rows: DataFrame, wins: DataFrame, lengths: dict[int, int], window: int) -> DataFrame:
+    """For a benchmark too large to broadcast: probes of a few numbers each meet the blocks by hash, salted, as a block may be in a third of all texts; the words join only the rows that were hit, once each."""
+    rows = materialise(rows, "words")
+    salted = block_hashes(wins, lengths, window).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    probe = rows.select("row", F.explode(F.concat(*probes(lengths, window))).alias("p")) if lengths else rows.select("row", F.struct(F.lit(0).alias("at"), F.lit(None).cast("long").alias("h"), F.lit(0).alias("len")).alias("p")).limit(0)
+    probe = probe.select("row", "p.at", "p.h", "p.len", F.pmod(F.xxhash64("row", "p.at"), F.lit(SALTS)).cast("int").alias("salt"))
+    hit = probe.join(salted, ["h", "len", "salt"]).groupBy("row").agg(F.collect_set(F.struct("at", "len")).alias("blocks"))
+    tried = rows.join(hit, "row").select("row", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: around(b["at"], b["len"], window))))).alias("c"))
+    # A window that many texts hold is looked up once for each salt too.
+    copies = wins.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tried = tried.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).withColumn("hash", F.xxhash64("c.win"))
+    found = by_row(tried.join(copies, ["hash", "salt"]).where(F.col("c.win") == F.col("win")))
+    return rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words")).join(found, "row", "left").withColumns({"starts": F.coalesce("starts", F.array().cast("array<struct<s:int,n:int>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    return clean(docs).withColumn("row", F.monotonically_increasing_id())
+
+
+def hits(rows: DataFrame, benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """As report(), for texts with a row number."""
+    wins = benchmark_windows(benchmark, window)
+    lengths = {r["n"]: r["count"] for r in wins.groupBy("n").count().collect()}  # at most `window` rows
+    find = hits_by_broadcast if sum(lengths.values()) <= most else hits_by_shuffle
+    found = find(rows.select("doc_id", "row", words_of(F.col("text")).alias("w")), wins, lengths, window)
+    hit = F.size(F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))
+    return found.withColumn("n_hit", hit.cast("long")).select("doc_id", "row", "n_words", "n_hit", "items", "starts")
+
+
+def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: int = BROADCAST_WINDOWS) -> DataFrame:
+    """One row for each document row: doc_id, n_words, n_hit, items (array of ids as strings), starts (hit windows).
+
+    A document's word is hit when it lies inside an occurrence of a benchmark window. Null texts have no words; a
+    null doc_id stays null; repeated rows are reported one by one; an empty benchmark hits nothing and an empty
+    table gives no rows; items without words are passed over; the windows of a null item id hit words, but it is listed as no item. Only doc_id, text, item_id and text
+    of the inputs are read, so other columns can't clash. Beyond `most` windows the benchmark isn't broadcast.
+    """
+    return hits(numbered(docs), benchmark, window, most)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -99,10 +142,10 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id and text without the hit words and the separators after them; one row for each document row."""
-    hits = report(docs, benchmark, window)
-    rows = clean(docs).withColumn("row", F.monotonically_increasing_id())
-    parts = rows.join(hits.select("row", "starts"), "row").select(
+    """doc_id and text without the hit words and the separators after them; one row for each document row. A null text gives an empty one."""
+    rows = materialise(numbered(docs), "numbered")  # row numbers may differ from one pass to the next
+    found = hits(rows, benchmark, window, BROADCAST_WINDOWS)
+    parts = rows.join(found.select("row", "starts"), "row").select(
         "doc_id",
         F.regexp_extract_all("text", F.lit(WORD.replace("\\x60", "\\x40\\x5B-\\x60")), F.lit(0)).alias("w"),
         F.split("text", WORD.replace("\\x60", "\\x40\\x5B-\\x60"), -1).alias("gaps"),

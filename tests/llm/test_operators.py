@@ -158,19 +158,54 @@ def brute_windows(texts, bench):
     return rows
 
 
-def test_decontamination(spark, docs, texts, nothing):
+@pytest.mark.parametrize("most", [decontamination.BROADCAST_WINDOWS, 0])
+def test_decontamination(spark, docs, texts, nothing, most):
     by = dict(texts)
     bench = [(1, " ".join(by[20].split()[:15])), (2, "One, TWO"), (3, None), (4, ""), (5, by[6]), (12, "One two"), (None, "aa")]
     table = spark.createDataFrame([(i, t, 3) for i, t in bench], "item_id long, text string, row int")
-    found = decontamination.report(docs, table)
+    found = decontamination.report(docs, table, most=most)
     assert want([(r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"])) for r in found.collect()]) == want([(i, n, h, ",".join(s)) for i, n, h, s in brute_windows(texts, bench)])
     bad = {i for i, _, h, _ in brute_windows(texts, bench) if h}
     left = decontamination.remove_documents(docs, table)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == ({i for i, _ in texts} - bad) | {None}
     cut = {r["doc_id"]: r["text"] for r in decontamination.remove_spans(docs, table).collect()}
     assert not WORD.findall(lower(cut[15])) and cut[21] == by[21]
-    assert decontamination.report(nothing, table).count() == 0
-    assert all(r["n_hit"] == 0 for r in decontamination.report(docs, table.limit(0)).collect())
+    assert decontamination.report(nothing, table, most=most).count() == 0
+    assert all(r["n_hit"] == 0 for r in decontamination.report(docs, table.limit(0), most=most - 1).collect())
+
+
+@pytest.mark.parametrize("most", [decontamination.BROADCAST_WINDOWS, 0])
+def test_decontamination_of_a_very_long_text(spark, most):
+    """500,000 words with one passage at the end."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "lorem ipsum dolor sit amet " * 100_000 + passage), (2, passage)], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    assert got(decontamination.report(docs, bench, most=most), "doc_id", "n_words", "n_hit") == [(1, 500_030, 30), (2, 30, 30)]
+
+
+def test_decontamination_by_shuffle_grows_in_proportion(spark):
+    """Twice the words of a text give twice the bytes shuffled, as no probe carries its text."""
+    bench = spark.createDataFrame([(i, " ".join(f"b{i}x{k}" for k in range(20))) for i in range(50)], "item_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    sent = []
+    try:
+        for words in (20_000, 80_000):
+            docs = spark.createDataFrame([(i, " ".join(f"w{i}y{k}" for k in range(words))) for i in range(4)], "doc_id long, text string").repartition(4)
+            decontamination.report(docs, bench, most=0).write.format("noop").mode("overwrite").save()
+            tracker = spark._jsparkSession.sharedState().statusStore()
+            last = max((tracker.executionsList().apply(k) for k in range(tracker.executionsList().size())), key=lambda e: e.executionId())
+            values = tracker.executionMetrics(last.executionId())
+            names = {m.accumulatorId(): m.name() for m in (last.metrics().apply(k) for k in range(last.metrics().size()))}
+            total = 0
+            for key, name in names.items():
+                if name == "shuffle bytes written" and values.contains(key):
+                    size = re.match(r"(?:total.*\n)?([0-9.,]+) (B|KiB|MiB|GiB)", values.apply(key))
+                    total += float(size[1].replace(",", "")) * {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30}[size[2]]
+            sent.append(total)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sent[0] > 10_000 and sent[1] < 6 * sent[0], sent
 
 
 def brute_spans(text):
