@@ -404,10 +404,15 @@ def test_quality_on_held_out_labels(spark):
     assert area > 0.9, area
 
 
-def test_metric_tree(spark):
+@pytest.mark.parametrize("page_rows,leaf_rows,clusters", [(metric_tree.PAGE_ROWS, metric_tree.LEAF_ROWS, 0), (40, 8, 0), (40, 8, 12)])
+def test_metric_tree(spark, monkeypatch, page_rows, leaf_rows, clusters):
+    """Against all pairs, in one page and over many, with ties, repeated rows and ids, and rows that take no part."""
+    monkeypatch.setattr(metric_tree, "PAGE_ROWS", page_rows)
+    monkeypatch.setattr(metric_tree, "LEAF_ROWS", leaf_rows)
     r = np.random.default_rng(4)
-    vectors = [(i, [float(x) for x in r.normal(size=6)]) for i in range(300)]
-    vectors += [(300 + i, vectors[20][1]) for i in range(60)] + [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (403, [float("inf")] + [0.0] * 5), (404, []), (405, [1.0] * 5), (None, [1.0] * 6), (420, [0.0] * 6)]
+    centre = r.normal(size=(max(1, clusters), 6)) * (clusters > 0)
+    vectors = [(i, [float(x) for x in centre[i % len(centre)] * 3 + r.normal(size=6) * (0.1 if clusters else 1)]) for i in range(300)]
+    vectors += [(300 + i, vectors[20][1]) for i in range(60)] + [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (403, [float("inf")] + [0.0] * 5), (404, []), (405, [1.0] * 5), (None, [1.0] * 6), (420, [0.0] * 6), (41, vectors[5][1]), (41, vectors[41][1])]
     table = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, label int, page int")
     rows = metric_tree.quantise(table)
     made = metric_tree.top_k(rows, rows.where("vec_id % 20 = 0"), 20)
@@ -421,6 +426,26 @@ def test_metric_tree(spark):
     assert metric_tree.top_k(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_metric_tree_passes_over_pages():
+    """Among clustered vectors the directory's bounds leave a query few pages, and the tree's bounds few distances."""
+    r = np.random.default_rng(6)
+    v = np.floor(r.normal(size=(40, 16))[r.integers(0, 40, 8000)] * 300 + r.normal(size=(8000, 16)) * 10)
+    top = float((v * v).sum(axis=1).max())
+    pv, pl = metric_tree.centres(v[:1000], metric_tree.lift(v[:1000], top), 40)
+    d = metric_tree.distances(v, metric_tree.lift(v, top), pv, pl)
+    owner = d.argmin(axis=1)
+    radius = np.array([d[owner == k, k].max(initial=0) for k in range(len(pv))])
+    directory = metric_tree.Directory(pv, pl, radius, (np.bincount(owner, minlength=len(pv)) > 0).astype(np.int64), top)
+    q, ids = v[::80], np.arange(0, 8000, 80)
+    scores = q @ v.T
+    bound = np.sort(scores, axis=1)[:, -21]
+    who, page = directory.others(q, ids, bound)
+    pages = int((directory.splits > 0).sum())
+    assert len(who) / len(q) < 0.2 * pages
+    visited = {(int(a), int(b) >> 32) for a, b in zip(who, page)} | {(k, int(p) >> 32) for k, p in enumerate(directory.nearest(q, ids))}
+    assert all((k, int(owner[j])) in visited for k in range(len(q)) for j in np.flatnonzero(scores[k] >= bound[k]))
+
+
 def groups_of(sets, num, den):
     """For each set the first one that it is linked with, directly or through others."""
     up = list(range(len(sets)))
