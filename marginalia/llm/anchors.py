@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from marginalia.llm.hashing import prefix_sums, range_hash
+from marginalia.llm.hashing import OTHER_BYTES, prefix_sums, range_hash
 
 
 def _slide(values: np.ndarray, width: int, best: np.ufunc, pad: np.uint64) -> np.ndarray:
@@ -19,17 +19,17 @@ def _slide(values: np.ndarray, width: int, best: np.ufunc, pad: np.uint64) -> np
     return best(back[:n], ahead[width - 1 : n + width - 1])
 
 
-def runs(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Cuts the window starts of each text into runs whose windows have one least gram hash.
 
-    Returns for each run its text, first window, number of windows, that hash, the hash of all its bytes, and whether
-    the gram occurs in it more than once, so that windows of the run itself may be equal.
+    Returns for each run its text, first window, number of windows, that hash, two independent hashes of all its
+    bytes, and whether the gram occurs in it more than once, so that windows of the run itself may be equal.
     """
     sums = prefix_sums(raw)
     n = len(raw) - window + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), none.astype(bool)
     at = np.arange(len(raw) - gram + 1)
     h = range_hash(sums, at, at + gram) | np.uint64(1)
     width = window - gram + 1
@@ -51,4 +51,5 @@ def runs(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[
     double = np.zeros(len(start), bool)
     double[number[np.maximum(later - (width - 1), offsets[text[later]])]] = True
     start, count, double = start[keep], count[keep], double[keep]
-    return text[start], start, count, least[start], range_hash(sums, start, start + count + window - 1), double
+    end = start + count + window - 1
+    return text[start], start, count, least[start], range_hash(sums, start, end), range_hash(prefix_sums(raw, OTHER_BYTES), start, end), double

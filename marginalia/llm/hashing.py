@@ -8,8 +8,9 @@ from marginalia.llm.common import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: A pseudo-random word for each byte.
+#: Pseudo-random words for each byte, and others for a second hash.
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+OTHER_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -29,11 +30,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    """n + 1 sums of BYTES[raw[i]] * BASE ** i; with them the hash of any range takes constant time."""
+def prefix_sums(raw: np.ndarray, words: np.ndarray = BYTES) -> np.ndarray:
+    """n + 1 sums of words[raw[i]] * BASE ** i; with them the hash of any range takes constant time."""
     up, _ = powers(len(raw) + 1)
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTES[raw] * up[: len(raw)], out=out[1:])
+    np.cumsum(words[raw] * up[: len(raw)], out=out[1:])
     return out
 
 

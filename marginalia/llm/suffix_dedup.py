@@ -1,9 +1,10 @@
-"""Exact removal of repeated byte strings by suffix arrays of candidate stretches.
+"""Exact removal of repeated byte strings by longest-previous-factor arrays of candidate stretches.
 
 The window starts of a text are cut into runs by the least gram hash of their windows, so equal windows lie in runs of
-one hash. Runs that are equal as a whole are settled by their hashes. The stretches of the others go, once for each
-distinct one, to the task of their hash. It sorts the suffixes of its stretches by prefix doubling up to the window's
-length; the previous and the next smaller position in suffix order tell whether a window has an earlier or a later copy.
+one hash. Runs that are equal as a whole, by two further hashes, are settled once. The stretches of the others go, once
+for each distinct one, to the task of their hash. It sorts the suffixes of its stretches by prefix doubling up to the
+window's length; the previous and the next smaller position in suffix order give each start's longest previous factor,
+and the greater ones its longest later factor: a window is a copy where these reach the window's length.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import anchors
-from marginalia.llm.common import clean, materialise, ragged, raw_text, shuffle_partitions, slices, table
+from marginalia.llm.common import clean, deals, materialise, ragged, raw_text, slices, table, text_bytes
 
 WINDOW, GRAM = 200, 48
 #: Suffixes are sorted in batches of about so many bytes, cut between hashes.
 BATCH_BYTES = 1 << 19
 REMOVE, SEND, ANSWER = 1, 2, 4
 DOUBLE = np.uint32(1 << 31)
-RUN = (("h", np.uint32), ("f", np.uint64), ("key", np.int64), ("doc", np.int64), ("start", np.uint32), ("count", np.uint32))
+RUN = (("h", np.uint32), ("f", np.uint64), ("g", np.uint64), ("key", np.int64), ("doc", np.int64), ("start", np.uint32), ("count", np.uint32))
 MARK = (("h", np.uint32), ("key", np.int64), ("start", np.uint32), ("count", np.uint32), ("kind", np.uint8))
 STRETCH = (("h", np.uint32), ("key", np.int64), ("doc", np.int64), ("start", np.uint32), ("length", np.uint32), ("kind", np.uint8))
 SPAN = (("key", np.int64), ("start", np.uint32), ("end", np.uint32))
@@ -51,35 +52,61 @@ def schema(fields: tuple, more: str = "") -> str:
     return ", ".join(["place int", *(f"{name} binary" for name, _ in fields)]) + more
 
 
-def window_ranks(raw: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """The rank, among all, of the `window` bytes from each start: the suffix order as far as it matters, by prefix doubling."""
-    n = len(raw)
-    padded = np.concatenate((raw, np.zeros(window + 8, np.uint8))).astype(np.uint64)
+def suffix_order(raw: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts in the order of the bytes from them, as far as the window goes, ties by position; and the common prefix, at most the window, of each with the one before it in that order."""
+    n, pad = len(raw), window + 8
+    padded = np.concatenate((raw, np.zeros(pad, np.uint8))).astype(np.uint64)
     known = min(8, window)
-    key = np.zeros(n, np.uint64)
+    head = np.zeros(n + pad - known + 1, np.uint64)
     for k in range(known):
-        key = key << np.uint64(8) | padded[k : k + n]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        head = head << np.uint64(8) | padded[k : k + len(head)]
+    levels = [(known, np.unique(head[:n], return_inverse=True)[1].astype(np.uint32))]
     while 2 * known < window:
-        ahead = np.concatenate((rank[known:], np.zeros(min(known, n), np.uint64)))[:n]
-        rank = np.unique(rank << np.uint64(32) | ahead, return_inverse=True)[1].astype(np.uint64)
+        rank = levels[-1][1]
+        ahead = np.concatenate((rank[known:], np.zeros(min(known, n), np.uint32)))[:n]
         known *= 2
-    rest = window - known
-    return np.unique(rank[starts] << np.uint64(32) | rank[starts + rest], return_inverse=True)[1]
-
-
-def previous_and_next(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each position in text order the nearest smaller and greater position of equal rank, or -1.
-
-    Equal ranks are neighbours in suffix order, sorted by position there, so these are the previous and the next
-    smaller values of the suffix array where the common prefix is at least the window.
-    """
+        levels.append((known, np.unique(rank.astype(np.uint64) << np.uint64(32) | ahead, return_inverse=True)[1].astype(np.uint32)))
+    rank = levels[-1][1].astype(np.uint64)
+    rank = np.unique(rank[starts] << np.uint64(32) | rank[starts + (window - known)], return_inverse=True)[1]
     order = np.argsort(rank, kind="stable")
-    same = rank[order[1:]] == rank[order[:-1]]
-    before, after = np.full(len(rank), -1), np.full(len(rank), -1)
-    before[order[1:][same]] = order[:-1][same]
-    after[order[:-1][same]] = order[1:][same]
-    return before, after
+    common = np.zeros(len(starts), np.int64)
+    common[1:] = window
+    apart = np.flatnonzero(np.diff(rank[order])) + 1
+    i, j = starts[order[apart - 1]], starts[order[apart]]
+    length = np.zeros(len(apart), np.int64)
+    for size, rank in reversed(levels):
+        a, b = i + length, j + length
+        length += np.where((a < n) & (b < n) & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]), size, 0)
+    differ = head[np.minimum(i + length, len(head) - 1)] ^ head[np.minimum(j + length, len(head) - 1)]
+    for k in range(1, levels[0][0]):
+        length += differ < np.uint64(1 << 8 * (levels[0][0] - k))
+    common[apart] = np.minimum(length, window - 1)
+    return order, common
+
+
+def nearest_smaller(values: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place of the suffix order its common prefix with the nearest place before it that has a smaller value (0: there is none).
+
+    All places at once: while the place pointed at has a greater value, its own pointer is followed.
+    """
+    to, length = np.arange(len(values)) - 1, common.copy()
+    todo = np.flatnonzero((to >= 0) & (values[to] > values))
+    while len(todo):
+        via = to[todo]
+        length[todo], to[todo] = np.minimum(length[todo], length[via]), to[via]
+        todo = todo[(to[todo] >= 0) & (values[to[todo]] > values[todo])]
+    length[to < 0] = 0
+    return length
+
+
+def longest_factors(order: np.ndarray, common: np.ndarray, later: bool = False) -> np.ndarray:
+    """The longest-previous-factor array over the starts (or the longest later factors): how much of what follows each start also follows one before it, as far as the window goes."""
+    values = -order if later else order
+    before = nearest_smaller(values, common)
+    after = nearest_smaller(values[::-1], np.concatenate(([0], common[:0:-1])))[::-1]
+    found = np.zeros(len(order), np.int64)
+    found[order] = np.maximum(before, after)
+    return found
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,24 +126,24 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: b
     first is to be kept, so are rows that equal it in doc_id and text. A null doc_id comes first. An empty table
     gives no rows. Only doc_id and text are read.
     """
-    groups = shuffle_partitions(docs.sparkSession)
+    groups = deals(docs.sparkSession, text_bytes(docs))
     rows = clean(docs).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("place", F.pmod("key", F.lit(groups)).cast("int"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             raw, offsets = raw_text(batch.column(1))
-            text, start, count, h, f, double = anchors.runs(raw, offsets, window, gram)
+            text, start, count, h, f, g, double = anchors.runs(raw, offsets, window, gram)
             key = batch.column(2).to_numpy()[text]
             doc = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()[text]
-            columns = [h >> np.uint64(8), f, key, doc, start - offsets[text], count | np.where(double, DOUBLE, 0)]
+            columns = [h >> np.uint64(8), f, g, key, doc, start - offsets[text], count | np.where(double, DOUBLE, 0)]
             yield from blobs((h >> np.uint64(40)).astype(np.int64) % groups, groups, RUN, columns).to_batches()
 
     def settle(table: pa.Table) -> pa.Table:
-        h, f, key, doc, start, count = unblob(table, RUN)
-        order = np.lexsort((start, key, doc, f, h))
-        h, f, key, doc, start, count = (x[order] for x in (h, f, key, doc, start, count))
+        h, f, g, key, doc, start, count = unblob(table, RUN)
+        order = np.lexsort((start, key, doc, g, f, h))
+        h, f, g, key, doc, start, count = (x[order] for x in (h, f, g, key, doc, start, count))
         new_h = np.concatenate(([True], h[1:] != h[:-1]))
-        new_f = new_h | np.concatenate(([True], f[1:] != f[:-1]))
+        new_f = new_h | np.concatenate(([True], (f[1:] != f[:-1]) | (g[1:] != g[:-1])))
         kinds = np.bincount((np.cumsum(new_h) - 1)[new_f])[np.cumsum(new_h) - 1]
         copies = np.bincount(np.cumsum(new_f) - 1)[np.cumsum(new_f) - 1]
         compare = (kinds > 1) | (count & DOUBLE != 0)
@@ -162,8 +189,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: b
             first = np.cumsum(length[part]) - length[part]
             owner = np.repeat(np.arange(j - i), length[part] - window + 1)
             inside = ragged(np.zeros(j - i, np.int64), length[part] - window + 1)
-            before, after = previous_and_next(window_ranks(text, first[owner] + inside, window))
-            hit = (before >= 0) if keep_first else (before >= 0) | (after >= 0)
+            sorted_starts = suffix_order(text, first[owner] + inside, window)
+            hit = longest_factors(*sorted_starts) >= window
+            if not keep_first:
+                hit |= longest_factors(*sorted_starts, later=True) >= window
             hit &= kind[part][owner] & ANSWER > 0
             at, who = inside[hit], owner[hit]
             if len(at):

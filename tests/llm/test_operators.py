@@ -81,12 +81,24 @@ def test_suffix_dedup_of_periods(spark, window, gram, keep_first):
     assert got(suffix_dedup.dedup(docs, window, gram, keep_first), "doc_id", "n_removed", "kept_sha256") == want(rows)
 
 
-def test_previous_and_next_agree_with_a_scan():
-    rank = np.random.default_rng(1).integers(0, 9, 200)
-    before, after = suffix_dedup.previous_and_next(rank)
-    for i, r in enumerate(rank):
-        assert before[i] == max((j for j in range(i) if rank[j] == r), default=-1)
-        assert after[i] == min((j for j in range(i + 1, 200) if rank[j] == r), default=-1)
+@pytest.mark.parametrize("window", [5, 8, 20, 40])
+def test_longest_factors_agree_with_all_pairs(window):
+    r = np.random.default_rng(window)
+    for letters in (1, 2, 4):
+        raw = r.integers(97, 97 + letters, 150, np.uint8)
+        raw[90:120] = raw[10:40]
+        starts = np.sort(r.choice(150 - window + 1, 90, replace=False))
+        order, common = suffix_dedup.suffix_order(raw, starts, window)
+        text = raw.tobytes()
+        cut = [text[k : k + window] for k in starts.tolist()]
+        assert [cut[k] for k in order] == sorted(cut)
+
+        def shared(i, j):
+            return next((k for k in range(window) if cut[i][k] != cut[j][k]), window)
+
+        for later in (False, True):
+            found = suffix_dedup.longest_factors(order, common, later)
+            assert found.tolist() == [max((shared(i, j) for j in (range(i + 1, len(cut)) if later else range(i))), default=0) for i in range(len(cut))]
 
 
 def test_ppm(docs, texts, nothing):
