@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import clean, crc_mod, materialise, mix, raw_text, shuffle_partitions, slices, table
+from marginalia.llm.common import GROUP_BYTES, clean, crc_mod, deals, materialise, mix, raw_text, slices, table, text_bytes
 from marginalia.llm.hashing import LOWER, KeyTable, prefix_sums, range_hash, word_bounds
 
 ORDER = 5
@@ -164,14 +164,13 @@ def _ends(batch: pa.RecordBatch) -> np.ndarray:
     return grams[np.cumsum(keep[:-1]) > 0]
 
 
-def gram_scores(dealt: DataFrame, short: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def gram_scores(dealt: DataFrame, short: dict[int, tuple[np.ndarray, np.ndarray]], shards: int) -> DataFrame:
     """place, keys and logs: log10 of the probability of each distinct (ORDER + 1)-gram of the texts of a place.
 
     Each place sends its distinct grams with their counts in training rows, 0 for those of held-out rows alone, to
     the shard of the last two symbols of their contexts. All contexts of two symbols and more that a gram's
     probability depends on, with all their symbols, lie in that shard; the grams of 1 and 2 symbols are given.
     """
-    shards = shuffle_partitions(dealt.sparkSession)
     shared = dealt.sparkSession.sparkContext.broadcast(short)
 
     def ask(texts: pa.Table) -> pa.Table:
@@ -221,7 +220,7 @@ def score(docs: DataFrame) -> DataFrame:
     No count is left out of either model.
     """
     spark = docs.sparkSession
-    places = shuffle_partitions(spark)
+    places = deals(spark, text_bytes(docs), GROUP_BYTES // 2)
     word, short = gather(docs)
     n_train, vocabulary = word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     scale = math.log10(n_train + 0.1 * (vocabulary + 1))
@@ -262,7 +261,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     schema = "row long, word long, doc_id long, n_tokens long, n_known long, part double, score double"
     dealt = clean(docs).withColumn("held_out", crc_mod(10) == 0).withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(places)).cast("int"))
-    both = materialise(dealt.groupBy("place").cogroup(gram_scores(dealt, short).groupBy("place")).applyInArrow(run, schema), "scored")
+    both = materialise(dealt.groupBy("place").cogroup(gram_scores(dealt, short, places).groupBy("place")).applyInArrow(run, schema), "scored")
     rare = (
         both.where(F.col("word").isNotNull())
         .select("row", "word")

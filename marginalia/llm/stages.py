@@ -10,7 +10,11 @@ from marginalia.llm.common import materialise, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier accepts; it learns from the labels of the documents given."""
+    """The documents that the classifier accepts; it learns from the labels of the documents given.
+
+    A null or empty text is scored as a text without words; a null doc_id has no label but is scored; repeated rows are
+    kept or dropped together; an empty table gives no rows, and without labels all documents stay.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
 
@@ -33,9 +37,14 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no ten-word window of the benchmark."""
+    """The documents that hold no ten-word window of the benchmark.
+
+    Null and empty texts stay, as does a row with a null doc_id; rows that share an id go together; an empty table
+    gives no rows, and an empty benchmark drops none.
+    """
     return decontamination.remove_documents(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document in a packed sequence (see packing.pack); null and empty texts are an end token alone; an empty table gives no rows."""
     return packing.pack(docs)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import clean, shared_path, shuffle_partitions, slices, table
+from marginalia.llm.common import clean, deals, shared_path, slices, table, text_bytes
 from marginalia.llm.tokens import default_path, encoder
 
 END = 2
@@ -150,7 +150,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     """Encodes whole texts, each followed by `end`, and writes files in ascending doc_id order (null ids first, repeated rows side by side).
 
     A null text is empty and has the end token alone; an empty table gives an empty folder; a text of any length is
-    one document in one file. Only doc_id and text are read. Partitions are ranges of doc_id.
+    one document in one file. Only doc_id and text are read. Partitions are ranges of doc_id and, so that rows of one id
+    or of none need no one partition, of a hash of the text.
     """
     source = tokenizer or default_path()
 
@@ -179,14 +180,17 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
         if names:
             yield close()
 
-    ordered = clean(docs).repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    by = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
+    dealt = clean(docs).withColumn("hash", F.xxhash64("text")).repartitionByRange(deals(docs.sparkSession, text_bytes(docs)), *by)
+    ordered = dealt.sortWithinPartitions(*by).select("doc_id", "text")
     ordered.mapInArrow(run, "part long, start long, n long, file binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone.
 
-    The partitions' sizes, one number each, come to the driver and give the first token of each.
+    The partitions' sizes, one number each, come to the driver and give the first token of each. Null ids come back as
+    null; an empty folder gives no rows.
     """
     files = spark.read.parquet(path)
     first, total = [], 0
@@ -210,7 +214,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def locate(spark: SparkSession, path: str, token: int) -> DataFrame:
-    """doc_id and place in the document of every occurrence of a token, by select on the planes."""
+    """doc_id (null where it was) and place in the document of every occurrence of a token, by select on the planes; none for a token that no file has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -117,6 +117,40 @@ def test_ppm(docs, texts, nothing):
     assert ppm.score(nothing).count() == 0
 
 
+def brute_ppm(train, text):
+    """log10 probability by escape method C with exclusion of the symbols of the longer context, from plain dictionaries."""
+    tables = [defaultdict(Counter) for _ in range(ppm.ORDER + 1)]
+    for t in train:
+        whole = [256] * ppm.ORDER + list(t) + [256]
+        for i in range(ppm.ORDER, len(whole)):
+            for k in range(ppm.ORDER + 1):
+                tables[k][tuple(whole[i - k : i])][whole[i]] += 1
+    whole, total = [256] * ppm.ORDER + list(text) + [256], 0.0
+    for i in range(ppm.ORDER, len(whole)):
+        out = set()
+        for k in range(ppm.ORDER, -1, -1):
+            seen = tables[k].get(tuple(whole[i - k : i]))
+            if not seen:
+                continue
+            left = {s: c for s, c in seen.items() if s not in out}
+            room = sum(left.values()) + len(left)
+            if whole[i] in left:
+                total += math.log10(left[whole[i]] / room)
+                break
+            total += math.log10(len(left) / room) if left else 0.0
+            out = set(seen)
+        else:
+            total -= math.log10(257 - len(tables[0].get((), ())))
+    return total
+
+
+def test_ppm_scores_against_plain_dictionaries(docs, texts):
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    train = [(t or "").encode() for i, t in texts if not held(i)]
+    found = sorted((str(r["doc_id"]), round(r["score"], 4)) for r in ppm.score(docs).select("doc_id", "score").collect() if r["doc_id"] not in (8, 103))
+    assert found == sorted((str(i), round(brute_ppm(train, (t or "").encode()), 4)) for i, t in texts if i not in (8, 103))
+
+
 def test_ppm_is_a_probability():
     """After any context the probabilities of all symbols add up to one, exclusion included."""
     text = b"abracadabra abracad abrac"
@@ -405,6 +439,51 @@ def test_quality(spark, docs, texts, nothing):
     assert len(quality.score(docs, quality.train(docs, labels.limit(0))).collect()) == len(texts)
 
 
+def plain_features(text):
+    """The features of one text, one by one."""
+    n = len(text)
+    if not n:
+        return [0.0] * len(quality.FEATURES)
+    share = lambda chars: sum(b in chars for b in text) / n
+    kinds = [bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b" \t", b"\n", b".,;:'-?", bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in b".,;:'-?"), bytes(range(128, 256))]
+    p = [text.count(bytes([b])) / n for b in set(text)]
+    words, lines = text.split(), text.split(b"\n")
+    w = len(words)
+    row = [math.log1p(n), *map(share, kinds), -sum(x * math.log2(x) for x in p), max(text.count(bytes([b])) for b in kinds[6]) / n, math.log1p(w)]
+    if w:
+        plain, letters = sum(x[-1] in b".,;:?!" for x in words), sum(x.isalpha() for x in words)
+        row += [sum(map(len, words)) / w, len(set(words)) / w, max(Counter(words).values()) / w, sum(a == b for a, b in zip(words, words[1:])) / w, sum(x.isupper() for x in words) / w, (w - letters - plain) / w, words.count(b"|") / w]
+    else:
+        row += [0.0] * 7
+    return [*row, math.log1p(len(lines)), n / len(lines), sum(x[-1:] in (b".", b"!", b"?") for x in lines) / len(lines)]
+
+
+def test_quality_against_plain_lookups(docs, texts):
+    """Features and scores of every text, one feature and one table at a time."""
+    data = [(t or "").encode() for _, t in texts]
+    x = quality.features(data)
+    assert np.allclose(x, [plain_features(t) for t in data])
+    model = quality.fit(x, np.arange(len(x)) % 3 == 0)
+    plain = []
+    for row in x.tolist():
+        total = model.base + sum(lut[sum(e <= v for e in edge)] for v, edge, lut in zip(row, model.edges, model.tables))
+        total += sum(lut[sum(e <= row[i] for e in ei)][sum(e <= row[j] for e in ej)] for i, j, ei, ej, lut in model.pairs)
+        plain.append(1 / (1 + math.exp(-max(-30, min(30, total)))))
+    found = [r["score"] for r in quality.score(docs, model).select("score").collect()]
+    assert np.allclose(sorted(found), sorted(plain)) and model.pairs
+
+
+def test_quality_trees_take_the_best_cut():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        g, h = r.normal(size=9), r.uniform(1, 3, 9)
+        gain = [g[:m].sum() ** 2 / (h[:m].sum() + 1) + g[m:].sum() ** 2 / (h[m:].sum() + 1) - g.sum() ** 2 / (h.sum() + 1) if min(h[:m].sum(), h[m:].sum()) >= 2 else 0 for m in range(1, 9)]
+        m = int(np.argmax(gain)) + 1
+        step = quality._tree(g, h, 1, 2.0)
+        if gain[m - 1] > 1e-9:
+            assert np.allclose(step, [g[:m].sum() / (h[:m].sum() + 1)] * m + [g[m:].sum() / (h[m:].sum() + 1)] * (9 - m))
+
+
 def test_quality_on_held_out_labels(spark):
     from marginalia.llm.queries import QUERIES
 
