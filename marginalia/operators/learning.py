@@ -11,30 +11,50 @@ from pyspark.sql import functions as F
 from marginalia.functions.math import adaptive_vote, rnd
 
 
-def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], tuple], step: Callable[..., tuple], inputs: list[str], schema: str) -> DataFrame:
-    """Folds the rows of each key in order: key and the last state (columns of schema, after the key's).
+def fold(df: DataFrame, key: str | list[str], order: list[str], start: Callable[[], tuple], step: Callable[..., tuple], inputs: list[str], schema: str) -> DataFrame:
+    """Folds the rows of each key in order: key and the last state (columns of schema, after the key's). Null keys are passed over.
 
     Rows are dealt and sorted by key; a task then streams through them and holds only the state of the key at hand,
     so a key with a third of all rows needs no more memory than any other.
     """
     fields = [x.split()[0] for x in schema.split(",")]
+    keys = [key] if isinstance(key, str) else key
+    k = len(keys)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state, done = None, None, []
         for frame in frames:
-            for row in frame[[key, *inputs]].itertuples(index=False, name=None):
-                if state is None or row[0] != now:
+            for row in frame[[*keys, *inputs]].itertuples(index=False, name=None):
+                if state is None or row[:k] != now:
                     if state is not None:
-                        done.append((now, *state))
-                    now, state = row[0], start()
-                state = step(state, *row[1:])
+                        done.append((*now, *state))
+                    now, state = row[:k], start()
+                state = step(state, *row[k:])
             if done:
                 yield pd.DataFrame(done, columns=fields)
                 done = []
         if state is not None:
-            yield pd.DataFrame([(now, *state)], columns=fields)
+            yield pd.DataFrame([(*now, *state)], columns=fields)
 
-    return df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).select(key, *inputs).mapInPandas(run, schema)
+    return df.dropna(subset=keys).repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *inputs).mapInPandas(run, schema)
+
+
+def average(df: DataFrame, by: list[str], order: list[str], outcome: Column, alpha: float = 0.3, weight: Column | None = None) -> DataFrame:
+    """Exponential moving average of outcomes, oldest first, the first one taken whole: keys, confidence, evidence.
+
+    With a weight, alpha is multiplied by it (0 to 5) and is at most 0.8. Rows stream through the fold, so a hot key
+    is neither buffered nor ranked.
+    """
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
+    step_size = F.lit(float(alpha)) if weight is None else F.least(F.lit(0.8), alpha * F.greatest(F.lit(0.0), F.least(F.lit(5.0), weight)))
+    rows = df.select(*by, *[c for c in order if c not in by], outcome.cast("double").alias("_x"), step_size.alias("_a"))
+
+    def step(state: tuple, x: float, a: float) -> tuple:
+        c, n = state
+        return (x if n == 0 else c * (1 - a) + x * a), n + 1
+
+    made = fold(rows, by, order, lambda: (0.0, 0), step, ["_x", "_a"], f"{kinds}confidence double, evidence long")
+    return made.withColumn("confidence", rnd("confidence", 6))
 
 
 def review(state: tuple, grade: str) -> tuple:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.dates import window_start
 from marginalia.functions.math import rnd
+from marginalia.operators.learning import fold
 
 
 def active_days(events: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
@@ -77,9 +78,13 @@ def diversify(df: DataFrame, by: list[str], score: str, category: str, tie: str,
 
 
 def average_fold(df: DataFrame, by: list[str], newest_first: list, outcome: Column, alpha: float = 0.3) -> DataFrame:
-    """Exponential moving average of outcomes, the first one taken whole, as a weighted sum: the fold's closed form, added up on the map side."""
-    back = F.row_number().over(Window.partitionBy(*by).orderBy(*newest_first)) - 1
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = df.select(*by, outcome.alias("_x"), back.alias("_back"), n.alias("_n"))
-    weight = F.pow(F.lit(1 - alpha), F.col("_back")) * F.when(F.col("_back") == F.col("_n") - 1, 1.0).otherwise(alpha)
-    return ranked.groupBy(*by).agg(rnd(F.sum(F.col("_x") * weight), 6).alias("confidence"), F.count("*").alias("evidence"))
+    """Exponential moving average of outcomes, the oldest one taken whole. Rows stream through newest first with falling weights, so a hot key is neither ranked nor buffered."""
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
+
+    def step(state: tuple, x: float) -> tuple:
+        total, weight, last, n = state
+        return total + last * weight * alpha if n else 0.0, weight * (1 - alpha) if n else 1.0, x, n + 1
+
+    rows = df.withColumn("_x", outcome.cast("double"))
+    made = fold(rows, by, newest_first, lambda: (0.0, 1.0, 0.0, 0), step, ["_x"], f"{kinds}total double, weight double, last double, evidence long")
+    return made.select(*by, rnd(F.col("total") + F.col("last") * F.col("weight"), 6).alias("confidence"), "evidence")
