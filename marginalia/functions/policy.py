@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.math import col
@@ -91,6 +91,76 @@ def private_ipv4(ip) -> Column:
     return (p[0].isin(0, 10, 127)) | ((p[0] == 172) & p[1].between(16, 31)) | ((p[0] == 192) & (p[1] == 168)) | ((p[0] == 169) & (p[1] == 254)) | ((p[0] == 100) & p[1].between(64, 127)) | (p[0] >= 224)
 
 
+def private_ipv6(ip) -> Column:
+    """Loopback, unspecified, unique-local, link-local and mapped private addresses, as text in any case, with or without brackets."""
+    a = F.lower(F.regexp_replace(col(ip), r"^\[|\]$|%.*$", ""))
+    mapped = F.regexp_extract(a, r"^(?:0*:)*:?ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
+    return a.rlike(r"^(?:::1|::|0*(?::0*){6}:0*1?)$") | a.rlike(r"^f[cd][0-9a-f]{0,2}:") | a.rlike(r"^fe[89ab][0-9a-f]?:") | ((mapped != "") & private_ipv4(mapped))
+
+
+def private_host(host) -> Column:
+    """Whether a host must not be fetched: private addresses of both kinds, and local names."""
+    h = F.lower(F.regexp_replace(col(host), r"\.$", ""))
+    v4 = h.rlike(r"^\d+\.\d+\.\d+\.\d+$")
+    return F.when(v4, private_ipv4(h)).when(h.contains(":"), private_ipv6(h)).otherwise((h == "localhost") | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal"))
+
+
+def merge_notes(server, client, base, between: str) -> Column:
+    """text and conflict of a note edited on two sides: the side that changed wins, and where both did they are joined. A blank result is null; a null base is unknown."""
+    s, c, b = F.trim(F.coalesce(col(server), F.lit(""))), F.trim(F.coalesce(col(client), F.lit(""))), F.trim(col(base))
+    text = F.when(s == c, c).when(s == b, c).when(c == b, s).when(s == "", c).when(c == "", s)
+    clash = text.isNull()
+    return F.struct(F.nullif(F.coalesce(text, F.concat(c, F.lit(between), s)), F.lit("")).alias("text"), clash.alias("conflict"))
+
+
+def candidate_take(offset: int, limit: int, most: int = 500) -> int:
+    """How many candidates a search page needs: the page, one more and some room."""
+    return min(most, max(limit + 1, offset + limit + 1 + 50))
+
+
+def priority_take(offset: int, limit: int, most: int = 500) -> int:
+    return min(most, offset + limit + 1)
+
+
+# The fields that a search of notes and of saved words looks at.
+NOTE_FIELDS, WORD_FIELDS = ("quote", "note"), ("word", "explanation", "example", "context")
+
+
+def time_range(days: int | None, now: str, usual: int = 30, most: int = 365) -> tuple[Column, Column]:
+    """The half-open range of the last so many days (1 to `most`, else the usual number) before a time."""
+    n = usual if days is None else min(most, max(1, int(days)))
+    end = F.lit(now).cast("timestamp_ntz")
+    return end - F.make_dt_interval(F.lit(n)), end
+
+
+def missing_derivation(measure: str, children: list[str]) -> Column:
+    """Rows whose measure is null or one of whose child lists is empty or null."""
+    return reduce(or_, [F.coalesce(F.size(c), F.lit(0)) <= 0 for c in children], F.col(measure).isNull())
+
+
+def in_topics(c, topic: str) -> Column:
+    """Membership in a JSON array of strings; anything else holds none."""
+    return F.coalesce(F.array_contains(F.from_json(col(c), "array<string>"), topic), F.lit(False))
+
+
+def saved_words(fields: list[str], terms: list[str], due: Column | None = None) -> Column:
+    """Words that match the terms; with a due filter that as well, both must hold."""
+    match = fields_match(fields, terms) if terms else F.lit(True)
+    return match if due is None else match & due
+
+
+def access_scope(role, own, same_group) -> Column:
+    """What a reader may see of another's data: all, group, own or none."""
+    return F.when(col(role).isin("admin", "operator"), "all").when((col(role) == "teacher") & col(same_group), "group").when(col(own), "own").otherwise("none")
+
+
+def listing_card(df: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+    """The few columns of a listing, an excerpt in place of the text."""
+    from marginalia.functions.text import excerpt
+
+    return df.select("id", "title", excerpt("content").alias("excerpt"), "category", "difficulty", *[v.alias(k) for k, v in (extra or {}).items()])
+
+
 def masked(allowed, c) -> Column:
     """A column only for those allowed to see single persons."""
     return F.when(col(allowed), col(c))

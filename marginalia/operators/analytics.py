@@ -98,3 +98,28 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: list[str]) -> Dat
 
 def running(df: DataFrame, by: list[str], order: list, value: str, alias: str) -> DataFrame:
     return df.withColumn(alias, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def cumulative_buckets(df: DataFrame, by: list[str], value: str, bounds: list[float]) -> DataFrame:
+    """A row for each key and bound, the last one without a bound (le null): how many values don't exceed it. One pass, one row a key before the rows are laid out."""
+    n = df.groupBy(*by).agg(*[F.count_if(F.col(value) <= b).alias(f"_{i}") for i, b in enumerate(bounds)], F.count(value).alias("_all"))
+    rows = F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"_{i}").alias("n")) for i, b in enumerate(bounds)], F.struct(F.lit(None).cast("double").alias("le"), F.col("_all").alias("n")))
+    return n.select(*by, F.explode(rows).alias("_b")).select(*by, "_b.le", "_b.n")
+
+
+def fraction_under(buckets: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """From cumulative buckets: total, fast (the count of the largest bound up to the threshold; 0 if there is none) and their ratio."""
+    made = buckets.groupBy(*by).agg(F.max("n").alias("total"), F.coalesce(F.max(F.when(F.col("le") <= threshold, F.col("n"))), F.lit(0)).alias("fast"))
+    return made.withColumn("fraction", F.when(F.col("total") > 0, rnd(F.col("fast") / F.col("total"), 4)).otherwise(1.0))
+
+
+def hit_ratio(df: DataFrame, by: list[str], hit: Column) -> DataFrame:
+    """hits, misses and the percentage of hits."""
+    n = df.groupBy(*by).agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"))
+    return n.withColumn("ratio", percentage(F.col("hits"), F.col("hits") + F.col("misses")))
+
+
+def pass_rates(cases: DataFrame, by: str) -> DataFrame:
+    """cases: one row each with passed and checks. Counts and pass rate by feature and of all."""
+    made = cases.groupingSets([[F.col(by)], []], F.col(by)).agg(F.count("*").alias("cases"), F.sum("checks").alias("checks"), F.count_if("passed").alias("passed"))
+    return made.select(F.coalesce(by, F.lit("all")).alias(by), "cases", "checks", "passed", percentage("passed", "cases").alias("rate"))

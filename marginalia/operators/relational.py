@@ -82,3 +82,17 @@ def merge_first(sources: list[DataFrame], key: str) -> DataFrame:
     columns = [c for c in out.columns if c not in (key, "_source")]
     top = out.groupBy(key).agg(F.min(F.struct("_source", *columns)).alias("_top"))
     return top.select(key, *[F.col(f"_top.{c}").alias(c) for c in columns], (F.col("_top._source") + 1).alias("source_rank"))
+
+
+def page_with_total(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
+    """One page with total, pages (one at least) and has_more; the count is one number, joined to the page's few rows."""
+    n = df.agg(F.count("*").alias("total"))
+    rows = page(df, order, number, size).join(F.broadcast(n))
+    return rows.withColumns({"pages": F.greatest(F.lit(1), F.ceil(F.col("total") / size)), "has_more": F.col("total") > number * size})
+
+
+def merge_progress(server: DataFrame, client: DataFrame, key: str, done_at: float = 95) -> DataFrame:
+    """percent and completed of a key on two sides: the further place; completed if either says so or the place is far enough."""
+    both = server.select(key, "percent", "completed").unionByName(client.select(key, "percent", "completed"))
+    made = both.groupBy(key).agg(F.max(F.coalesce("percent", F.lit(0.0))).alias("percent"), F.bool_or(F.coalesce("completed", F.lit(False))).alias("completed"))
+    return made.withColumn("completed", F.col("completed") | (F.col("percent") >= done_at))

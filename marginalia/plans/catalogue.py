@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marginalia.plans import activity, commerce, content, learning
+from marginalia.plans import activity, commerce, content, learning, operations
 from marginalia.plans.registry import ORACLE_SQL, QUERIES
 
 flagship = activity.event_funnel
 
-__all__ = ["ORACLE_SQL", "QUERIES", "activity", "commerce", "content", "flagship", "learning"]
+__all__ = ["ORACLE_SQL", "QUERIES", "activity", "commerce", "content", "flagship", "learning", "operations"]
