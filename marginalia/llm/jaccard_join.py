@@ -25,7 +25,7 @@ from marginalia.llm.hashing import shingle_sets
 
 EMPTY_ID = 0
 #: Shingles of a candidate component that is decided in one task.
-WHOLE = 1 << 18
+WHOLE = 1 << 16
 #: Sets that are compared with as many others in a task.
 BLOCK = 1024
 
@@ -324,22 +324,15 @@ def candidates(docs: DataFrame, base: DataFrame, words: int, num: int, den: int,
     return known, near
 
 
-def links_within(texts: DataFrame, words: int, num: int, den: int, whole: int) -> DataFrame:
+def links_within(feats: DataFrame, num: int, den: int, whole: int) -> DataFrame:
     """a and b: links that connect the similar sets of candidate components that are too large for one task.
 
-    texts: set_id, root, total (shingles of the component), text. Rows are dealt by a salt beside the root, and what
+    feats: set_id, root, total (shingles of the component), features. Rows are dealt by a salt beside the root, and what
     all of a component's sets need (reference, nearest set, limits) is sent once for each salt. The reference is the
     majority of a sample of about `whole` shingles; links are exact whatever it is (see Bound).
     """
     bound = Bound(num, den)
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = shingle_sets(*raw_text(batch.column(batch.schema.get_field_index("text"))), words)
-            keep = pa.array([set_id(s) == want for s, want in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["set_id", "root", "total", "features"]).filter(keep)
-
     def reference(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = [b.column("features") for b in batches]
         base = majority(np.concatenate([x.flatten().to_numpy() for x in lists]), sum(map(len, lists)))
@@ -362,7 +355,6 @@ def links_within(texts: DataFrame, words: int, num: int, den: int, whole: int) -
                     yield pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in pairs], pa.int64()), pa.array([int(b) for _, b in pairs], pa.int64())], ["a", "b"])
 
     salts = F.ceil(F.col("total") / whole)
-    feats = materialise(texts.select("set_id", "root", "total", "text").mapInArrow(describe, "set_id long, root long, total long, features array<long>"), "features")
     salted = feats.withColumn("salt", F.pmod(F.xxhash64("set_id", F.lit(1)), salts))
     sizes = feats.groupBy("root").agg(F.first("total").alias("total"))
 
@@ -422,14 +414,22 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
             sets = shingle_sets(*raw_text(batch.column(1)), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), batch.column(2)], ["doc_id", "n_shingles", "set_id", "sketch", "row"])
 
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """set_id, root, total and the set's features, of the rows that have the wanted set."""
+        for batch in slices(batches):
+            sets = shingle_sets(*raw_text(batch.column(batch.schema.get_field_index("text"))), words)
+            ids = batch.column(batch.schema.get_field_index("set_id"))
+            keep = pa.array([set_id(s) == want for s, want in zip(sets, ids.to_pylist(), strict=True)], pa.bool_())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("set_id", "root", "total")), lists], ["set_id", "root", "total", "features"]).filter(keep)
+
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_key(batches, "root", SLICE_BYTES):
+            lists = table.column("features").combine_chunks()
+            edge, flat = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))), lists.flatten().to_numpy().view(np.uint64)
             groups: dict[int, dict[int, np.ndarray]] = {}
-            for batch in slices(table.to_batches()):
-                sets = shingle_sets(*raw_text(batch.column(batch.schema.get_field_index("text"))), words)
-                for s, want, root in zip(sets, batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if set_id(s) == want:
-                        groups.setdefault(root, {})[want] = s
+            for k, (ident, root) in enumerate(zip(table.column("set_id").to_pylist(), table.column("root").to_pylist(), strict=True)):
+                groups.setdefault(root, {})[ident] = flat[edge[k] : edge[k + 1]]
             node, top = [], []
             for members in groups.values():
                 ids = sorted(members)
@@ -439,18 +439,20 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
 
     base = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, set_id long, sketch binary, row long"), "sets")
     known, near = candidates(rows, base, words, num, den, scheme)
-    picked = materialise(known.select("set_id", "row", "n_shingles").join(near, "set_id"), "picked")
+    picked = known.select("set_id", "row", "n_shingles").join(near, "set_id")
     total = picked.groupBy("root").agg(F.sum("n_shingles").alias("total"))
-    small = picked.select("set_id", "row", "root").join(total.where(F.col("total") <= whole), "root")
-    texts = rows.select("row", "text").join(small, "row").select("set_id", "root", "text")
-    tops = texts.repartition("root").sortWithinPartitions("root").mapInArrow(decide, "set_id long, top long").distinct()
-    large = materialise(total.where(F.col("total") > whole), "large")
+    picked = materialise(picked.select("set_id", "row", "root").join(total, "root"), "picked")
+    # Always a shuffle: which rows are picked grows with the corpus.
+    texts = rows.select("row", "text").join(picked.hint("merge"), "row")
+    feats = materialise(texts.mapInArrow(prepare, "set_id long, root long, total long, features array<long>"), "features")
+    small, large = feats.where(F.col("total") <= whole), feats.where(F.col("total") > whole)
+    tops = small.select("set_id", "root", "features").repartition("root").sortWithinPartitions("root").mapInArrow(decide, "set_id long, top long")
     if large.limit(1).count():
-        texts = rows.select("row", "text").join(picked.select("set_id", "row", "root").join(large, "root"), "row")
-        tops = tops.unionByName(components(links_within(texts, words, num, den, whole)).select(F.col("node").alias("set_id"), F.col("root").alias("top")))
+        tops = tops.unionByName(components(links_within(large, num, den, whole)).select(F.col("node").alias("set_id"), F.col("root").alias("top")))
     placed = base.drop("sketch", "row").join(tops, "set_id", "left").withColumn("top", F.coalesce("top", "set_id"))
     placed = materialise(placed, "placed")
-    first = placed.where(F.col("set_id") != EMPTY_ID).groupBy("top").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that both sides of the last join come from their shuffles and a large component's rows can be split.
+    first = materialise(placed.where(F.col("set_id") != EMPTY_ID).groupBy("top").agg(F.min("doc_id").alias("component_id")), "first")
     return placed.join(first, "top", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
