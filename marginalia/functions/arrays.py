@@ -47,7 +47,7 @@ def timing_of_seconds(rows) -> Column:
 
 def id_list(c) -> Column:
     """A JSON array of ids: texts that aren't blank, trimmed, each once, in order."""
-    ids = F.transform(F.coalesce(F.from_json(col(c), "array<string>"), F.array().cast("array<string>")), F.trim)
+    ids = F.transform(F.coalesce(F.from_json(col(c), "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(x))
     return F.array_distinct(F.filter(ids, lambda x: x.isNotNull() & (x != "")))
 
 

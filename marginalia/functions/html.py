@@ -12,9 +12,18 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 
 
 def decode(c) -> Column:
-    out = col(c)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
+    """Numeric entities, decimal and hexadecimal, then the named ones. Each distinct numeric one is replaced once, inside the JVM."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit("(?i)&#(?:x0*[0-9a-f]{1,5}|0*[0-9]{1,6});"), F.lit(0)))
+
+    def char(e: Column) -> Column:
+        body = F.regexp_replace(F.lower(e), "^&#|;$", "")
+        code = F.when(body.startswith("x"), F.conv(F.substring(body, 2, 20), 16, 10)).otherwise(body).cast("int")
+        good = (code > 0) & ((code < 0xD800) | (code > 0xDFFF))
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    out = F.aggregate(found, col(c), lambda text, e: F.replace(text, e, F.coalesce(char(e), e)))
+    for name, sign in ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(sign))
     return out
 
 
@@ -70,3 +79,124 @@ def link_density(c) -> Column:
     text = F.length(strip_tags(c))
     inside = F.length(F.array_join(F.transform(F.regexp_extract_all(col(c), F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", " "))), " "))
     return F.when(text == 0, 0.0).otherwise(inside / text)
+
+
+#: Block elements whose outer HTML is kept, in document order; those inside another one belong to it.
+BLOCKS = r"(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "ul", "ol", "pre", "table", "figure"))
+
+
+def harvest(c) -> Column:
+    """The block elements of a scope that hold text or an image."""
+    found = F.regexp_extract_all(col(c), F.lit(BLOCKS), F.lit(0))
+    return F.filter(found, lambda b: (strip_tags(b) != "") | b.rlike(r"(?i)<img\b"))
+
+
+def json_ld(c) -> Column:
+    """The first node of a page's JSON-LD blocks that is an article, as JSON text: blocks, arrays of nodes and graphs are looked through in order."""
+    raw = F.regexp_extract_all(col(c), F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    none = F.array().cast("array<string>")
+    listed = lambda x: F.coalesce(F.from_json(x, "array<string>"), none)
+    nodes = lambda x: F.concat(F.array(x), F.when(F.trim(x).startswith("["), listed(x)).otherwise(none))
+    graph = lambda x: F.concat(F.array(x), listed(F.get_json_object(x, "$.@graph")))
+    every = F.flatten(F.transform(F.flatten(F.transform(raw, nodes)), graph))
+    kinds = r"(?:^|[\"\[,])\s*(?:NewsArticle|Article|Report|BlogPosting|ReportageNewsArticle)\s*(?:$|[\"\],])"
+    return F.get(F.filter(every, lambda n: F.coalesce(F.get_json_object(n, "$.@type"), F.lit("")).rlike(kinds)), F.lit(0))
+
+
+def json_text(node, *paths: str) -> Column:
+    """The first of some JSON paths that gives a text that isn't blank."""
+    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(col(node), p)), F.lit("")) for p in paths])
+
+
+def json_author(node) -> Column:
+    """The author of a JSON-LD node: a text, an object's name, or the names of a list, joined."""
+    a = F.get_json_object(col(node), "$.author")
+    one = lambda x: F.coalesce(F.when(F.trim(x).startswith("{"), F.get_json_object(x, "$.name")).otherwise(x), F.lit(""))
+    many = F.array_join(F.filter(F.transform(F.coalesce(F.from_json(a, "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(one(x))), lambda x: x != ""), ", ")
+    return F.nullif(F.trim(F.when(F.trim(a).startswith("["), many).otherwise(one(a))), F.lit(""))
+
+
+def json_image(node) -> Column:
+    """The image of a JSON-LD node: a text, an object's url, or the first of a list."""
+    i = F.get_json_object(col(node), "$.image")
+    one = lambda x: F.when(F.trim(x).startswith("{"), F.get_json_object(x, "$.url")).otherwise(x)
+    first = F.get(F.filter(F.transform(F.coalesce(F.from_json(i, "array<string>"), F.array().cast("array<string>")), one), lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), F.lit(0))
+    return F.nullif(F.trim(F.when(F.trim(i).startswith("["), first).otherwise(one(i))), F.lit(""))
+
+
+def section_category(section, table: dict[str, str]) -> Column:
+    """A category for the first of some keys that a section's name holds; null without one."""
+    low = F.lower(F.coalesce(col(section), F.lit("")))
+    return F.coalesce(*[F.when(low.contains(k), F.lit(v)) for k, v in table.items()])
+
+
+# The elements and attributes that sanitised articles may have, and words that mark an advertising block's class or id.
+ALLOWED = "p br hr h1 h2 h3 h4 h5 h6 blockquote ul ol li strong b em i u s sup sub code pre a img figure figcaption table thead tbody tr th td".split()
+AD_CLASS = r"\b(?:ad|ads|adsense|advert|advertisement|sponsor|sponsored|promo|promotion|newsletter|subscribe|signup|social|share|sharing|related|recommend|comment|cookie|consent|popup|modal|overlay|paywall|banner)\b"
+
+
+def sanitise(c) -> Column:
+    """Allow-listed HTML: scripts and the like with their content, advertising blocks with theirs; then only known elements, of which links keep a safe address, images a safe source and text, and table cells their spans."""
+    out = F.regexp_replace(col(c), r"(?is)<(script|style|textarea|noscript|iframe|template)\b.*?</\1\s*>|<!--.*?-->", "")
+    out = F.regexp_replace(out, rf"""(?is)<(div|section|aside|nav|header|footer|p|ul|ol|figure|span)\b[^>]*(?:class|id|data-ad)\s*=\s*["'][^"']*{AD_CLASS}[^"']*["'][^>]*>.*?</\1\s*>""", "")
+    out = F.regexp_replace(out, rf"(?i)</?(?!(?:{'|'.join(ALLOWED)})\b)[a-z][^>]*>", "")
+    out = F.regexp_replace(out, rf"(?i)<({'|'.join(t for t in ALLOWED if t not in ('a', 'img', 'th', 'td'))})\s[^>]*?(/?)>", "<$1$2>")
+    out = F.regexp_replace(out, r"""(?i)<a\b[^>]*?\shref\s*=\s*["']((?:https?:|mailto:)[^"']*)["'][^>]*>""", "<a href=\"$1\" rel=\"noopener noreferrer nofollow\" target=\"_blank\">")
+    out = F.regexp_replace(out, r"""(?i)<a\b(?! href="[^"]*" rel="noopener)[^>]*>""", "<a rel=\"noopener noreferrer nofollow\" target=\"_blank\">")
+    out = F.regexp_replace(out, r"""(?i)<img\b(?=[^>]*\ssrc\s*=\s*["'](https?:[^"']*)["'])(?=[^>]*\salt\s*=\s*["']([^"']*)["'])[^>]*>""", "<img src=\"$1\" alt=\"$2\" />")
+    out = F.regexp_replace(out, r"""(?i)<img\b(?![^>]* />)[^>]*?\ssrc\s*=\s*["'](https?:[^"']*)["'][^>]*>""", "<img src=\"$1\" />")
+    out = F.regexp_replace(out, r"""(?i)<img\b(?! src="https?:)[^>]*>""", "")
+    return F.regexp_replace(out, r"""(?i)<(t[hd])\b(?![^>]*(?:colspan|rowspan))[^>]*>""", "<$1>")
+
+
+def drop_blocks(c, tags: tuple[str, ...] = (), class_words: tuple[str, ...] = (), text_words: tuple[str, ...] = (), href_words: tuple[str, ...] = (), captions: bool = False) -> Column:
+    """A source's cleanup rules: elements by name, containers by a word in class or id, short paragraphs (1000 characters) by a word in their text, links by a word in their address, captions."""
+    import re
+
+    out = col(c)
+    either = lambda words: "|".join(map(re.escape, words))
+    for t in tags:
+        out = F.regexp_replace(out, rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>|<{t}\b[^>]*/?>", "")
+    if class_words:
+        out = F.regexp_replace(out, rf"""(?is)<(div|section|aside|nav|header|footer|ul|figure|p)\b[^>]*(?:class|id|role|aria-label|data-[a-z-]+)\s*=\s*["'][^"']*(?:{either(class_words)})[^"']*["'][^>]*>.*?</\1\s*>""", "")
+    if href_words:
+        out = F.regexp_replace(out, rf"""(?is)<a\b[^>]*href=["'][^"']*(?:{either(href_words)})[^"']*["'][^>]*>.*?</a\s*>""", "")
+    if captions:
+        out = F.regexp_replace(out, r"(?is)<figcaption\b[^>]*>.*?</figcaption\s*>", "")
+    if text_words:
+        out = F.regexp_replace(out, rf"(?is)<(p|li)\b[^>]*>(?=(?:(?!</\1).){{0,1000}}</\1)(?:(?!</\1).)*?(?:{either(text_words)})(?:(?!</\1).)*</\1\s*>", "")
+    return out
+
+
+def merged_rules(*rules: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+    """The union of cleanup rules, each word once, in order."""
+    out: dict[str, tuple[str, ...]] = {}
+    for r in rules:
+        for k, words in r.items():
+            out[k] = tuple(dict.fromkeys((*out.get(k, ()), *words)))
+    return out
+
+
+# What makes a block boilerplate by its own words.
+CHROME_TEXT = r"(?i)^(?:subscribe|sign\s?up|follow us|share this|related (?:stories|articles)|most popular|read more|advertisement|click here|by [A-Z][a-z]+ [A-Z][a-z]+$)"
+
+
+def declutter(blocks, most: float = 0.35, keep: int = 600) -> Column:
+    """Blocks (an array of outer HTML) without clutter: by class (sure), by its own words (sure) and by links (likely).
+
+    All candidates go if they are at most `most` of the text; else the sure ones if they are, or if `keep` characters stay; else none.
+    """
+    size = lambda b: F.length(strip_tags(b))
+    total = lambda bs: F.aggregate(F.transform(bs, size), F.lit(0), lambda a, x: a + x)
+    sure = lambda b: b.rlike(rf"(?is)^<[a-z0-9]+\b[^>]*(?:class|id)\s*=\s*[\"'][^\"']*{AD_CLASS}") | ((size(b) < 160) & strip_tags(b).rlike(CHROME_TEXT))
+    likely = lambda b: sure(b) | ((size(b) > 0) & (link_density(b) > 0.6))
+    bs = col(blocks)
+    every, certain, whole = total(F.filter(bs, likely)), total(F.filter(bs, sure)), total(bs)
+    drop_all, drop_sure = every <= whole * most, (certain <= whole * most) | (whole - certain >= keep)
+    return F.when(drop_all, F.filter(bs, lambda b: ~likely(b))).when(drop_sure, F.filter(bs, lambda b: ~sure(b))).otherwise(bs)
+
+
+def reader_blocks(c) -> Column:
+    """Texts of an article's blocks in order, decoded, blank ones left out; list items one by one."""
+    parts = F.regexp_extract_all(col(c), F.lit(r"(?is)<(?:p|h[1-6]|li|blockquote|pre|figcaption)\b[^>]*>(?:(?!<(?:p|h[1-6]|li|blockquote|pre|figcaption)\b).)*"), F.lit(0))
+    return F.filter(F.transform(parts, lambda x: decode(strip_tags(x))), lambda x: x != "")

@@ -60,7 +60,7 @@ def word_count(c) -> Column:
 
 def sentences(c) -> Column:
     """Split after a full stop, exclamation or question mark and white space; empty ones are dropped."""
-    return F.filter(F.transform(F.split(col(c), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(col(c), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentence_count(c) -> Column:
@@ -81,7 +81,7 @@ def total(values: Column) -> Column:
 
 def readability_counts(c: str) -> dict[str, Column]:
     w = words(c)
-    return {"n_words": F.size(w), "n_sentences": sentence_count(c), "n_syllables": total(F.transform(w, syllables_of)), "n_letters": total(F.transform(w, lambda x: F.length(F.regexp_replace(x, "[^A-Za-z]", "")))), "n_long": F.size(F.filter(w, lambda x: F.length(x) > 6)), "n_complex": F.size(F.filter(w, lambda x: syllables_of(x) >= 3))}
+    return {"n_words": count_of(c, WORD), "n_sentences": sentence_count(c), "n_syllables": total(F.transform(w, syllables_of)), "n_letters": total(F.transform(w, lambda x: F.length(x) - F.when(x.contains("'"), 1).otherwise(0))), "n_long": F.size(F.filter(w, lambda x: F.length(x) > 6)), "n_complex": F.size(F.filter(w, lambda x: syllables_of(x) >= 3))}
 
 
 def _if(enough: Column, value: Column) -> Column:
@@ -167,11 +167,13 @@ def garbage_ratio(c) -> Column:
 
 
 def ad_hits(c) -> Column:
-    return reduce(Column.__add__, [count_of(c, f"(?i){p}") for p in AD_PATTERNS])
+    """Occurrences of all phrases; a text without any is told by one pass."""
+    return F.when(col(c).rlike(f"(?i){'|'.join(AD_PATTERNS)}"), reduce(Column.__add__, [count_of(c, f"(?i){p}") for p in AD_PATTERNS])).otherwise(0)
 
 
 def boilerplate_hits(c) -> Column:
-    return reduce(Column.__add__, [F.when(col(c).rlike(f"(?i){p}"), 1).otherwise(0) for p in BOILERPLATE_PATTERNS])
+    """How many of the phrases occur; a text without any is told by one pass."""
+    return F.when(col(c).rlike(f"(?i){'|'.join(BOILERPLATE_PATTERNS)}"), reduce(Column.__add__, [F.when(col(c).rlike(f"(?i){p}"), 1).otherwise(0) for p in BOILERPLATE_PATTERNS])).otherwise(0)
 
 
 def code_symbol_density(c) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marginalia.plans import activity, articles, commerce, content, learning, operations
+from marginalia.plans import activity, articles, commerce, content, learning, operations, reading
 from marginalia.plans.registry import ORACLE_SQL, QUERIES
 
 flagship = activity.event_funnel
 
-__all__ = ["ORACLE_SQL", "QUERIES", "activity", "articles", "commerce", "content", "flagship", "learning", "operations"]
+__all__ = ["ORACLE_SQL", "QUERIES", "activity", "articles", "commerce", "content", "flagship", "learning", "operations", "reading"]
