@@ -192,7 +192,15 @@ def ewma_mastery(spark: SparkSession, d: str) -> DataFrame:
     return sequences.average_fold(events(spark, d), ["user_id"], [F.desc("ts"), F.desc("event_id")], outcome)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 3 WHEN 'click' THEN 4 ELSE 5 END AS q, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id IS NOT NULL),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS i, CAST(2.5 AS DOUBLE) AS ease, CAST(0 AS BIGINT) AS reps FROM e
+  UNION ALL SELECT user_id, rn, CASE WHEN q = 0 THEN 1 WHEN q = 3 THEN greatest(1, CAST(floor(step * CAST(0.6 AS DOUBLE) + 0.5) AS BIGINT)) ELSE step END, ease, reps
+  FROM (SELECT user_id, rn, q, ease, CASE WHEN q = 0 THEN 0 ELSE reps + 1 END AS reps, CASE WHEN reps = 0 THEN 1 WHEN reps = 1 THEN 6 ELSE CAST(floor(i * ease + 0.5) AS BIGINT) END AS step
+    FROM (SELECT e.user_id, e.rn, e.q, f.i, f.reps, CASE WHEN e.q = 0 THEN greatest(CAST(1.3 AS DOUBLE), f.ease - CAST(0.2 AS DOUBLE)) ELSE greatest(CAST(1.3 AS DOUBLE), f.ease + CAST(0.1 AS DOUBLE) - (5 - e.q) * (CAST(0.08 AS DOUBLE) + (5 - e.q) * CAST(0.02 AS DOUBLE))) END AS ease
+      FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)))
+SELECT user_id, i AS interval_days, floor(ease * 10000 + 0.5) / 10000 AS ease, reps AS repetitions FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1
+""")
 def sm2_state(spark: SparkSession, d: str) -> DataFrame:
     """Spaced-repetition state of each user after all events as reviews."""
     grade = F.when(F.col("event_type") == "error", "again").when(F.col("event_type") == "view", "hard").when(F.col("event_type") == "click", "good").otherwise("easy")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +61,12 @@ _FIT = "CASE delta WHEN 0 THEN 1.0 WHEN -1 THEN 0.78 WHEN 1 THEN 0.62 WHEN -2 TH
 _D3 = "greatest(-3, least(3, delta))"
 
 
-@query(f"""
+def _doubles(sql: str) -> str:
+    """Decimal literals as doubles, so that both engines add the same numbers."""
+    return re.sub(r"(?<![\w.])(\d+\.\d+)(?!\w)", r"\1e0", sql)
+
+
+@query(_doubles(f"""
 WITH i AS ({_ITEMS}), p AS ({_PEOPLE}), r AS ({_READ}),
 s AS (SELECT p.c_custkey, i.p_partkey, i.p_type, i.rank - p.reader AS delta, i.age, list_contains(topics, p_type) AS hit, coalesce(in_progress, false) AS busy, coalesce(completed, false) AS done, CAST((p.c_custkey % 5) - 2 AS DOUBLE) / 2 AS bias,
     CAST(p.c_custkey % 10 AS DOUBLE) / 10 AS fam, CAST(p.c_custkey % 300 AS DOUBLE) AS known, CAST(i.p_partkey % 5 AS DOUBLE) AS weak, CAST(200 + i.p_partkey * 13 % 1200 AS INTEGER) AS words, i.rank
@@ -74,7 +81,7 @@ t AS (SELECT *, floor(least(100.0, greatest(0.0, least(1.0, greatest(0.0, least(
     + greatest(-0.1, least(0.1, (tier - 0.6) * 0.25)))) * 100 + floor(8 * least(1.0, weak / 3) * 10 + 0.5) / 10) * 10 + 0.5) / 10 AS score FROM c WHERE NOT done),
 q AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, p_partkey) AS n FROM t)
 SELECT c_custkey, p_partkey, score, CAST(n AS INTEGER) AS position FROM q WHERE n <= 5
-""")
+"""))
 def recommend_scored(spark: SparkSession, d: str) -> DataFrame:
     """Five items a reader by the seven weighted components, the goal path, the suitability of the category and weak-word points, among the items of the reader's topics."""
     readers = people(spark, d).withColumn("p_brand", F.col("topics")[1])

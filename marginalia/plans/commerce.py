@@ -178,16 +178,21 @@ def freshness_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT p_partkey, CAST(substr(p_brand, 7) AS INTEGER) AS topic, p_type, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part),
-s AS (SELECT c_custkey, p_partkey, p_type, CAST(floor(p_size / 9) AS INTEGER) - CAST(floor(c_acctbal / 2500) AS INTEGER) AS delta FROM customer JOIN c ON c_nationkey = topic WHERE r <= 40),
+WITH c AS (SELECT p_partkey, CAST(substr(p_brand, 7) AS INTEGER) AS topic, p_type, p_size FROM part),
+s AS (SELECT c_custkey, p_partkey, p_type, CAST(floor(p_size / 9) AS INTEGER) - CAST(floor(c_acctbal / 2500) AS INTEGER) AS delta FROM customer JOIN c ON c_nationkey = topic),
 v AS (SELECT c_custkey, p_partkey, p_type, CAST(CASE delta WHEN 0 THEN 70 WHEN -1 THEN 58 WHEN -2 THEN 50 WHEN 1 THEN 52 WHEN 2 THEN 43 ELSE CASE WHEN delta <= -3 THEN 45 ELSE 40 END END AS DOUBLE) AS score FROM s),
 e AS (SELECT *, score - least(18.0, 6.0 * (row_number() OVER (PARTITION BY c_custkey, p_type ORDER BY score DESC, p_partkey) - 1)) AS effective FROM v)
 SELECT c_custkey, p_partkey, score, CAST(effective AS DOUBLE) AS effective, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY effective DESC, score DESC, p_partkey) AS INTEGER) AS position FROM e QUALIFY position <= 5
 """)
 def recommend_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Five parts a customer: candidates of the topic (the 40 dearest of a brand: the candidate list is the feature), scored by level and spread over types."""
+    """Five parts a customer among all of the topic, scored by level and spread over types.
+
+    A score depends on brand, level and type alone and ties go to the smaller key, so the first five of each brand,
+    level and type hold every part that can be listed: at most five for each level and type, however many parts a brand has.
+    """
     topic = F.substring("p_brand", 7, 10).cast("int")
-    parts = sequences.newest(table(spark, d, "part"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 40).select("p_partkey", topic.alias("c_nationkey"), "p_type", "p_size")
+    level = table(spark, d, "part").withColumn("_level", F.floor(F.col("p_size") / 9))
+    parts = sequences.newest(level, ["p_brand", "_level", "p_type"], [F.col("p_partkey")], 5).select("p_partkey", topic.alias("c_nationkey"), "p_type", "p_size")
     people = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 2500).cast("int").alias("rank"))
     delta = F.floor(F.col("p_size") / 9).cast("int") - F.col("rank")
     scored = people.join(parts, "c_nationkey").select("c_custkey", "p_partkey", "p_type", (40 + level_points(delta)).cast("double").alias("score"))
