@@ -64,3 +64,57 @@ def accepted(events: DataFrame, key: str, gap_seconds: int, ts: str = "ts") -> D
     from marginalia.operators.learning import fold
 
     return fold(rows, key, ["at"], lambda: (None, 0), lambda s, t: step(s[0], s[1], [t]), ["at"], f"{key} {kind}, last long, accepted long").drop("last")
+
+
+def accepted_events(events: DataFrame, key: str, gap_seconds: int, late: str = "1 hour", ts: str = "ts") -> DataFrame:
+    """The accepted events themselves: key and at (microseconds), as a stream of rows that are final.
+
+    An event waits until the watermark has passed it, so events are judged in the order of their times, whichever
+    batch they came in; one later than the watermark is dropped. A key's state, the last accepted time and the events
+    that wait, goes once no event that may still come could be refused because of it. The same on a batch, without
+    a watermark. Null keys are passed over.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    gap = gap_seconds * 1_000_000
+    rows = events.where(F.col(key).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp"))
+
+    def judge(last: int | None, times: list[int]) -> tuple[int | None, list[int]]:
+        out = []
+        for t in sorted(times):
+            if last is None or t - last >= gap:
+                out.append(t)
+                last = t
+        return last, out
+
+    if not events.isStreaming:
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, last = None, None
+            for frame in frames:
+                made = []
+                for k, t in frame.itertuples(index=False, name=None):
+                    if k != now:
+                        now, last = k, None
+                    last, good = judge(last, [t])
+                    made += [(k, x) for x in good]
+                yield pd.DataFrame(made, columns=[key, "at"])
+
+        dealt = rows.select(key, F.unix_micros(ts).alias("at")).repartition(key).sortWithinPartitions(key, "at")
+        return dealt.mapInPandas(run, f"{key} {kind}, at long")
+
+    def update(k: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = (state.get if state.exists else (None, []))
+        waiting = [*waiting, *(t for f in frames for t in f["at"].tolist())]
+        mark = state.getCurrentWatermarkMs() * 1000
+        last, good = judge(last, [t for t in waiting if t < mark])
+        waiting = [t for t in waiting if t >= mark]
+        if not waiting and (last is None or last + gap <= mark):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, waiting))
+            state.setTimeoutTimestamp(max(min(waiting, default=last + gap if last is not None else mark) // 1000 + 1, mark // 1000 + 1))
+        yield pd.DataFrame({key: [k[0]] * len(good), "at": good})
+
+    marked = rows.withWatermark(ts, late).select(key, ts, F.unix_micros(ts).alias("at"))
+    return marked.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, at long", "last long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
