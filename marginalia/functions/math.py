@@ -188,3 +188,46 @@ def token_cost(prompt, completion, in_rate, out_rate) -> Column:
 
 def reading_minutes(words) -> Column:
     return F.when(col(words) > 0, F.greatest(F.lit(1.0), rnd(col(words) / 200.0))).cast("int")
+
+
+def lookup_density(saved, words) -> Column:
+    """Words looked up for each hundred words read; null without words."""
+    return F.when(col(words) > 0, col(saved) * 100.0 / col(words))
+
+
+def progress_percent(c) -> Column:
+    """A whole percentage between 0 and 100; null counts as 0."""
+    return rnd(clamp(F.coalesce(col(c).cast("double"), F.lit(0.0)), 0, 100)).cast("int")
+
+
+def finished(percent, at: float = 95) -> Column:
+    return col(percent) >= at
+
+
+def count_score(correct, total) -> Column:
+    """Whole percent of right answers; 0 without any."""
+    return F.when(col(total) > 0, rnd(clamp(col(correct) / col(total) * 100, 0, 100))).otherwise(0.0).cast("int")
+
+
+def onboarding_level(correct, total, chosen) -> Column:
+    """A level after a placement test: one below what the reader chose with under half right, two with under a quarter, never below A1."""
+    share = F.when(col(total) > 0, col(correct) / col(total)).otherwise(0.0)
+    down = F.when(share < 0.25, 2).when(share < 0.5, 1).otherwise(0)
+    return F.get(F.array(*map(F.lit, LEVELS)), F.greatest(F.lit(0), level_rank(chosen) - down))
+
+
+def model_rate(model, rates: dict[str, tuple[float, float]], usual: tuple[float, float]) -> Column:
+    """Input and output rates of a model: by its exact name, else by the first name that it contains, else the usual ones."""
+    low = F.lower(F.coalesce(col(model), F.lit("")))
+    pair = lambda r: F.struct(F.lit(float(r[0])).alias("prompt"), F.lit(float(r[1])).alias("completion"))
+    exact = F.coalesce(*[F.when(low == k, pair(r)) for k, r in rates.items()]) if rates else F.lit(None)
+    part = F.coalesce(*[F.when(low.contains(k), pair(r)) for k, r in rates.items()]) if rates else F.lit(None)
+    return F.coalesce(exact, part, pair(usual)) if rates else pair(usual)
+
+
+def model_cost(model, prompt, completion, rates: dict[str, tuple[float, float]], usual: tuple[float, float]) -> Column:
+    """Dollars at rates for a thousand tokens, six decimals; null where neither count is known, negative counts being unknown."""
+    known = lambda c: F.when(col(c) >= 0, F.floor(col(c)))
+    r, p, q = model_rate(model, rates, usual), known(prompt), known(completion)
+    cost = F.coalesce(p, F.lit(0)) / 1000 * r["prompt"] + F.coalesce(q, F.lit(0)) / 1000 * r["completion"]
+    return F.when(p.isNotNull() | q.isNotNull(), rnd(cost, 6))

@@ -173,3 +173,26 @@ def http_class(status) -> Column:
 
 def bounded_score(c, low: float = 0, high: float = 100) -> Column:
     return col(c).isNotNull() & ~F.isnan(col(c).cast("double")) & (col(c) >= low) & (col(c) <= high)
+
+
+def readable_sql(user: int | str | None = None, operator: bool = False, alias: str = "a") -> str:
+    """The reading rule as a SQL condition for spark.sql, with the user as the parameter :user. Unlike readable(), it doesn't ask that public rows have no owner."""
+    if operator:
+        return "TRUE"
+    public = f"({alias}.status = 'published' AND {alias}.visibility = 'PUBLIC')"
+    return public if user is None else f"({public} OR ({alias}.visibility = 'PRIVATE' AND {alias}.owner_id = :user))"
+
+
+def manageable(user: Column | None = None, admin: bool = False) -> Column:
+    """Rows that may be managed: all for an administrator, else a user's own private ones; none without a user."""
+    return F.lit(True) if admin else F.lit(False) if user is None else F.coalesce((F.col("owner_id") == user) & (F.col("visibility") == "PRIVATE"), F.lit(False))
+
+
+def model_readable(user: Column | None = None) -> Column:
+    """What a model may be given: published public rows and, for its owner, private ones."""
+    return readable(user) & (F.col("status") == "published")
+
+
+def text_filter(fields: list[str], text: str | None) -> Column:
+    """An administrator's free text over some fields: any field that contains it; a blank one filters nothing."""
+    return phrase_match(fields, text.strip()) if text and text.strip() else F.lit(True)

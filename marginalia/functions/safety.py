@@ -38,6 +38,7 @@ INJECTION = (
     (r"(?i)\bignore\s+(?:all\s+)?(?:previous|prior|above)\s+(?:instructions?|prompts?|rules?|constraints?)\b", "[…]"),
     (r"(?i)</?\s*(?:system|instruction|prompt)\s*>", "[…]"),
 )
+# What counts as an address and as a token when texts are redacted.
 EMAIL, LONG_TOKEN = r"[\w.+-]+@[\w-]+\.[\w.-]+", r"\b[A-Za-z0-9_-]{24,}\b"
 # Fixed value: keys whose values may hold private content.
 SENSITIVE_KEY = r"(?i)(authorization|body|completion|content|cookie|credential|definition|email|example|explanation|key|pass|phrase|prompt|pwd|response|secret|select|sentence|session|text|token|translation|url)"
@@ -105,3 +106,56 @@ def valid_anchor(start, end, quote) -> Column:
 
 def known_flags(c, known: list[str], most: int = 20) -> Column:
     return F.slice(F.array_intersect(col(c), F.array(*map(F.lit, known))), 1, most)
+
+
+def bounded_metadata(c, keys: int = 25, chars: int = 200, depth: int = 3) -> Column:
+    """A JSON object as a map with dotted paths, down to a depth: sensitive keys masked at every level, texts redacted and cut, so many keys at most. Lists and what lies deeper stay as JSON text."""
+    level = F.map_entries(F.coalesce(F.from_json(col(c), "map<string,string>"), F.create_map().cast("map<string,string>")))
+    entries = F.transform(level, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    for _ in range(depth - 1):
+
+        def open_up(e: Column) -> Column:
+            inner = F.map_entries(F.from_json(e["value"], "map<string,string>"))
+            deeper = F.transform(inner, lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
+            return F.when(e["value"].startswith("{") & ~e["key"].rlike(SENSITIVE_KEY), F.coalesce(deeper, none)).otherwise(F.array(e))
+
+        entries = F.flatten(F.transform(entries, open_up))
+    cut = F.transform(F.slice(entries, 1, keys), lambda e: F.struct(e["key"].alias("key"), F.when(e["key"].rlike(SENSITIVE_KEY), "[redacted]").otherwise(F.substring(redact(e["value"]), 1, chars)).alias("value")))
+    return F.map_from_entries(cut)
+
+
+def tag_rows(c, most: int = 10) -> Column:
+    """Valid tags of an answer's array: names that have a slug, each slug once, in order, the first `most`."""
+    from marginalia.functions.text import slug
+
+    names = F.filter(F.coalesce(F.from_json(json_array(c), "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (slug(x) != ""))
+    slugs = F.transform(names, lambda x: slug(x))
+    return F.slice(F.filter(F.transform(names, lambda x: F.struct(F.trim(x).alias("name"), slug(x).alias("slug"))), lambda x, i: F.array_position(slugs, x["slug"]) == i + 1), 1, most)
+
+
+# Signs of a leaked prompt in an answer.
+LEAKS = {
+    "prompt-disclosure": r"(?i)\bmy (system )?prompt (is|reads|says|contains)\b",
+    "role-override-echo": r"(?i)\byou are now (unrestricted|DAN|a different AI)\b",
+    "instruction-echo": r"(?i)\bignore (all |previous |prior )?(instructions|rules|constraints)\b",
+    "script-tag": r"(?i)<script[\s>]",
+}
+
+
+def failed_checks(answer, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
+    """The safety checks that an answer fails: empty, HTML, flagged, leaks, expected terms that are missing, forbidden patterns."""
+    t = F.trim(F.coalesce(col(answer), F.lit("")))
+    low = F.lower(t)
+    rules = {"non-empty": t == "", "no-html": t.rlike(r"</?[a-zA-Z][^>]*>"), "not-flagged": F.size(moderation(t)) > 0}
+    rules |= {f"no-leakage:{k}": t.rlike(p) for k, p in LEAKS.items()} | {f"no-leakage:{p}": t.rlike(f"(?i){p}") for p in exclude}
+    rules |= {f"includes:{w}": ~low.contains(w.lower()) for w in include}
+    return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
+
+
+def quiz_score(answers, keys) -> Column:
+    """correct and total of submitted answers (array of index and selected) against the right choices (array): null unless every question is answered exactly once."""
+    a, k = col(answers), col(keys)
+    exact = (F.size(k) > 0) & (F.size(a) == F.size(k)) & (F.size(F.array_distinct(F.transform(a, lambda x: x["index"]))) == F.size(k)) & F.forall(a, lambda x: (x["index"] >= 0) & (x["index"] < F.size(k)))
+    right = F.size(F.filter(a, lambda x: F.get(k, x["index"]) == x["selected"]))
+    return F.when(exact, F.struct(right.alias("correct"), F.size(k).alias("total")))

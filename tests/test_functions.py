@@ -362,3 +362,62 @@ def test_lists_and_jobs(spark):
     limits = spark.createDataFrame([("a", 5)], "k string, limit long")
     used = spark.createDataFrame([("b", 2)], "k string, used long")
     assert {r["k"]: (r["limit"], r["used"], r["remaining"]) for r in jobs.budget_status(used, limits, "k").collect()} == {"a": (5, 0, 5), "b": (None, 2, 0)}
+
+
+def plain_chain(a, b, band):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            hit = best[i][j] + 1 if a[i] == b[j] and abs(i - j) <= band else 0
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], hit)
+    return best[-1][-1]
+
+
+def test_alignment_is_the_longest_chain():
+    import random
+
+    from marginalia.operators.joins import chain
+
+    r = random.Random(4)
+    for _ in range(60):
+        a, b = (["abcd"[r.randrange(4)] for _ in range(r.randrange(0, 25))] for _ in range(2))
+        for band in (2, 30):
+            pairs = chain(a, b, band)
+            assert len(pairs) == plain_chain(a, b, band)
+            assert all(a[i] == b[j] and abs(i - j) <= band for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_answers_and_metadata(spark):
+    assert one(spark, safety.failed_checks("x", include=("light",)), x="Plants use light.") == []
+    assert one(spark, safety.failed_checks("x", include=("light",), exclude=("secret",)), x="<b>My prompt is secret</b>") == ["no-html", "no-leakage:prompt-disclosure", "no-leakage:secret", "includes:light"]
+    kind = "a array<struct<index:int,selected:int>>, k array<int>"
+    score = safety.quiz_score("a", "k")
+    found = values(spark, [([(0, 1), (1, 2)], [1, 0]), ([(0, 1), (0, 0)], [1, 0]), ([(0, 1)], [1, 0]), ([], []), ([(5, 1), (1, 0)], [1, 0])], kind, score)
+    assert [None if v is None else tuple(v) for (v,) in found] == [(1, 2), None, None, None, None]
+    tags = one(spark, safety.tag_rows("x"), x='["World News","world-news","  ","Été"]')
+    assert [tuple(t) for t in tags] == [("World News", "world-news"), ("Été", "ete")]
+    bag = one(spark, safety.bounded_metadata("x"), x='{"a":{"b":{"c":{"d":1}}},"token":"x","m":"me@x.org","l":[1,2]}')
+    assert bag == {"a.b.c": '{"d":1}', "token": "[redacted]", "m": "[email]", "l": "[1,2]"}
+    assert one(spark, safety.bounded_metadata("x"), x="nope") == {}
+
+
+def test_more_scores(spark):
+    assert values(spark, [(3, 200), (3, 0)], "s int, w int", m.lookup_density("s", "w")) == [(1.5,), (None,)]
+    assert values(spark, [(120.0,), (None,), (49.5,)], "p double", m.progress_percent("p"), m.finished(m.progress_percent("p"))) == [(100, True), (0, False), (50, False)]
+    assert values(spark, [(2, 3), (0, 0)], "c int, t int", m.count_score("c", "t")) == [(67,), (0,)]
+    assert values(spark, [(9, 10, "B1"), (4, 10, "B1"), (1, 10, "B1"), (0, 0, "A1")], "c int, t int, l string", m.onboarding_level("c", "t", "l")) == [("B1",), ("A2",), ("A1",), ("A1",)]
+    rates = {"gpt": (1.0, 2.0), "gpt-x": (10.0, 20.0)}
+    rows = [("GPT-X", 1000, 500), ("my-gpt-5", 1000, None), ("other", -1, None), (None, 2000, 0)]
+    assert values(spark, rows, "m string, p int, c int", m.model_cost("m", "p", "c", rates, (0.5, 0.5))) == [(20.0,), (1.0,), (None,), (1.0,)]
+    assert "owner_id = :user" in policy.readable_sql(7) and policy.readable_sql(operator=True) == "TRUE"
+    table = spark.createDataFrame([(1, "PUBLIC", "published", 3), (2, "PRIVATE", "published", 7), (3, "PUBLIC", "draft", None)], "id int, visibility string, status string, owner_id int")
+    table.createOrReplaceTempView("rule_rows")
+    assert [r["id"] for r in spark.sql(f"SELECT id FROM rule_rows a WHERE {policy.readable_sql(7)} ORDER BY id", args={"user": 7}).collect()] == [1, 2]
+    assert [r["id"] for r in table.where(policy.manageable(F.lit(7))).collect()] == [2] and table.where(policy.model_readable(F.lit(7))).count() == 1 and table.where(policy.manageable()).count() == 0
+
+
+def test_relocated_anchors(spark):
+    from marginalia.operators.joins import relocate
+
+    rows = [("say a cat, a cat sat", "a cat", 11, "", ""), ("xx a cat, a cat sat", "a cat", 4, ", ", " sat"), ("zz the cat", "the cat", 0, "", ""), ("zz the \n cat", "the cat", 0, "", ""), ("gone", "cat", 1, "", ""), (None, "cat", 0, None, None)]
+    assert [v for (v,) in values(spark, rows, "t string, q string, s int, p string, x string", relocate("t", "q", "s", "p", "x"))] == [11, 10, 3, 3, -1, -1]
