@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.math import col
+from marginalia.functions.math import col, let
 
 # The suffix rules in order. Each has the ending, the least length of a word, and what may stand for it:
 # letters cut, letters added. UNDOUBLE cuts one letter more where the stem ends in a doubled letter, and gives nothing elsewhere.
@@ -59,16 +59,18 @@ def clean_word(raw) -> Column:
 
 def candidates(raw, contractions: dict[str, str] | None = None, irregular: dict[str, list[str]] | None = None) -> Column:
     """Base forms to look up for a raw token, in order: of a contraction its expansion first; then without the possessive, the word, its irregular bases and its suffix forms. Empty without letters."""
-    w = clean_word(raw)
     none = F.array().cast("array<string>")
     lookup = lambda table, key: F.coalesce(F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), v)]), key), none)
     short = {k: F.array(F.lit(v), *map(F.lit, (irregular or {}).get(v, []))) for k, v in (contractions or {}).items()}
     odd = {k: F.array(*map(F.lit, v)) for k, v in (irregular or {}).items()}
-    bare = F.regexp_replace(F.regexp_replace(w, "'s?$", ""), "'", "")
-    forms = base_forms(bare)
-    rest = F.concat(F.slice(forms, 1, 1), lookup(odd, bare) if odd else none, F.slice(forms, 2, 99))
-    made = F.concat(lookup(short, w), rest) if short else rest
-    return F.when(w == "", none).otherwise(F.array_distinct(F.filter(made, lambda x: x != "")))
+
+    def of(w: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(w, "'s?$", ""), "'", "")
+        forms = let(plain, lambda p: let(base_forms(p), lambda f: F.concat(F.slice(f, 1, 1), lookup(odd, p) if odd else none, F.slice(f, 2, 99))))
+        made = F.concat(lookup(short, w), forms) if short else forms
+        return F.when(w == "", none).otherwise(F.array_distinct(F.filter(made, lambda x: x != "")))
+
+    return let(clean_word(raw), of)
 
 
 def lemma(raw, contractions: dict[str, str] | None = None) -> Column:
@@ -100,20 +102,23 @@ def bare(token) -> Column:
 def cloze(word, example) -> Column:
     """masked and answer of an example with the first token that is a form of the word blanked out, marks around it kept; reason where there is none."""
     w, text = F.lower(col(word)), F.coalesce(col(example), F.lit(""))
-    parts = F.regexp_extract_all(text, F.lit(r"\s+|\S+"), F.lit(0))
 
     def fits(t: Column) -> Column:
-        low = F.lower(bare(t))
-        return t.rlike(r"\S") & ((low == w) | (stem(low) == stem(w)) | (low.startswith(w) & (F.length(low) - F.length(w) <= 3)))
-
-    at = F.array_position(F.transform(parts, fits), True)
-    hit = F.get(parts, (at - 1).cast("int"))
-    answer = F.coalesce(F.nullif(bare(hit), F.lit("")), col(word))
-    blank = F.repeat(F.lit("_"), F.greatest(F.length(bare(hit)), F.length(w)))
-    shown = F.concat(F.regexp_extract(hit, r"^[^\w']*", 0), blank, F.when(bare(hit) == "", F.lit("")).otherwise(F.regexp_extract(hit, r"[^\w']*$", 0)))
-    masked = F.array_join(F.transform(parts, lambda p, i: F.when(i == at - 1, shown).otherwise(p)), "")
-    blank_text = ~text.rlike(r"\S")
-    return F.struct(F.when(at > 0, masked).alias("masked"), F.when(at > 0, answer).alias("answer"), F.when(blank_text, "no_example").when(at == 0, "word_not_found").alias("reason"))
+        return let(F.lower(bare(t)), lambda low: t.rlike(r"\S") & ((low == w) | (stem(low) == stem(w)) | (low.startswith(w) & (F.length(low) - F.length(w) <= 3))))
+
+    def card(parts: Column, at: Column, hit: Column, core: Column) -> Column:
+        answer = F.coalesce(F.nullif(core, F.lit("")), col(word))
+        blank = F.repeat(F.lit("_"), F.greatest(F.length(core), F.length(w)))
+        shown = F.concat(F.regexp_extract(hit, r"^[^\w']*", 0), blank, F.when(core == "", F.lit("")).otherwise(F.regexp_extract(hit, r"[^\w']*$", 0)))
+        masked = F.array_join(F.transform(parts, lambda p, i: F.when(i == at - 1, shown).otherwise(p)), "")
+        reason = F.when(~text.rlike(r"\S"), "no_example").when(at == 0, "word_not_found")
+        return F.struct(F.when(at > 0, masked).alias("masked"), F.when(at > 0, answer).alias("answer"), reason.alias("reason"))
+
+    def of(parts: Column) -> Column:
+        place = F.coalesce(F.array_position(F.transform(parts, fits), True), F.lit(0))
+        return let(place, lambda at: let(F.get(parts, (at - 1).cast("int")), lambda hit: let(F.coalesce(bare(hit), F.lit("")), lambda core: card(parts, at, hit, core))))
+
+    return let(F.regexp_extract_all(text, F.lit(r"\s+|\S+"), F.lit(0)), of)
 
 
 def cloze_right(answer, given) -> Column:

@@ -14,6 +14,11 @@ def col(c: Column | str | float) -> Column:
     return c if isinstance(c, Column) else F.col(c) if isinstance(c, str) else F.lit(c)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def rnd(c, digits: int = 0) -> Column:
     """Half up: floor(x * 10 ** digits + 0.5) / 10 ** digits."""
     f = 10.0**digits

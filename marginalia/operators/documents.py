@@ -10,21 +10,23 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
 from marginalia.functions.html import link_density
-from marginalia.functions.math import rnd
+from marginalia.functions.math import let, rnd
 from marginalia.operators import extract
 
 
 def trigram_runs(t) -> Column:
     """most and twice of an array of words: occurrences of the commonest word trigram, and of all that occur twice or more. Hashes are sorted within the row, and runs counted in one pass; nothing is shuffled."""
-    size = F.size(t)
-    grams = F.array_sort(F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.xxhash64(F.slice(t, i, 3))))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("twice"))
 
     def step(s: Column, g: Column) -> Column:
         run = F.when(s["last"] == g, s["run"] + 1).otherwise(1)
         return F.struct(g.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"), (s["twice"] + F.when(run == 2, 2).when(run > 2, 1).otherwise(0)).alias("twice"))
 
-    return F.when(size >= 3, F.aggregate(grams, start, step)).otherwise(start)
+    def of(words: Column) -> Column:
+        grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.slice(words, i, 3))))
+        return F.when(F.size(words) >= 3, F.aggregate(grams, start, step)).otherwise(start)
+
+    return let(t, of)
 
 
 def trigram_repetition(docs: DataFrame, least: int = 30) -> DataFrame:
