@@ -27,7 +27,7 @@ EMPTY_ID = 0
 #: Shingles of a candidate component that is decided in one task.
 WHOLE = 1 << 16
 #: Sets that are compared with as many others in a task.
-BLOCK = 512
+BLOCK = 1024
 
 
 class Scheme:
