@@ -162,8 +162,12 @@ def uppercase_ratio(c) -> Column:
     return F.when(F.size(w) == 0, 0.0).otherwise(F.size(F.filter(w, lambda x: x == F.upper(x))) / F.size(w))
 
 
+# Fixed value: characters that tell of a wrong encoding: the replacement character, private use and controls.
+GARBAGE = r"[�-\x00-\x08\x0E-\x1F]"
+
+
 def garbage_ratio(c) -> Column:
-    return F.when(F.length(col(c)) == 0, 0.0).otherwise(count_of(c, r"[�-\x00-\x08\x0E-\x1F]") / F.length(col(c)))
+    return F.when(F.length(col(c)) == 0, 0.0).otherwise(count_of(c, GARBAGE) / F.length(col(c)))
 
 
 def ad_hits(c) -> Column:

@@ -67,7 +67,36 @@ def trigram_repetition(spark: SparkSession, d: str) -> DataFrame:
     return ops.trigram_repetition(docs(spark, d))
 
 
-@query()
+def _hits(patterns: tuple[str, ...], one: str) -> str:
+    return " + ".join(one.format("(?i)" + p.replace("'", "''")) for p in patterns)
+
+
+_SOFT = [
+    ("reject", "empty", "trim(text) = ''", 100),
+    ("reject", "too_short", "n BETWEEN 1 AND 49", 50),
+    ("reject", "short", "n BETWEEN 50 AND 999", 40),
+    ("reject", "code", "code > 0.02", 60),
+    ("warn", "garbage", "junk > 0.02", 25),
+    ("warn", "boilerplate", "foot >= 3", 20),
+    ("warn", "few_stopwords", "len(t) >= 30 AND stop < 0.2", 25),
+    ("warn", "advertising", "len(t) >= 20 AND ads * CAST(100 AS DOUBLE) / greatest(n, 1) > 3", 25),
+    ("warn", "few_sentences", "len(t) >= 40 AND (sentences < 2 OR CAST(n AS DOUBLE) / greatest(sentences, 1) < 5)", 20),
+    ("soft", "brief", "n BETWEEN 50 AND 149", 10),
+    ("soft", "shouting", "upper > 0.3 OR regexp_matches(text, '[!?]{3,}')", 5),
+]
+_SHARE = "CASE WHEN {1} = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({0} AS DOUBLE) / {1} END"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, text, len(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?')) AS n, len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: regexp_matches(s, '\S'))) AS sentences, regexp_extract_all(lower(text), '[a-z'']+') AS t, regexp_extract_all(text, '[A-Za-z]{{3,}}') AS u,
+  {_hits(text.AD_PATTERNS, "len(regexp_extract_all(text, '{}'))")} AS ads, {_hits(text.BOILERPLATE_PATTERNS, "CAST(regexp_matches(text, '{}') AS INTEGER)")} AS foot FROM d),
+e AS (SELECT *, {_SHARE.format(f"len(list_filter(t, lambda x: x IN ({_STOP})))", "len(t)")} AS stop, {_SHARE.format("len(list_filter(u, lambda x: x = upper(x)))", "len(u)")} AS upper,
+  {_SHARE.format(f"len(regexp_extract_all(text, '{text.GARBAGE}'))", "length(text)")} AS junk, {_SHARE.format("(len(regexp_extract_all(text, '[{};=]')) + len(regexp_extract_all(text, '=>')))", "length(text)")} AS code FROM c)
+SELECT doc_id, CAST(greatest(0, 100 - ({" + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for _, _, c, p in _SOFT)})) AS INTEGER) AS score,
+  CASE WHEN {" OR ".join(f"({c})" for k, _, c, _ in _SOFT if k == "reject")} THEN 'reject' WHEN {" OR ".join(f"({c})" for k, _, c, _ in _SOFT if k == "warn")} THEN 'warn' ELSE 'ok' END AS grade,
+  concat_ws(',', {", ".join(f"CASE WHEN {c} THEN '{r}' END" for _, r, c, _ in _SOFT)}) AS reasons FROM e
+""")
 def quality_grade(spark: SparkSession, d: str) -> DataFrame:
     """Deductions and grade of every document."""
     return ops.quality(docs(spark, d)).select("doc_id", "score", "grade", F.array_join("reasons", ",").alias("reasons"))
