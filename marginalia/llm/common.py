@@ -125,6 +125,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def stretches(names: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """The values of a sorted array and where each lies."""
+    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.zeros(0, np.int64)
+    edge = np.append(first, len(names)).tolist()
+    return names[first], [slice(i, j) for i, j in zip(edge[:-1], edge[1:])]
+
+
 def crc_mod(n: int):
     """crc32 of doc_id as text, modulo n; null ids count as remainder 0."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(0))

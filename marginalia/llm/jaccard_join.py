@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import SLICE_BYTES, by_key, clean, deals, materialise, mix, ragged, raw_text, slices, table
+from marginalia.llm.common import SLICE_BYTES, by_key, clean, deals, materialise, mix, ragged, raw_text, slices, stretches, table
 from marginalia.llm.graph import components
 from marginalia.llm.hashing import shingle_sets
 
@@ -249,10 +249,9 @@ def candidates(docs: DataFrame, base: DataFrame, words: int, num: int, den: int,
             sig, ident = np.concatenate(sigs), np.concatenate(ids)
             shard = (sig >> np.uint64(32)) % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
-            edge = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+            full, at = stretches(shard[order])
             low, ident = sig[order].astype(np.uint32), ident[order]
-            full = np.flatnonzero(np.diff(edge))
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([low[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary()), pa.array([ident[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())], ["shard", "sigs", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([low[k].tobytes() for k in at], pa.binary()), pa.array([ident[k].tobytes() for k in at], pa.binary())], ["shard", "sigs", "ids"])
 
     def meet(blobs: pa.Table) -> pa.Table:
         """The first member of each signature with each other one, and the members of signatures of three and more."""

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import deals, materialise, mix, raw_text, slices, table, text_bytes
+from marginalia.llm.common import deals, materialise, mix, raw_text, slices, stretches, table, text_bytes
 
 MIN_CHARS = 10
 NO_ID = (1 << 63) - 1
@@ -176,10 +176,9 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, text_col: str = "text", i
         h1, h2 = (np.array(h, np.uint64) for h in zip(*sorted(seen), strict=True))
         shard = (h1 % np.uint64(groups)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        edge = np.searchsorted(shard[order], np.arange(groups + 1))
-        full = np.flatnonzero(np.diff(edge))
-        parts = [pa.array([h[order[edge[k] : edge[k + 1]]].tobytes() for k in full], pa.binary()) for h in (h1, h2)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), key[0].as_py()), pa.int32()), pa.array(full, pa.int32()), *parts], ["place", "shard", "h1", "h2"])
+        full, at = stretches(shard[order])
+        parts = [pa.array([h[order[k]].tobytes() for k in at], pa.binary()) for h in (h1, h2)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), key[0].as_py()), pa.int32()), pa.array(full.astype(np.int32)), *parts], ["place", "shard", "h1", "h2"])
 
     def probe(asked: pa.Table, index: pa.Table) -> pa.Table:
         made: list[list] = [[], [], [], []]

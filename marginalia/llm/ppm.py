@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import GROUP_BYTES, clean, crc_mod, deals, materialise, mix, raw_text, slices, table, text_bytes
+from marginalia.llm.common import clean, crc_mod, deals, materialise, mix, raw_text, slices, stretches, table, text_bytes
 from marginalia.llm.hashing import LOWER, KeyTable, prefix_sums, range_hash, word_bounds
 
 ORDER = 5
@@ -183,11 +183,10 @@ def gram_scores(dealt: DataFrame, short: dict[int, tuple[np.ndarray, np.ndarray]
         keys, counts = tally.total()
         shard = mix(keys >> np.uint64(BITS) & np.uint64((1 << 2 * BITS) - 1)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
-        edge = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+        full, at = stretches(shard[order])
         keys, counts = keys[order], counts[order]
-        full = np.flatnonzero(np.diff(edge))
         place = np.full(len(full), texts.column("place")[0].as_py(), np.int32)
-        return pa.table({"place": place, "shard": pa.array(full, pa.int32()), "keys": pa.array([keys[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary()), "counts": pa.array([counts[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())})
+        return pa.table({"place": place, "shard": pa.array(full.astype(np.int32)), "keys": pa.array([keys[k].tobytes() for k in at], pa.binary()), "counts": pa.array([counts[k].tobytes() for k in at], pa.binary())})
 
     def answer(asked: pa.Table) -> pa.Table:
         raw, offsets = raw_text(asked.column("keys"))
@@ -220,7 +219,7 @@ def score(docs: DataFrame) -> DataFrame:
     No count is left out of either model.
     """
     spark = docs.sparkSession
-    places = deals(spark, text_bytes(docs), GROUP_BYTES // 2)
+    places = deals(spark, text_bytes(docs))
     word, short = gather(docs)
     n_train, vocabulary = word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     scale = math.log10(n_train + 0.1 * (vocabulary + 1))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import anchors
-from marginalia.llm.common import clean, deals, materialise, ragged, raw_text, slices, table, text_bytes
+from marginalia.llm.common import clean, deals, materialise, ragged, raw_text, slices, stretches, table, text_bytes
 
 WINDOW, GRAM = 200, 48
 #: Suffixes are sorted in batches of about so many bytes, cut between hashes.
@@ -32,15 +32,14 @@ STRETCH = (("h", np.uint32), ("key", np.int64), ("doc", np.int64), ("start", np.
 SPAN = (("key", np.int64), ("start", np.uint32), ("end", np.uint32))
 
 
-def blobs(to: np.ndarray, places: int, fields: tuple, columns: list[np.ndarray]) -> pa.Table:
+def blobs(to: np.ndarray, fields: tuple, columns: list[np.ndarray]) -> pa.Table:
     """One row for each place that gets something: its part of each column as bytes."""
     order = np.argsort(to, kind="stable")
-    edge = np.searchsorted(to[order], np.arange(places + 1))
-    full = np.flatnonzero(np.diff(edge))
-    made = {"place": pa.array(full, pa.int32())}
+    full, at = stretches(to[order])
+    made = {"place": pa.array(full.astype(np.int32))}
     for (name, kind), column in zip(fields, columns, strict=True):
         column = column.astype(kind, copy=False)[order]
-        made[name] = pa.array([column[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())
+        made[name] = pa.array([column[k].tobytes() for k in at], pa.binary())
     return pa.table(made)
 
 
@@ -136,7 +135,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: b
             key = batch.column(2).to_numpy()[text]
             doc = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()[text]
             columns = [h >> np.uint64(8), f, g, key, doc, start - offsets[text], count | np.where(double, DOUBLE, 0)]
-            yield from blobs((h >> np.uint64(40)).astype(np.int64) % groups, groups, RUN, columns).to_batches()
+            yield from blobs((h >> np.uint64(40)).astype(np.int64) % groups, RUN, columns).to_batches()
 
     def settle(table: pa.Table) -> pa.Table:
         h, f, g, key, doc, start, count = unblob(table, RUN)
@@ -151,7 +150,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: b
         kind |= np.where(compare & new_f, SEND, 0)
         kind |= np.where(compare & new_f & (kind & REMOVE == 0), ANSWER, 0)
         use = kind > 0
-        return blobs(key[use] % groups, groups, MARK, [x[use] for x in (h, key, start, count & ~DOUBLE, kind)])
+        return blobs(key[use] % groups, MARK, [x[use] for x in (h, key, start, count & ~DOUBLE, kind)])
 
     def fetch(texts: pa.Table, marks: pa.Table) -> pa.Table:
         h, key, start, count, kind = unblob(marks, MARK)
@@ -163,12 +162,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: b
         doc = texts.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()[row] if len(row) else np.zeros(0, np.int64)
         length = count.astype(np.int64) + window - 1
         to = h.astype(np.int64) % groups
-        out = blobs(to, groups, STRETCH, [h, key, doc, start, length, kind])
+        out = blobs(to, STRETCH, [h, key, doc, start, length, kind])
         order = np.argsort(to, kind="stable")
-        edge = np.searchsorted(to[order], np.arange(groups + 1))
         pack = zstandard.ZstdCompressor(level=3)
         begin = offsets[row] + start
-        data = [pack.compress(raw[ragged(begin[o], length[o])].tobytes()) for o in (order[edge[k] : edge[k + 1]] for k in out.column("place").to_pylist())]
+        data = [pack.compress(raw[ragged(begin[o], length[o])].tobytes()) for o in (order[k] for k in stretches(to[order])[1])]
         return out.append_column("bytes", pa.array(data, pa.binary()))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -202,7 +200,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: b
                 found.append((key[part][who[head]], (place + at)[head], (place + at)[tail] + window))
             i = j
         keys, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        return blobs(keys % groups, groups, SPAN, [keys, starts, ends])
+        return blobs(keys % groups, SPAN, [keys, starts, ends])
 
     def remove(texts: pa.Table, spans: pa.Table) -> pa.Table:
         key, start, end = unblob(spans, SPAN)
@@ -232,13 +230,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: b
             _, key, start, count, kind = unblob(pa.Table.from_batches([batch]), MARK)
             use = kind & REMOVE > 0
             end = start[use].astype(np.int64) + count[use] + window - 1
-            yield from blobs(key[use] % groups, groups, SPAN, [key[use], start[use], end]).to_batches()
+            yield from blobs(key[use] % groups, SPAN, [key[use], start[use], end]).to_batches()
 
     marks = rows.select("doc_id", "text", "key").mapInArrow(cut, schema(RUN)).groupBy("place").applyInArrow(settle, schema(MARK))
     marks = materialise(marks, "marks")
     texts = rows.select("place", "key", "doc_id", "text").groupBy("place")
-    stretches = texts.cogroup(marks.groupBy("place")).applyInArrow(fetch, schema(STRETCH, ", bytes binary"))
-    spans = stretches.groupBy("place").applyInArrow(compare, schema(SPAN)).unionByName(marks.mapInArrow(whole, schema(SPAN)))
+    fetched = texts.cogroup(marks.groupBy("place")).applyInArrow(fetch, schema(STRETCH, ", bytes binary"))
+    spans = fetched.groupBy("place").applyInArrow(compare, schema(SPAN)).unionByName(marks.mapInArrow(whole, schema(SPAN)))
     return texts.cogroup(spans.groupBy("place")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
