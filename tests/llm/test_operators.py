@@ -479,7 +479,7 @@ def test_quality_trees_take_the_best_cut():
         g, h = r.normal(size=9), r.uniform(1, 3, 9)
         gain = [g[:m].sum() ** 2 / (h[:m].sum() + 1) + g[m:].sum() ** 2 / (h[m:].sum() + 1) - g.sum() ** 2 / (h.sum() + 1) if min(h[:m].sum(), h[m:].sum()) >= 2 else 0 for m in range(1, 9)]
         m = int(np.argmax(gain)) + 1
-        step = quality._tree(g, h, 1, 2.0)
+        step = quality._tree(g, h, 2, 2.0)
         if gain[m - 1] > 1e-9:
             assert np.allclose(step, [g[:m].sum() / (h[:m].sum() + 1)] * m + [g[m:].sum() / (h[m:].sum() + 1)] * (9 - m))
 
