@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import decontamination, jaccard_join, line_dedup, metric_tree, pii, ppm, quality, suffix_dedup, wavelet
+from marginalia.llm import conversations, decontamination, golay_simhash, jaccard_join, line_dedup, merkle, metric_tree, pii, ppm, quality, suffix_dedup, wavelet
 from marginalia.llm.packing import op10_packing
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op10_packing": op10_packing,
+    "op11_golay_simhash": golay_simhash.op11_golay_simhash,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +26,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op3_decontamination": decontamination.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_conversation_repair": conversations.ORACLE_SQL,
 }

@@ -15,7 +15,7 @@ BLANK = re.compile(r"[\x20\x09-\x0D]*").fullmatch
 
 def test_the_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "decontaminate", "pack"]
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_lines_and_near_duplicates(spark, docs, texts):
