@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import deals, materialise, table
+from marginalia.llm.common import GROUP_BYTES, deals, materialise, table
 
 FAN = 16
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -59,6 +59,11 @@ def numbered(nodes: DataFrame, parts: int, *order: str) -> DataFrame:
     return dealt.join(starts, ["tree", "part"]).withColumn("i", F.col("at") + F.col("shift")).drop("at", "part", "shift")
 
 
+def files(rows: int) -> int:
+    """Into how many files to write so many small rows."""
+    return max(8, rows * LEAF_BYTES // GROUP_BYTES)
+
+
 def runs(nodes: DataFrame, level: int, *carried: str) -> DataFrame:
     """One row a run of the nodes (tree, i, n, digest) of a level: its nodes in order as kids, and the digest of the node it makes. The only node of a tree goes up as it is."""
     kids = F.sort_array(F.collect_list(F.struct("i", "digest", *carried))).alias("kids")
@@ -68,10 +73,11 @@ def runs(nodes: DataFrame, level: int, *carried: str) -> DataFrame:
 
 
 def rise(nodes: DataFrame, *carried: str) -> list[DataFrame]:
-    """The written levels of runs over numbered nodes, from the lowest to that with one run a tree; at least one."""
+    """The written levels of runs over numbered nodes, from the lowest to that with one run a tree; at least one. Upper levels are small and written to few files."""
     most, level, found = nodes.agg(F.max("n")).first()[0] or 0, 0, []
     while not found or most > FAN**level:
-        found.append(materialise(runs(nodes, level, *(carried if level == 0 else ())), f"level{level}"))
+        made = runs(nodes, level, *(carried if level == 0 else ()))
+        found.append(materialise(made.coalesce(files(found[-1].count())) if found else made, f"level{level}"))
         nodes, level = found[-1].select("tree", "i", "n", "digest"), level + 1
     return found
 
@@ -113,11 +119,11 @@ def manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame:
     parts = deals(docs.sparkSession, found.count() * LEAF_BYTES)
     low = rise(numbered(found, parts, "doc_id", "leaf").withColumnRenamed("leaf", "digest"), "doc_id", "tampered")
     subroots = low[-1].select("tree", "digest")
-    high = rise(numbered(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest"), parts, "source"), "source")
+    high = rise(numbered(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest"), files(subroots.count()), "source"), "source")
     last = high[-1].first()
     root = F.lit(last["digest"] if last else None).cast("string")
     top = high[-1].select("tree", "i", F.array().cast(PATH).alias("path"))
-    over = materialise(descend(high, top).select(F.col("source").alias("tree"), F.lit(0).cast("long").alias("i"), F.col("digest").alias("subroot"), "path"), "paths")
+    over = materialise(descend(high, top).select(F.col("source").alias("tree"), F.lit(0).cast("long").alias("i"), F.col("digest").alias("subroot"), "path").coalesce(files(subroots.count())), "paths")
     placed = descend(low, over)
     siblings = F.array_join(F.transform("path", lambda step: F.concat(step["left"], step["right"])), "")
     folded = fold(F.coalesce("tampered", "digest"), F.col("path"))
