@@ -49,12 +49,6 @@ def meta(c, key: str) -> Column:
     return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
 
 
-def scope(c) -> Column:
-    """The article element, else main, else the body."""
-    pick = lambda tag: F.nullif(F.regexp_extract(col(c), rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1), F.lit(""))
-    return F.coalesce(pick("article"), pick("main"), pick("body"), col(c))
-
-
 def paragraphs(c) -> Column:
     """Texts of p elements that aren't blank, decoded."""
     found = F.regexp_extract_all(col(c), F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))
@@ -81,16 +75,6 @@ def link_density(c) -> Column:
     return F.when(text == 0, 0.0).otherwise(inside / text)
 
 
-#: Block elements whose outer HTML is kept, in document order; those inside another one belong to it.
-BLOCKS = r"(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "ul", "ol", "pre", "table", "figure"))
-
-
-def harvest(c) -> Column:
-    """The block elements of a scope that hold text or an image."""
-    found = F.regexp_extract_all(col(c), F.lit(BLOCKS), F.lit(0))
-    return F.filter(found, lambda b: (strip_tags(b) != "") | b.rlike(r"(?i)<img\b"))
-
-
 def json_ld(c) -> Column:
     """The first node of a page's JSON-LD blocks that is an article, as JSON text: blocks, arrays of nodes and graphs are looked through in order."""
     raw = F.regexp_extract_all(col(c), F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
@@ -135,20 +119,6 @@ ALLOWED = "p br hr h1 h2 h3 h4 h5 h6 blockquote ul ol li strong b em i u s sup s
 AD_CLASS = r"\b(?:ad|ads|adsense|advert|advertisement|sponsor|sponsored|promo|promotion|newsletter|subscribe|signup|social|share|sharing|related|recommend|comment|cookie|consent|popup|modal|overlay|paywall|banner)\b"
 
 
-def sanitise(c) -> Column:
-    """Allow-listed HTML: scripts and the like with their content, advertising blocks with theirs; then only known elements, of which links keep a safe address, images a safe source and text, and table cells their spans."""
-    out = F.regexp_replace(col(c), r"(?is)<(script|style|textarea|noscript|iframe|template)\b.*?</\1\s*>|<!--.*?-->", "")
-    out = F.regexp_replace(out, rf"""(?is)<(div|section|aside|nav|header|footer|p|ul|ol|figure|span)\b[^>]*(?:class|id|data-ad)\s*=\s*["'][^"']*{AD_CLASS}[^"']*["'][^>]*>.*?</\1\s*>""", "")
-    out = F.regexp_replace(out, rf"(?i)</?(?!(?:{'|'.join(ALLOWED)})\b)[a-z][^>]*>", "")
-    out = F.regexp_replace(out, rf"(?i)<({'|'.join(t for t in ALLOWED if t not in ('a', 'img', 'th', 'td'))})\s[^>]*?(/?)>", "<$1$2>")
-    out = F.regexp_replace(out, r"""(?i)<a\b[^>]*?\shref\s*=\s*["']((?:https?:|mailto:)[^"']*)["'][^>]*>""", "<a href=\"$1\" rel=\"noopener noreferrer nofollow\" target=\"_blank\">")
-    out = F.regexp_replace(out, r"""(?i)<a\b(?! href="[^"]*" rel="noopener)[^>]*>""", "<a rel=\"noopener noreferrer nofollow\" target=\"_blank\">")
-    out = F.regexp_replace(out, r"""(?i)<img\b(?=[^>]*\ssrc\s*=\s*["'](https?:[^"']*)["'])(?=[^>]*\salt\s*=\s*["']([^"']*)["'])[^>]*>""", "<img src=\"$1\" alt=\"$2\" />")
-    out = F.regexp_replace(out, r"""(?i)<img\b(?![^>]* />)[^>]*?\ssrc\s*=\s*["'](https?:[^"']*)["'][^>]*>""", "<img src=\"$1\" />")
-    out = F.regexp_replace(out, r"""(?i)<img\b(?! src="https?:)[^>]*>""", "")
-    return F.regexp_replace(out, r"""(?i)<(t[hd])\b(?![^>]*(?:colspan|rowspan))[^>]*>""", "<$1>")
-
-
 def drop_blocks(c, tags: tuple[str, ...] = (), class_words: tuple[str, ...] = (), text_words: tuple[str, ...] = (), href_words: tuple[str, ...] = (), captions: bool = False) -> Column:
     """A source's cleanup rules: elements by name, containers by a word in class or id, short paragraphs (1000 characters) by a word in their text, links by a word in their address, captions."""
     import re
@@ -177,25 +147,6 @@ def merged_rules(*rules: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...
     return out
 
 
-# What makes a block boilerplate by its own words.
-CHROME_TEXT = r"(?i)^(?:subscribe|sign\s?up|follow us|share this|related (?:stories|articles)|most popular|read more|advertisement|click here|by [A-Z][a-z]+ [A-Z][a-z]+$)"
-
-
-def declutter(blocks, most: float = 0.35, keep: int = 600) -> Column:
-    """Blocks (an array of outer HTML) without clutter: by class (sure), by its own words (sure) and by links (likely).
-
-    All candidates go if they are at most `most` of the text; else the sure ones if they are, or if `keep` characters stay; else none.
-    """
-    size = lambda b: F.length(strip_tags(b))
-    total = lambda bs: F.aggregate(F.transform(bs, size), F.lit(0), lambda a, x: a + x)
-    sure = lambda b: b.rlike(rf"(?is)^<[a-z0-9]+\b[^>]*(?:class|id)\s*=\s*[\"'][^\"']*{AD_CLASS}") | ((size(b) < 160) & strip_tags(b).rlike(CHROME_TEXT))
-    likely = lambda b: sure(b) | ((size(b) > 0) & (link_density(b) > 0.6))
-    bs = col(blocks)
-    every, certain, whole = total(F.filter(bs, likely)), total(F.filter(bs, sure)), total(bs)
-    drop_all, drop_sure = every <= whole * most, (certain <= whole * most) | (whole - certain >= keep)
-    return F.when(drop_all, F.filter(bs, lambda b: ~likely(b))).when(drop_sure, F.filter(bs, lambda b: ~sure(b))).otherwise(bs)
-
-
 def reader_blocks(c) -> Column:
     """Texts of an article's blocks in order, decoded, blank ones left out; list items one by one."""
     parts = F.regexp_extract_all(col(c), F.lit(r"(?is)<(?:p|h[1-6]|li|blockquote|pre|figcaption)\b[^>]*>(?:(?!<(?:p|h[1-6]|li|blockquote|pre|figcaption)\b).)*"), F.lit(0))

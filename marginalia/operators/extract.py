@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions import blocks as b
 from marginalia.functions import html as h
+from marginalia.functions import markup as m
 from marginalia.functions import text as tx
 from marginalia.functions.dates import safe_timestamp
 from marginalia.functions.math import reading_minutes
@@ -16,31 +18,67 @@ from marginalia.sources.tables import allowed_paths
 MIN_WORDS = 50
 
 
+#: The harvest is kept if it has more than so many times the words of the likeliest article; that one stands in for JSON-LD's text if it has images and this share of its words.
+HARVEST_RATIO, IMAGE_RATIO = 1.5, 0.6
+
+
+def content(pages: DataFrame, html: str = "html", url: str = "url", own: Column | None = None, title: Column | None = None) -> DataFrame:
+    """Adds to pages where their content comes from (origin: json, harvest or readable), the content's HTML as `content`, and harvest_words and readable_words.
+
+    The harvest is the blocks of the page's scope; the likeliest article those of the best-scored element and its siblings, which
+    counts if the page has a title and it has 50 words. `own` is the page's JSON-LD text, if any.
+    """
+    own = F.lit(None).cast("string") if own is None else own
+    rows = pages.withColumn("_tree", m.tree(h.without_scripts(html))).withColumn("_page", h.without_scripts(html))
+    rows = rows.withColumn("_given", b.contributions("_tree"))
+    rows = rows.withColumn("_scored", b.candidates("_tree", "_given"))
+    rows = rows.withColumn("_harvest", b.harvest("_tree", F.array(b.scope("_tree")), url)).withColumn("_read", b.harvest("_tree", b.readable_scopes("_tree", "_scored"), url))
+    words = lambda es: F.coalesce(tx.word_count(F.array_join(F.transform(es, lambda e: b.text_of("_tree", e)), "\n")), F.lit(0))
+    rows = rows.withColumns({"harvest_words": words(F.col("_harvest")), "readable_words": words(F.col("_read")), "_own": F.nullif(F.trim(own), F.lit("")), "_titled": F.lit(True) if title is None else title.isNotNull()})
+    usable = F.col("_titled") & (F.col("readable_words") >= MIN_WORDS)
+    images = F.exists("_read", lambda e: (e["tag"] == "img") | F.exists(F.col("_tree")["elements"], lambda x: (x["tag"] == "img") & b.inside(x, e)))
+    better = usable & images & (F.col("readable_words") >= tx.word_count("_own") * IMAGE_RATIO)
+    origin = F.when(F.col("_own").isNotNull(), F.when(better, "readable").otherwise("json")).when(usable & (F.col("harvest_words") <= F.col("readable_words") * HARVEST_RATIO), "readable").otherwise("harvest")
+    write = b.block_html("_page", url)
+    made = F.array_join(F.transform(F.when(F.col("origin") == "readable", F.col("_read")).otherwise(F.col("_harvest")), write), "\n")
+    told = F.array_join(F.transform(F.filter(F.transform(F.split("_own", r"\n{2,}"), F.trim), lambda p: p != ""), lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit(" ")), F.lit("</p>"))), "\n")
+    rows = rows.withColumn("origin", origin).withColumn("content", F.when(F.col("origin") == "json", told).otherwise(made))
+    return rows.drop("_tree", "_page", "_given", "_scored", "_harvest", "_read", "_own", "_titled")
+
+
+def decluttered(rows: DataFrame, html: str = "content", author: Column | None = None) -> DataFrame:
+    """Takes clutter out of a column of HTML; adds candidates and removed (counts of elements) and kept_share (of the text's characters)."""
+    author = F.lit(None).cast("string") if author is None else author
+    rows = rows.withColumn("_tree", m.tree(html)).withColumn("_leaves", b.leaf_blocks("_tree"))
+    rows = rows.withColumn("_found", b.clutter("_tree", "_leaves", author))
+    rows = rows.withColumn("_gone", b.removals("_tree", "_found")).withColumn("_cut", b.emptied("_tree", "_gone"))
+    whole = F.get("_tree.elements", F.lit(0))["chars"]
+    share = F.when(whole == 0, 1.0).otherwise(1 - b.total(F.transform("_gone", lambda e: e["chars"])) / whole)
+    rows = rows.withColumns({"candidates": F.size(F.array_distinct(F.transform("_found", lambda x: x["e"]["at"]))), "removed": F.size("_gone"), "kept_share": share, html: F.trim(b.without(html, "_cut"))})
+    return rows.drop("_tree", "_leaves", "_found", "_gone", "_cut")
+
+
 def articles(pages: DataFrame, key: str = "page_id", categories: dict[str, str] | None = None) -> DataFrame:
-    """A row for each page that has a title and a body of 50 words: title, author, image, section, published, category, body (HTML), text, words, minutes, excerpt.
+    """A row for each page that has a title and a body of 50 words: title, author, image, section, published, category, origin, body (HTML), text, words, minutes, excerpt.
 
-    Fields come from JSON-LD first, then from meta tags, then from the page. The body is JSON-LD's text, else the
-    blocks of the article, main or body element without clutter, sanitised.
+    Fields come from JSON-LD first, then from meta tags, then from the page. The body is what `content` chooses, without clutter, sanitised.
     """
-    c = h.drop_blocks("html")
-    rows = pages.withColumn("_ld", h.json_ld(c)).withColumn("_clean", h.without_scripts(c))
+    rows = pages.withColumn("_ld", h.json_ld("html"))
     ld = F.col("_ld")
-    plain = h.declutter(h.harvest(h.scope("_clean")))
-    own = h.json_text(ld, "$.articleBody")
-    body = F.when(own.isNotNull(), F.array_join(F.transform(F.split(own, r"\n{2,}"), lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "\n")).otherwise(F.array_join(plain, "\n"))
     rows = rows.select(
-        key, "url",
+        key, "url", "html", "_ld",
         h.decode(F.coalesce(h.json_text(ld, "$.headline", "$.name"), h.meta("html", "og:title"), h.title("html"))).alias("title"),
         h.decode(F.coalesce(h.json_author(ld), h.meta("html", "author"), h.meta("html", "article:author"))).alias("author"),
         h.absolute("url", F.coalesce(h.json_image(ld), h.meta("html", "og:image"))).alias("image"),
-        F.coalesce(h.json_text(ld, "$.articleSection"), h.meta("html", "article:section"), h.meta("html", "parsely-section"), h.meta("html", "news_keywords")).alias("section"),
+        F.coalesce(h.json_text(ld, "$.articleSection"), h.meta("html", "article:section"), h.meta("html", "og:article:section"), h.meta("html", "parsely-section"), h.meta("html", "news_keywords")).alias("section"),
         safe_timestamp(F.coalesce(h.json_text(ld, "$.datePublished"), h.meta("html", "article:published_time"), h.meta("html", "datePublished"))).alias("published"),
         F.coalesce(h.json_text(ld, "$.description"), h.meta("html", "og:description"), h.meta("html", "description")).alias("_said"),
-        F.trim(h.sanitise(body)).alias("body"),
     )
+    rows = content(rows.where("title is not null"), own=h.json_text(F.col("_ld"), "$.articleBody"), title=F.col("title"))
+    rows = decluttered(rows.drop("html", "_ld"), author=F.col("author")).withColumn("body", F.trim(m.sanitise("content", "url")))
     rows = rows.withColumn("text", h.decode(h.strip_tags("body"))).withColumn("words", tx.word_count("text"))
-    kept = rows.where(F.col("title").isNotNull() & (F.col("words") >= MIN_WORDS))
-    return kept.withColumns({"minutes": reading_minutes("words"), "excerpt": F.coalesce("_said", tx.excerpt("text")), "category": h.section_category("section", categories or {})}).drop("_said")
+    kept = rows.where(F.col("words") >= MIN_WORDS)
+    return kept.withColumns({"minutes": reading_minutes("words"), "excerpt": F.coalesce("_said", tx.excerpt("text")), "category": h.section_category("section", categories or {})}).drop("_said", "content", "candidates", "removed", "kept_share", "harvest_words", "readable_words")
 
 
 def discovered(pages: DataFrame, host: Column | None = None, pattern: str = "^https?://", rules: DataFrame | None = None, limit: int | None = None, key: str = "page_id") -> DataFrame:
@@ -78,7 +116,7 @@ def seed_crawl(listing: DataFrame, limit: int, empty_stop: int = 2) -> DataFrame
 def imported(df: DataFrame, key: str, text: str = "text", least: int = MIN_WORDS, most_bytes: int = 200_000) -> DataFrame:
     """Private imports: paragraphs as sanitised HTML, with words and minutes; rows whose text is blank, longer than most_bytes or of fewer words are refused (with the reason)."""
     paragraphs = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"(?:\r?\n){2,}"), lambda x: F.trim(x)), lambda p: p != "")
-    body = h.sanitise(F.array_join(F.transform(paragraphs, lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>"))), "\n"))
+    body = m.sanitise(F.array_join(F.transform(paragraphs, lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>"))), "\n"))
     rows = df.withColumn("body", body).withColumn("words", tx.word_count(h.strip_tags("body")))
     refused = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", "empty").when(F.octet_length(text) > most_bytes, "too_large").when(F.col("words") < least, "too_short")
     return rows.select(key, refused.alias("refused"), "body", "words", reading_minutes("words").alias("minutes"))

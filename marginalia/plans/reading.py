@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions import html, lexical, text
+from marginalia.functions import blocks, html, lexical, markup, text
 from marginalia.functions.math import rnd
 from marginalia.operators import documents, extract, lexicon
 from marginalia.plans.registry import query
@@ -61,21 +61,39 @@ def digest_signals(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).withColumn("text", html.strip_tags("html")).select("page_id", *[v.alias(k) for k, v in signs.items()])
 
 
-_BLOCK = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "ul", "ol", "pre", "table", "figure"))
-_PLAIN = r"trim(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
-
-
-@query(rf"""
-WITH c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?is)<(noscript|template)\b.*?</(noscript|template)\s*>', '', 'g') AS html FROM pages),
-s AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<article\b[^>]*>(.*)</article>', 1), ''), nullif(regexp_extract(html, '(?is)<main\b[^>]*>(.*)</main>', 1), ''), nullif(regexp_extract(html, '(?is)<body\b[^>]*>(.*)</body>', 1), ''), html) AS scope FROM c),
-b AS (SELECT page_id, unnest(regexp_extract_all(scope, '(?is){_BLOCK}')) AS block FROM s),
-t AS (SELECT page_id, {_PLAIN.format("block")} AS text, regexp_matches(block, '(?i)<img\b') AS img FROM b)
-SELECT page_id, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words FROM t WHERE text <> '' OR img GROUP BY page_id
+@query(r"""
+WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|template)\b.*?</(script|style|noscript|template)\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS html FROM pages),
+s AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), '(?i)<(p|h[1-6])\b', '</p><\1', 'g') || '</p>' AS scope FROM c),
+b AS (SELECT page_id, unnest(regexp_extract_all(scope, '(?is)<(?:p|h[2-6])\b[^>]*>(.*?)</(?:p|h[2-6])>', 1)) AS block FROM s),
+t AS (SELECT page_id, trim(replace(replace(replace(replace(regexp_replace(block, '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), E' \t\n\r') AS text FROM b)
+SELECT page_id, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words FROM t WHERE text <> '' GROUP BY page_id
 """)
 def harvested_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The text blocks of each page's article: how many, and how long."""
-    rows = pages(spark, d).withColumn("c", html.without_scripts("html")).select("page_id", F.explode(html.harvest(html.scope("c"))).alias("b")).withColumn("t", html.strip_tags("b"))
-    return rows.groupBy("page_id").agg(F.count("*").alias("blocks"), F.sum(F.length("t").cast("long")).alias("chars"), F.sum(text.word_count("t").cast("long")).alias("words"))
+    """The text blocks of each page's scope, from its tree: how many, and how long. The SQL is made for pages whose article holds headings and paragraphs only, closed or not."""
+    rows = pages(spark, d).withColumn("tree", markup.tree("html"))
+    rows = rows.select("page_id", "tree", F.explode(blocks.harvest("tree", F.array(blocks.scope("tree")), "url")).alias("e")).withColumn("t", blocks.text_of("tree", F.col("e")))
+    return rows.groupBy("page_id").agg(F.count("*").alias("blocks"), F.sum(F.col("e.chars").cast("long")).alias("chars"), F.sum(text.word_count("t").cast("long")).alias("words"))
+
+
+@query()
+def content_origins(spark: SparkSession, d: str) -> DataFrame:
+    """Where each page's content comes from, how many words both ways give, and how long the chosen HTML is."""
+    made = extract.content(pages(spark, d), own=html.json_text(html.json_ld("html"), "$.articleBody"), title=html.title("html"))
+    return made.select("page_id", "origin", "harvest_words", "readable_words", F.length("content").alias("chars"))
+
+
+@query()
+def decluttered_pages(spark: SparkSession, d: str) -> DataFrame:
+    """What looks like clutter on whole pages, what of it is removed, and the share of the text that stays."""
+    made = extract.decluttered(pages(spark, d).withColumn("c", html.without_scripts("html")), "c")
+    return made.select("page_id", "candidates", "removed", F.round("kept_share", 6).alias("kept_share"), F.md5("c").alias("digest"))
+
+
+@query()
+def sanitised_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as allow-listed HTML: its length, elements and digest."""
+    made = pages(spark, d).select("page_id", markup.sanitise("html", "url").alias("c"))
+    return made.select("page_id", F.length("c").alias("chars"), F.regexp_count("c", F.lit("<[a-z]")).alias("elements"), F.md5("c").alias("digest"))
 
 
 @query()
