@@ -15,8 +15,8 @@ from marginalia.llm.common import clean, materialise, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The benchmark is broadcast up to so many windows (about 100 bytes each), and joined by a shuffle beyond.
-BROADCAST_WINDOWS = 400_000
+#: The benchmark is broadcast up to so many windows and so many bytes of their words and item ids, and joined by a shuffle beyond.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 400_000, 64 << 20
 #: Copies of the benchmark's tables in a shuffled join.
 SALTS = 8
 
@@ -54,22 +54,31 @@ def block_hashes(wins: DataFrame, lengths: dict[int, int], window: int) -> DataF
     return blocks
 
 
-def probes(lengths: dict[int, int], window: int) -> list[Column]:
-    """Arrays of (at, h, len) over the words w: one block hash in `stride` words, and every place for shorter windows."""
+def probes(lengths: dict[int, int], window: int, near: bool = False) -> list[Column]:
+    """Arrays of (at, h, len) over the words w: one block hash in `stride` words, and every place for shorter windows. With `near`, each has the words of all windows that hold its block (see around), so that a row made of it needs no more of the text."""
     stride = (window + 1) // 2
     size = F.size("w")
 
     def made(n: int, every: int, width: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), size - width + 1, F.lit(every)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, width)).alias("h"), F.lit(n).alias("len")))
-        return F.when(size >= width, found).otherwise(F.array().cast("array<struct<at:int,h:bigint,len:int>>"))
+        def probe(i: Column) -> Column:
+            first = F.greatest(i - (n - width), F.lit(1))
+            words = [F.slice("w", first, i - first + n).alias("near")] * near
+            return F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, width)).alias("h"), F.lit(n).alias("len"), *words)
+
+        found = F.transform(F.sequence(F.lit(1), size - width + 1, F.lit(every)), probe)
+        return F.when(size >= width, found).otherwise(F.array().cast(f"array<struct<at:int,h:bigint,len:int{',near:array<string>' * near}>>"))
 
     return [made(window, stride, window - stride + 1)] * (window in lengths) + [made(n, 1, n) for n in sorted(lengths) if n < window]
 
 
-def around(at: Column, n: Column, window: int) -> Column:
-    """The windows (s, win) over the words w that hold the block at `at`."""
-    size = F.size("w")
-    low, high = F.greatest(at - F.when(n == window, (window + 1) // 2 - 1).otherwise(0), F.lit(1)), F.least(at, size - n + 1)
+def around(at: Column, n: Column, window: int, words: Column | None = None) -> Column:
+    """The windows (s, win) over the words w that hold the block at `at`; with the probe's own words, from these."""
+    size, back = F.size("w"), F.when(n == window, (window + 1) // 2 - 1).otherwise(0)
+    if words is not None:
+        first = F.greatest(at - back, F.lit(1))
+        high = F.least(at, first + F.size(words) - n)
+        return F.when((at > 0) & (first <= high), F.transform(F.sequence(first, high), lambda s: F.struct(s.alias("s"), F.slice(words, s - first + 1, n).alias("win"))))
+    low, high = F.greatest(at - back, F.lit(1)), F.least(at, size - n + 1)
     return F.when((at > 0) & (low <= high), F.transform(F.sequence(low, high), lambda s: F.struct(s.alias("s"), F.slice("w", s, n).alias("win"))))
 
 
@@ -83,14 +92,15 @@ def by_row(found: DataFrame, *more: Column) -> DataFrame:
 
 
 def hits_by_broadcast(rows: DataFrame, wins: DataFrame, lengths: dict[int, int], window: int) -> DataFrame:
-    """One pass over the documents, with the benchmark's tables in every task."""
+    """One pass over the documents, with the benchmark's tables in every task. A probe's row has the few words around it, not the text, so time is in proportion to a text's length."""
     # One probe without a hash keeps each document's row through the join.
-    keep = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("long").alias("h"), F.lit(0).alias("len")))
-    probe = rows.select("doc_id", "row", "w", F.explode_outer(F.concat(keep, *probes(lengths, window))).alias("p"))
+    keep = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("long").alias("h"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("near")))
+    rows = rows.withColumn("size", F.size("w"))  # below the explode, above which w is never read
+    probe = rows.select("doc_id", "row", "size", F.explode_outer(F.concat(keep, *probes(lengths, window, True))).alias("p"))
     hit = probe.join(F.broadcast(block_hashes(wins, lengths, window)).withColumn("known", F.lit(True)), (F.col("p.h") == F.col("h")) & (F.col("p.len") == F.col("len")), "left")
     hit = hit.where((F.col("p.at") == 0) | F.col("known"))
     at, n = F.col("p.at"), F.col("p.len")
-    tried = hit.select("doc_id", "row", F.when(at == 0, F.size("w")).alias("n_words"), F.explode_outer(around(at, n, window)).alias("c"))
+    tried = hit.select("doc_id", "row", F.when(at == 0, F.col("size")).alias("n_words"), F.explode_outer(around(at, n, window, F.col("p.near"))).alias("c"))
     found = tried.join(F.broadcast(wins), (F.xxhash64("c.win") == F.col("hash")) & (F.col("c.win") == F.col("win")), "left")
     return by_row(found.where(F.col("n_words").isNotNull() | F.col("items").isNotNull()), F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"))
 
@@ -117,8 +127,11 @@ def numbered(docs: DataFrame) -> DataFrame:
 def hits(rows: DataFrame, benchmark: DataFrame, window: int, most: int) -> DataFrame:
     """As report(), for texts with a row number."""
     wins = benchmark_windows(benchmark, window)
-    lengths = {r["n"]: r["count"] for r in wins.groupBy("n").count().collect()}  # at most `window` rows
-    find = hits_by_broadcast if sum(lengths.values()) <= most else hits_by_shuffle
+    size = F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("items", " ")) + 64
+    sizes = wins.groupBy("n").agg(F.count("*").alias("count"), F.sum(size.cast("long")).alias("bytes")).collect()  # at most `window` rows
+    lengths = {r["n"]: r["count"] for r in sizes}
+    small = sum(lengths.values()) <= most and sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
+    find = hits_by_broadcast if small else hits_by_shuffle
     found = find(rows.select("doc_id", "row", words_of(F.col("text")).alias("w")), wins, lengths, window)
     hit = F.size(F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))
     return found.withColumn("n_hit", hit.cast("long")).select("doc_id", "row", "n_words", "n_hit", "items", "starts")
@@ -136,9 +149,11 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: int =
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without a hit, all columns kept. Rows that share a doc_id go together; a null doc_id always stays."""
-    bad = report(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad_id"], "left_anti")
+    """The documents without a hit, all columns kept. Rows are told apart by id and text: of two that share an id the clean one stays. A null doc_id always stays."""
+    rows = numbered(docs).withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("text"))))
+    bad = hits(rows, benchmark, window, BROADCAST_WINDOWS).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct().select("_bad.*")
+    key = (docs["doc_id"].cast("long") == bad["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["text"])
+    return docs.join(bad, key, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

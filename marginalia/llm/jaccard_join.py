@@ -395,7 +395,12 @@ def links_within(feats: DataFrame, num: int, den: int, whole: int) -> DataFrame:
 
 
 def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, scheme: tuple[int, int] = (3, 1), whole: int = WHOLE) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs.
+    """doc_id, n_shingles and component_id for every row of docs (see classes)."""
+    return classes(docs, words, num, den, scheme, whole).select("doc_id", "n_shingles", "component_id")
+
+
+def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, scheme: tuple[int, int] = (3, 1), whole: int = WHOLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_key (xxhash64 of the text) and leads for every row of docs: whether it is the first of its component by id and text key. A row without words or id leads too.
 
     Two documents are linked when den * |A & B| >= num * |A | B| for their sets of `words`-word shingles; a
     component's id is its smallest doc_id. A text without words, or null, has no shingles and is linked with nothing:
@@ -406,12 +411,12 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
     are dealt over tasks (links_within).
     """
     # A row's key is its id, or without one a hash of its text; rows that share a key are told apart by their sets.
-    rows = clean(docs).withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
+    rows = clean(docs).withColumn("text_key", F.xxhash64("text")).withColumn("row", F.coalesce("doc_id", "text_key"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(*raw_text(batch.column(1)), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), batch.column(2)], ["doc_id", "n_shingles", "set_id", "sketch", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "n_shingles", "set_id", "sketch", "text_key", "row"])
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """set_id, root, total and the set's features, of the rows that have the wanted set."""
@@ -436,7 +441,7 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
                 top += [ids[k] for k in linked([members[k] for k in ids], num, den)]
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(top, pa.int64())], ["set_id", "top"])
 
-    base = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, set_id long, sketch binary, row long"), "sets")
+    base = materialise(rows.mapInArrow(describe, "doc_id long, n_shingles long, set_id long, sketch binary, text_key long, row long"), "sets")
     known, near = candidates(rows, base, words, num, den, scheme)
     picked = known.select("set_id", "row", "n_shingles").join(near, "set_id")
     total = picked.groupBy("root").agg(F.sum("n_shingles").alias("total"))
@@ -451,8 +456,9 @@ def cluster(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, sche
     placed = base.drop("sketch", "row").join(tops, "set_id", "left").withColumn("top", F.coalesce("top", "set_id"))
     placed = materialise(placed, "placed")
     # Written, so that both sides of the last join come from their shuffles and a large component's rows can be split.
-    first = materialise(placed.where(F.col("set_id") != EMPTY_ID).groupBy("top").agg(F.min("doc_id").alias("component_id")), "first")
-    return placed.join(first, "top", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = materialise(placed.where(F.col("set_id") != EMPTY_ID).groupBy("top").agg(F.min("doc_id").alias("component_id"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("lead")), "first")
+    leads = F.col("lead").isNull() | F.col("doc_id").isNull() | (F.struct("doc_id", "text_key") == F.col("lead"))
+    return placed.join(first, "top", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key", leads.alias("leads"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

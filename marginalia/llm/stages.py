@@ -26,20 +26,25 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates (five-word shingles, similarity 0.8 or more); of rows that repeat both id and text one; a null id is never grouped away."""
-    groups = materialise(jaccard_join.cluster(docs, words=5, num=80, den=100), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The first document of each group of near duplicates (five-word shingles, similarity 0.8 or more), by id and then by a hash of the text.
+
+    Rows are told apart by id and text: of two that share an id, one that is like no other stays. Of rows that repeat both
+    id and text one stays; a null id is never grouped away, a text without words never grouped; an empty table gives no rows.
+    """
+    groups = materialise(jaccard_join.classes(docs, words=5, num=80, den=100), "groups")
+    gone = groups.where("not leads").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     mark = "_text"
     while mark in docs.columns:
         mark += "_"
-    return kept.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).select(*docs.columns)
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = marked.join(gone, (marked["doc_id"].cast("long") == gone["_id"]) & (marked[mark] == gone["_key"]), "left_anti")
+    return kept.dropDuplicates(["doc_id", mark]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no ten-word window of the benchmark.
 
-    Null and empty texts stay, as does a row with a null doc_id; rows that share an id go together; an empty table
+    Null and empty texts stay, as does a row with a null doc_id; of rows that share an id only those go that hold a window; an empty table
     gives no rows, and an empty benchmark drops none.
     """
     return decontamination.remove_documents(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)

@@ -254,6 +254,27 @@ def test_decontamination_by_shuffle_grows_in_proportion(spark):
     assert sent[0] > 10_000 and sent[1] < 6 * sent[0], sent
 
 
+def test_decontamination_by_broadcast_takes_time_in_proportion(spark):
+    """Twice the words of one text take at most 2.2 times the time, as no probe carries its text."""
+    bench = spark.createDataFrame([(i, " ".join(f"b{i}x{k}" for k in range(20))) for i in range(50)], "item_id long, text string")
+    took = []
+    for words in (1_000, 1_000, 200_000, 400_000):
+        docs = spark.createDataFrame([(0, " ".join(f"w{k}" for k in range(words)))], "doc_id long, text string")
+        began = time.time()
+        decontamination.report(docs, bench).write.format("noop").mode("overwrite").save()
+        took.append(time.time() - began)
+    assert took[3] - took[1] < 2.2 * (took[2] - took[1]) + 2, took
+
+
+def test_decontamination_checks_the_bytes_it_broadcasts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, "one two three four five six seven eight nine ten") for i in range(200)], "item_id long, text string")
+    plain = got(decontamination.report(docs, bench), "doc_id", "n_hit")
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(decontamination, "hits_by_broadcast", None)
+    assert got(decontamination.report(docs, bench), "doc_id", "n_hit") == plain == [(1, 10)]
+
+
 def brute_spans(text):
     def luhn(d):
         return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(int(c) for c in reversed(d))) % 10 == 0

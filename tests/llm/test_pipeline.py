@@ -28,6 +28,19 @@ def test_lines_and_near_duplicates(spark, docs, texts):
     assert 3 not in ids and 12 not in ids and {2, 11, 14, 15, 100, 101, None} <= set(ids) and ids.count(2) == 1
 
 
+def test_rows_that_share_an_id(spark):
+    """A row goes for its own text only, not for that of another row with its id."""
+    near = " ".join(f"word{k}" for k in range(100))
+    rows = [(1, near), (7, near + " more"), (7, "a text that is like no other one in the table at all"), (9, near + " other"), (9, near + " and so on"), (9, None), (None, near)]
+    kept = stages.keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(kept.collect(), key=str) == sorted([rows[0], rows[2], rows[5], rows[6]], key=str)
+    apart = [(3, near), (3, near + " more"), (4, near + " less")]  # the first by id, then by text
+    assert [r["doc_id"] for r in stages.keep_first(spark, spark.createDataFrame(apart, "doc_id long, text string"), "").collect()] == [3]
+    item = spark.read.parquet(f"{D}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    docs = spark.createDataFrame([(1, item), (1, "clean words"), (2, None)], "doc_id long, text string")
+    assert sorted(stages.drop_leaks(spark, docs, D).collect(), key=str) == [(1, "clean words"), (2, None)]
+
+
 def test_odd_rows_pass_every_stage(spark, docs, nothing):
     """Nulls, blank, long and repeated rows, and clashing names, in the stages that look up tables of their own; then no rows."""
     for stage in (stages.keep_good, stages.drop_leaks):
