@@ -93,3 +93,34 @@ def budget_status(used: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     rows = limits.select(key, "limit").join(used.select(key, "used"), key, "full")
     n = F.coalesce("used", F.lit(0)).cast("long")
     return rows.select(key, "limit", n.alias("used"), F.greatest(F.col("limit") - n, F.lit(0)).alias("remaining"))
+
+
+def response_class(status) -> Column:
+    """What a response to a queued change means: done (2xx, and 409: it was there before), retry (408, 429, 5xx, none), refused (other 4xx)."""
+    s = F.col(status) if isinstance(status, str) else status
+    return F.when(s.between(200, 299) | (s == 409), "done").when(s.isin(408, 429), "retry").when(s.between(400, 499), "refused").otherwise("retry")
+
+
+def replayed(changes: DataFrame, key: list[str], order: list[str], responses: str, tries: int = 5, passes: int | None = None) -> DataFrame:
+    """Adds state, sent, began and ended to queued changes whose responses (an array of HTTP statuses, one for each time it is sent) are known.
+
+    Changes of one key go out in order of `order`, each once in a pass over the queue; one that is to be retried holds back those behind it
+    until it is done, and one that fails (refused, or retried `tries` times) holds them back for good. A change that runs out of responses isn't answered, which is
+    a retry. state: done, failed, pending (its next try comes after `passes`) or held; sent: how often it was sent; began and
+    ended: the passes of its first and last try, null if it never went out. Each change needs only the sums over those before it,
+    so no state is carried from row to row.
+    """
+    from pyspark.sql import Window
+
+    first = F.array_position(F.transform(F.slice(responses, 1, tries), lambda s: response_class(s) == "retry"), False).cast("int")
+    end = F.when(first > 0, response_class(F.get(responses, first - 1))).otherwise("failed")
+    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = changes.withColumn("_tries", F.when(first > 0, first).otherwise(tries)).withColumn("_failed", end != "done")
+    rows = rows.withColumn("_held", F.coalesce(F.bool_or("_failed").over(before), F.lit(False))).withColumn("began", F.coalesce(F.sum(F.col("_tries") - 1).over(before), F.lit(0)) + 1)
+    last = F.col("began") + F.col("_tries") - 1
+    most = F.lit(passes) if passes is not None else last
+    held = F.col("_held") | (F.col("began") > most)
+    state = F.when(F.col("_held"), "held").when(F.col("began") > most, "held").when(last > most, "pending").when(F.col("_failed"), "failed").otherwise("done")
+    ended = F.least(last, most)
+    rows = rows.withColumns({"state": state, "sent": F.when(held, 0).otherwise(ended - F.col("began") + 1).cast("int"), "ended": F.when(~held, ended).cast("int"), "began": F.when(~held, F.col("began")).cast("int")})
+    return rows.drop("_tries", "_failed", "_held")

@@ -49,15 +49,14 @@ def search_page(found: DataFrame, fields: dict[str, str], query: str, terms: lis
     return page(scored, [F.desc("score"), F.col(recency).desc_nulls_last(), F.col(title)], number, size)
 
 
-def cover_density(tokens, terms: list[str]) -> Column:
-    """A rank of texts that hold all terms: a tenth for each shortest stretch with all of them, over one more than the other words in it. 0 where a term is missing.
+def cover_rank(places, terms: list[str]) -> Column:
+    """The rank of places (i, w) of the terms in order of i: a tenth for each shortest stretch with all of them, over one more than the other words in it. 0 where a term is missing.
 
-    One pass over the tokens: the stretch that ends at a token begins at the earliest of the terms' last places, and
+    One pass over the places: the stretch that ends at a place begins at the earliest of the terms' last places, and
     counts once that place has moved on.
     """
     k = len(terms)
     start = F.struct(*[F.lit(-1).alias(f"p{i}") for i in range(k)], F.lit(-1).alias("begin"), F.lit(0.0).alias("sum"))
-    places = F.filter(F.transform(m.col(tokens), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*terms))
 
     def step(s: Column, x: Column) -> Column:
         last = [F.when(x["w"] == t, x["i"]).otherwise(s[f"p{i}"]) for i, t in enumerate(terms)]
@@ -66,4 +65,10 @@ def cover_density(tokens, terms: list[str]) -> Column:
         noise = x["i"] - begin - (k - 1)
         return F.struct(*[v.alias(f"p{i}") for i, v in enumerate(last)], F.when(new, begin).otherwise(s["begin"]).alias("begin"), (s["sum"] + F.when(new, F.lit(0.1) / (1 + noise)).otherwise(0.0)).alias("sum"))
 
-    return F.aggregate(places, start, step, lambda s: s["sum"])
+    return F.aggregate(m.col(places), start, step, lambda s: s["sum"])
+
+
+def cover_density(tokens, terms: list[str]) -> Column:
+    """cover_rank of the terms' places among a text's tokens."""
+    places = F.filter(F.transform(m.col(tokens), lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(*terms))
+    return cover_rank(places, terms)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import arrays, policy
@@ -286,3 +286,28 @@ def pass_rates(spark: SparkSession, d: str) -> DataFrame:
     """Checks to cases to features to all: a case passes when all of its checks do."""
     cases = table(spark, d, "events").where("user_id is not null").groupBy(F.col("event_type").alias("feature"), F.col("user_id").alias("test")).agg(F.bool_and(F.col("value") > 5).alias("passed"), F.count("*").alias("checks"))
     return analytics.pass_rates(cases, "feature")
+
+
+def _answer(v: Column) -> Column:
+    return F.when(v % 37 == 0, 404).when(v % 10 < 6, 200).when(v % 10 == 6, 409).when(v % 10 == 7, 429).otherwise(503)
+
+
+_STATUS = "CASE WHEN {v} % 37 = 0 THEN 404 WHEN {v} % 10 < 6 THEN 200 WHEN {v} % 10 = 6 THEN 409 WHEN {v} % 10 = 7 THEN 429 ELSE 503 END"
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS pos,
+    list_transform([1, 2, 3, 4, 5], lambda k: {_STATUS.format(v="(event_id * (k + 3) + k)")}) AS answers FROM events),
+t AS (SELECT *, coalesce(list_position(list_transform(answers, lambda s: s NOT IN (429, 503)), true), 5) AS tries, coalesce(list_filter(answers, lambda s: s NOT IN (429, 503))[1] IN (200, 409), false) AS good FROM c),
+r AS (
+  SELECT event_id, user_id, day, pos, CASE WHEN tries > 4 THEN 'pending' WHEN good THEN 'done' ELSE 'failed' END AS state, least(tries, 4) AS sent, 1 AS began, least(tries, 4) AS ended FROM t WHERE pos = 1 UNION ALL
+  SELECT t.event_id, t.user_id, t.day, t.pos, CASE WHEN r.state <> 'done' THEN 'held' WHEN r.ended + tries - 1 > 4 THEN 'pending' WHEN good THEN 'done' ELSE 'failed' END,
+    CASE WHEN r.state <> 'done' THEN 0 ELSE least(r.ended + tries - 1, 4) - r.ended + 1 END, CASE WHEN r.state = 'done' THEN r.ended END, CASE WHEN r.state = 'done' THEN least(r.ended + tries - 1, 4) END
+  FROM r JOIN t ON t.user_id = r.user_id AND t.day = r.day AND t.pos = r.pos + 1)
+SELECT event_id, state, CAST(sent AS INTEGER) AS sent, CAST(began AS INTEGER) AS began, CAST(ended AS INTEGER) AS ended FROM r
+""")
+def offline_replay(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each user's queued changes of a day in four passes: sent in order, tried again, held back behind one that failed."""
+    answers = F.transform(F.array(*map(F.lit, range(1, 6))), lambda k: _answer(F.col("event_id") * (k + 3) + k))
+    rows = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), "ts", answers.alias("answers"))
+    return jobs.replayed(rows, ["user_id", "day"], ["ts", "event_id"], "answers", passes=4).select("event_id", "state", "sent", "began", "ended")

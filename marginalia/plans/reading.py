@@ -175,18 +175,25 @@ def practice_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cloze_cards(spark: SparkSession, d: str) -> DataFrame:
-    """A card for each document: the word 'then' or a form of it, blanked out of the first sentence."""
-    rows = docs(spark, d).select("doc_id", lexical.cloze(F.lit("then"), F.coalesce(F.get(text.sentences("text"), F.lit(0)), F.lit(""))).alias("c"))
+    """A card for each document: the word 'then' or a form of it, blanked out of the first sentence that holds one; without such a sentence, what the first one gives."""
+    said = F.coalesce(text.sentences("text"), F.array().cast("array<string>"))
+    cards = F.transform(said, lambda s: lexical.cloze(F.lit("then"), s))
+    rows = docs(spark, d).withColumn("cards", cards)
+    good = F.get(F.filter("cards", lambda c: c["masked"].isNotNull() & (c["answer"].isNotNull())), F.lit(0))
+    rows = rows.select("doc_id", F.coalesce(good, F.get("cards", F.lit(0)), lexical.cloze(F.lit("then"), F.lit(""))).alias("c"))
     return rows.select("doc_id", "c.masked", "c.answer", "c.reason")
 
 
 @query()
 def dictation_grades(spark: SparkSession, d: str) -> DataFrame:
-    """The first sentence of each document as if it had been typed without every third word."""
-    first = F.coalesce(F.get(text.sentences("text"), F.lit(0)), F.lit(""))
-    words = F.split(first, r"\s+")
+    """Every sentence of each document as if it had been typed without every third word."""
+    rows = docs(spark, d).select("doc_id", F.posexplode_outer(text.sentences("text")).alias("sentence", "r"))
+    words = F.split("r", r"\s+")
     typed = F.array_join(F.transform(words, lambda w, i: F.when(i % 3 == 2, F.lit("")).otherwise(w)), " ")
-    return lexicon.dictation(docs(spark, d).select("doc_id", first.alias("r"), typed.alias("t")), "doc_id", "r", "t")
+    rows = rows.select(F.concat_ws(":", "doc_id", F.coalesce("sentence", F.lit(0))).alias("key"), F.coalesce("r", F.lit("")).alias("r"), F.coalesce(typed, F.lit("")).alias("t"))
+    made = lexicon.dictation(rows, "key", "r", "t")
+    at = F.split("key", ":")
+    return made.select(at[0].cast("long").alias("doc_id"), at[1].cast("int").alias("sentence"), *[c for c in made.columns if c != "key"])
 
 
 @query()

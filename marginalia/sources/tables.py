@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +83,14 @@ def fixture_articles(spark: SparkSession, n: int = 720) -> DataFrame:
         F.when(draft, "draft").otherwise("published").alias("status"), (F.lit(200) + i % 900).cast("int").alias("word_count"),
         F.when(~draft, F.timestamp_seconds(F.lit(1_767_225_600) - i * 3600)).alias("published_at"),
     )
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, else under the context's checkpoint folder; a local master may do with a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='marginalia-')}")
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
