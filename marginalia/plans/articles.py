@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import levels, policy, text
 from marginalia.functions import math as m
-from marginalia.operators import classify, lists, ranking, relational, sequences
+from marginalia.functions.stems import STOP_WORDS, stem_sql
+from marginalia.operators import classify, language, lists, ranking, relational, search_index, sequences
 from marginalia.plans.registry import query
-from marginalia.sources.tables import table
+from marginalia.sources.tables import shared_folder, table
 
 _ITEMS = "SELECT p_partkey, p_type, p_brand, CAST(floor(p_size / 9) AS INTEGER) AS rank, CAST(p_partkey * 7 % 400 AS INTEGER) AS age FROM part"
 _PEOPLE = "SELECT c_custkey, CAST(floor(c_acctbal / 2500) AS INTEGER) AS reader, [CASE c_mktsegment WHEN 'FURNITURE' THEN 'MEDIUM' WHEN 'HOUSEHOLD' THEN 'SMALL' WHEN 'MACHINERY' THEN 'LARGE' ELSE 'PROMO' END, 'Brand#' || c_nationkey] AS topics FROM customer"
@@ -35,8 +36,12 @@ def reading(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("p_partkey")).agg(F.bool_or(done).alias("completed"), F.bool_or(~done).alias("in_progress"))
 
 
+#: A feed ranks so many of the newest items: a limit that is part of what a feed is.
+FEED_CANDIDATES = 200
+
+
 @query(f"""
-WITH RECURSIVE i AS (SELECT * FROM ({_ITEMS}) ORDER BY age, p_partkey LIMIT 60), p AS ({_PEOPLE}), r AS ({_READ}),
+WITH RECURSIVE i AS (SELECT * FROM ({_ITEMS}) ORDER BY age, p_partkey LIMIT 200), p AS ({_PEOPLE}), r AS ({_READ}),
 s AS (SELECT c_custkey, p_partkey, p_type, list_contains(topics, p_type) AS hit, 10 * CAST(list_contains(topics, p_brand) AS INTEGER) AS tag, rank - reader AS delta, age, coalesce(in_progress, false) AS busy
   FROM p CROSS JOIN i LEFT JOIN r USING (c_custkey, p_partkey) WHERE NOT coalesce(completed, false)),
 v AS (SELECT *, CASE WHEN hit THEN 40 ELSE 0 END + tag + {_LEVEL} + {_FRESH} - CASE WHEN busy THEN 15 ELSE 0 END AS score,
@@ -48,8 +53,8 @@ f AS (SELECT c_custkey, p_partkey, score, reason, pos, p_type AS last, 1 AS run,
 SELECT c_custkey, p_partkey, score, reason, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY kept DESC, pos) AS INTEGER) AS place FROM f QUALIFY place <= 12
 """)
 def feed_page(spark: SparkSession, d: str) -> DataFrame:
-    """The first page of every reader's feed: the newest items scored, read ones left out, no more than three of a category in a row."""
-    pairs = ranking.with_candidates(people(spark, d), items(spark, d), [F.col("age"), F.col("p_partkey")], 60)
+    """The first page of every reader's feed: the 200 newest items scored, read ones left out, no more than three of a category in a row."""
+    pairs = ranking.with_candidates(people(spark, d), items(spark, d), [F.col("age"), F.col("p_partkey")], FEED_CANDIDATES)
     rows = pairs.join(reading(spark, d), ["c_custkey", "p_partkey"], "left").where(~F.coalesce("completed", F.lit(False)))
     scored = rows.withColumn("s", ranking.feed_score("topics", "p_type", F.array("p_brand"), F.col("rank") - F.col("reader"), "age", F.coalesce("in_progress", F.lit(False))))
     listed = scored.select("c_custkey", "p_partkey", "p_type", "s.score", "s.reason")
@@ -197,3 +202,37 @@ def training_excerpts(spark: SparkSession, d: str) -> DataFrame:
     """A balanced corpus of excerpts for a classifier."""
     docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null").join(table(spark, d, "labels"), "doc_id")
     return classify.excerpts(docs, "doc_id", "text", "quality", 25).select("doc_id", "quality", F.md5("excerpt").alias("digest"), "position")
+
+
+_SEARCHED = "Than those things, and eren!"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS t FROM documents), w AS (SELECT doc_id, unnest(t) AS word, unnest(range(len(t))) AS i FROM t),
+d AS (SELECT DISTINCT word FROM w UNION SELECT unnest(regexp_extract_all(lower('{_SEARCHED}'), '[a-z]+'))), s AS ({stem_sql("d")}),
+q AS (SELECT DISTINCT stem FROM (SELECT unnest(regexp_extract_all(lower('{_SEARCHED}'), '[a-z]+')) AS word) JOIN s USING (word) WHERE word NOT IN {STOP_WORDS}),
+h AS (SELECT doc_id, i, stem FROM w JOIN s USING (word) JOIN q USING (stem) WHERE word NOT IN {STOP_WORDS}),
+p AS (SELECT *, lag(stem) OVER v AS ps, lag(i) OVER v AS pi FROM h WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, sum(CASE WHEN stem <> ps THEN 0.1 / (i - pi) ELSE 0.0 END) AS rank FROM p GROUP BY 1 HAVING count(DISTINCT stem) = (SELECT count(*) FROM q))
+SELECT doc_id, floor(rank * 1000000 + 0.5) / 1000000 AS rank FROM r
+""")
+def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
+    """All documents that hold every word of a query in any form, ranked, from an index: it is written first, and then only the postings of the query's words are read."""
+    index = search_index.build(table(spark, d, "documents"), shared_folder(spark, "search"))
+    return index.search(spark, _SEARCHED).select("doc_id", m.rnd("rank", 6).alias("rank"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x60\x7B-\x7F]+', ' ', 'g')) || ' ' AS plain FROM documents),
+g AS (SELECT doc_id, lang, substr(plain, i, 3) AS gram FROM (SELECT *, unnest(range(1, length(plain) - 1)) AS i FROM d)),
+l AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) - 1 AS place FROM g WHERE doc_id % 3 > 0 AND lang IS NOT NULL GROUP BY 1, 2 QUALIFY place < 300),
+f AS (SELECT doc_id FROM d WHERE length(text) >= 200 AND len(regexp_extract_all(text, '\S+')) >= 30),
+o AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, gram) - 1 AS place FROM g JOIN f USING (doc_id) GROUP BY 1, 2 QUALIFY place < 300),
+s AS (SELECT o.doc_id, n.lang, CAST(sum(coalesce(abs(l.place - o.place), 300)) AS BIGINT) AS distance FROM o CROSS JOIN (SELECT DISTINCT lang FROM l) n LEFT JOIN l ON l.lang = n.lang AND l.gram = o.gram GROUP BY 1, 2),
+b AS (SELECT doc_id, min({'distance': distance, 'language': lang}) AS b FROM s GROUP BY 1)
+SELECT doc_id, coalesce(b.language, 'und') AS language, b.distance AS distance FROM d LEFT JOIN b USING (doc_id)
+""")
+def language_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every document by ranked trigrams, learnt from two thirds of them."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    return language.identify(docs, language.profiles(docs.where("doc_id % 3 > 0"))).select("doc_id", "language", "distance")
