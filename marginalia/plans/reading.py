@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import blocks, html, lexical, markup, text
 from marginalia.functions.math import rnd
-from marginalia.operators import documents, extract, lexicon
+from marginalia.operators import documents, extract, lexicon, routing
 from marginalia.plans.registry import query
 from marginalia.sources.tables import table
 
@@ -211,3 +211,25 @@ def article_grades(spark: SparkSession, d: str) -> DataFrame:
     p = p.withColumns({"author": html.meta("html", "author"), "published": html.meta("html", "article:published_time"), "lang": F.regexp_extract("html", r'<html[^>]*\blang="([a-z]+)"', 1), "ad": F.lit(None).cast("double")})
     made = documents.grade(p.select("page_id", "text", "html", "url", "words", "author", "published", "lang", "ad"))
     return made.select("page_id", "score", "grade", F.array_join("failed", ",").alias("failed"), "recoverable")
+
+
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '')"
+_RULES = f"""
+SELECT rule, suffix, pattern, category FROM (
+  SELECT DISTINCT 3 * length(h) AS rule, regexp_extract(h, '[^.]+\\.[^.]+$') AS suffix, NULL AS pattern, 'site' AS category FROM (SELECT {_HOST} AS h FROM pages) WHERE length(h) % 3 = 0
+  UNION SELECT DISTINCT 3 * page_id + 1, {_HOST}, '/en/', 'english' FROM pages WHERE page_id % 5 = 0
+  UNION SELECT DISTINCT 3 * page_id + 2, {_HOST}, '[0-9]{{3}}', 'numbered' FROM pages WHERE page_id % 7 = 0)"""
+
+
+@query(f"""
+WITH r AS ({_RULES}), p AS (SELECT page_id, url, {_HOST} AS h FROM pages),
+m AS (SELECT page_id, rule, category, row_number() OVER (PARTITION BY page_id ORDER BY length(suffix) DESC, rule) AS k FROM p JOIN r ON (h = suffix OR ends_with(h, '.' || suffix)) AND (pattern IS NULL OR regexp_matches(url, pattern)))
+SELECT p.page_id, CAST(m.rule AS BIGINT) AS rule, m.category FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.k = 1
+""")
+def page_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The rule that every page falls under, of rules for whole sites and for some addresses of some hosts."""
+    p = pages(spark, d).select("page_id", "url", html.host("url").alias("h"))
+    sites = p.where(F.length("h") % 3 == 0).select((3 * F.length("h")).cast("long").alias("rule"), F.regexp_extract("h", r"[^.]+\.[^.]+$", 0).alias("suffix"), F.lit(None).cast("string").alias("pattern"), F.lit("site").alias("category")).distinct()
+    some = lambda n, k, pattern, name: p.where(F.col("page_id") % n == 0).select((3 * F.col("page_id") + k).alias("rule"), F.col("h").alias("suffix"), F.lit(pattern).alias("pattern"), F.lit(name).alias("category"))
+    rules = sites.unionByName(some(5, 1, "/en/", "english")).unionByName(some(7, 2, "[0-9]{3}", "numbered"))
+    return routing.routed(p, rules)

@@ -219,3 +219,13 @@ def test_page_queries(spark):
         clean = markup.clean(pages[r["page_id"]]["html"], pages[r["page_id"]]["url"])
         assert len(clean) == r["chars"] and assert_clean(clean) == clean
     assert all(0.65 <= r["kept_share"] <= 1 for r in QUERIES["decluttered_pages"](spark, SF).collect())
+
+
+def test_routing(spark):
+    from marginalia.operators import routing
+
+    rules = spark.createDataFrame([(1, "s.org", None, "any"), (2, "s.org", "/news/", "news"), (3, "a.s.org", "/x", "sub"), (4, "t.org", "^$", "never")], "rule int, suffix string, pattern string, category string")
+    rows = [(1, "https://s.org/"), (2, "https://www.s.org/news/1"), (3, "https://a.s.org/x"), (4, "https://a.s.org/y"), (5, "https://t.org/"), (6, "https://notss.org/"), (7, None), (8, "https://B.A.S.ORG/x")]
+    found = routing.routed(spark.createDataFrame(rows, "page_id int, url string"), rules)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "any"), (2, 1, "any"), (3, 3, "sub"), (4, 1, "any"), (5, None, None), (6, None, None), (7, None, None), (8, 3, "sub")]
+    assert routing.routed(spark.createDataFrame(rows, "page_id int, url string"), rules.limit(0)).where("rule is not null").count() == 0
