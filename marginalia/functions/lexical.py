@@ -211,3 +211,13 @@ def namespace(scope, owner, organisation) -> Column:
     """The name space of a tag by its scope."""
     unknown = F.lit("unknown")
     return F.when(col(scope) == "PRIVATE", F.concat(F.lit("user:"), F.coalesce(col(owner).cast("string"), unknown))).when(col(scope) == "ORG", F.concat(F.lit("org:"), F.coalesce(col(organisation).cast("string"), unknown))).otherwise("public")
+
+
+# Words in capitals, and words that begin with one.
+PROPER = r"^(?:[A-Z]{2,}|[A-Z][a-z]+(?:[A-Z][a-z]+)*)$"
+
+
+def proper_nouns(sentence) -> Column:
+    """Words of a sentence that look like names by their capitals, the first word left out, each once in order."""
+    words = F.regexp_extract_all(F.coalesce(col(sentence), F.lit("")), F.lit(r"[A-Za-z']+"), F.lit(0))
+    return F.array_distinct(F.filter(F.slice(words, 2, 100_000_000), lambda w: w.rlike(PROPER)))

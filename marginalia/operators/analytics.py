@@ -123,3 +123,12 @@ def pass_rates(cases: DataFrame, by: str) -> DataFrame:
     """cases: one row each with passed and checks. Counts and pass rate by feature and of all."""
     made = cases.groupingSets([[F.col(by)], []], F.col(by)).agg(F.count("*").alias("cases"), F.sum("checks").alias("checks"), F.count_if("passed").alias("passed"))
     return made.select(F.coalesce(by, F.lit("all")).alias(by), "cases", "checks", "passed", percentage("passed", "cases").alias("rate"))
+
+
+def summary_by(df: DataFrame, dimensions: list[str], sums: list[str], flags: dict[str, Column]) -> DataFrame:
+    """Totals of everything and by each dimension alone, in one pass: dimension ("total" for all), key, count, the sums, and counts of the rows that each flag holds for. Null keys are "unknown"; an empty table gives no rows."""
+    rows = df.select(*[F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias(d) for d in dimensions], *sums, *[c.alias(f"_{k}") for k, c in flags.items()])
+    made = rows.groupingSets([[], *[[d] for d in dimensions]], *dimensions).agg(F.grouping_id(*dimensions).alias("_g"), F.count("*").alias("count"), *[F.sum(c).alias(c) for c in sums], *[F.count_if(f"_{k}").alias(k) for k in flags])
+    n = len(dimensions)
+    which = reduce(lambda w, i: w.when(F.col("_g") == (1 << n) - 1 - (1 << n - 1 - i), dimensions[i]), range(1, n), F.when(F.col("_g") == (1 << n) - 1 - (1 << n - 1), dimensions[0])).otherwise("total")
+    return made.select(which.alias("dimension"), F.coalesce(*dimensions, F.lit("")).alias("key"), "count", *sums, *flags)

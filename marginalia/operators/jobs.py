@@ -124,3 +124,18 @@ def replayed(changes: DataFrame, key: list[str], order: list[str], responses: st
     ended = F.least(last, most)
     rows = rows.withColumns({"state": state, "sent": F.when(held, 0).otherwise(ended - F.col("began") + 1).cast("int"), "ended": F.when(~held, ended).cast("int"), "began": F.when(~held, F.col("began")).cast("int")})
     return rows.drop("_tries", "_failed", "_held")
+
+
+def alerts(errors: DataFrame, fingerprint: str, order: list[str], threshold: int, fatal: Column) -> DataFrame:
+    """Adds occurrences, the number of errors with a row's fingerprint up to and with it in the order given, and alert: at the threshold and above it, and for every fatal error. Errors without a fingerprint are counted together."""
+    from pyspark.sql import Window
+
+    n = F.count("*").over(Window.partitionBy(fingerprint).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return errors.withColumn("occurrences", n).withColumn("alert", F.coalesce(fatal, F.lit(False)) | (F.col("occurrences") >= threshold))
+
+
+def payload_fields(payload, *names: str) -> list[Column]:
+    """Texts at the top of a JSON payload; null for other values, other payloads and broken JSON."""
+    kept = F.try_parse_json(col(payload))
+    typed = lambda n: F.when(F.schema_of_variant(F.try_variant_get(kept, f"$.{n}", "variant")) == "STRING", F.try_variant_get(kept, f"$.{n}", "string"))
+    return [typed(n).alias(n) for n in names]

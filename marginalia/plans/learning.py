@@ -207,3 +207,21 @@ def at_or_below_level(spark: SparkSession, d: str) -> DataFrame:
     kept = rows.where(levels.at_or_below("level", "reader"))
     order = [levels.sort_rank("level"), F.col("c_custkey")]
     return sequences.newest(kept.withColumn("_all", F.lit(1)), ["_all"], order, 200).select("c_custkey", "level", "position")
+
+
+@query("""
+SELECT user_id, count(*) FILTER (WHERE event_type = 'view' AND value < 40) AS weak_words, count(*) FILTER (WHERE event_type = 'click' AND (value IS NULL OR ts <= TIMESTAMP '2024-01-20')) AS due_words,
+  count(*) FILTER (WHERE event_type = 'click') AS saved_words, count(*) FILTER (WHERE event_type = 'signup' AND value < 50) AS low_articles, count(*) FILTER (WHERE event_type = 'signup') AS assessed_articles,
+  floor(avg(value) FILTER (WHERE event_type = 'purchase') * 100 + 0.5) / 100 AS quiz_average, count(*) FILTER (WHERE event_type = 'purchase') AS quiz_attempts,
+  floor(avg(value) FILTER (WHERE event_type = 'error') * 100 + 0.5) / 100 AS spoken_average, count(*) FILTER (WHERE event_type = 'error') AS spoken_attempts FROM events WHERE user_id IS NOT NULL GROUP BY 1
+""")
+def study_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """What a study plan needs to know of each learner: words, articles, quizzes and speech, all from one conditional pass. Averages without an attempt are null."""
+    kind, value = F.col("event_type"), F.col("value")
+    of = lambda k: F.when(kind == k, value)
+    due = value.isNull() | (F.col("ts") <= F.lit("2024-01-20").cast("timestamp_ntz"))
+    return events(spark, d).where("user_id is not null").groupBy("user_id").agg(
+        F.count_if((kind == "view") & (value < 40)).alias("weak_words"), F.count_if((kind == "click") & due).alias("due_words"), F.count_if(kind == "click").alias("saved_words"),
+        F.count_if((kind == "signup") & (value < 50)).alias("low_articles"), F.count_if(kind == "signup").alias("assessed_articles"),
+        rnd(F.avg(of("purchase")), 2).alias("quiz_average"), F.count_if(kind == "purchase").alias("quiz_attempts"), rnd(F.avg(of("error")), 2).alias("spoken_average"), F.count_if(kind == "error").alias("spoken_attempts"),
+    )

@@ -311,3 +311,35 @@ def offline_replay(spark: SparkSession, d: str) -> DataFrame:
     answers = F.transform(F.array(*map(F.lit, range(1, 6))), lambda k: _answer(F.col("event_id") * (k + 3) + k))
     rows = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), "ts", answers.alias("answers"))
     return jobs.replayed(rows, ["user_id", "day"], ["ts", "event_id"], "answers", passes=4).select("event_id", "state", "sent", "began", "ended")
+
+
+@query("""
+WITH l AS (SELECT CAST(l_linenumber AS VARCHAR) AS mode, coalesce(l_returnflag, 'unknown') AS flag, coalesce(l_linestatus, 'unknown') AS status, CAST(l_quantity AS BIGINT) AS quantity, CAST(floor(l_extendedprice) AS BIGINT) AS price, l_discount = 0 AS fallback, l_tax > 0.05 AS cached FROM lineitem),
+g AS (SELECT 'total' AS dimension, '' AS key, * FROM l UNION ALL SELECT 'mode', mode, * FROM l UNION ALL SELECT 'flag', flag, * FROM l UNION ALL SELECT 'status', status, * FROM l)
+SELECT dimension, key, count(*) AS count, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(sum(price) AS BIGINT) AS price, count(*) FILTER (fallback) AS fallback, count(*) FILTER (cached) AS cached FROM g GROUP BY 1, 2
+""")
+def usage_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of all lines and by each of three keys, with filtered counts, in one pass."""
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("mode"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_quantity").cast("long").alias("quantity"), F.floor("l_extendedprice").alias("price"), "l_discount", "l_tax")
+    return analytics.summary_by(rows, ["mode", "flag", "status"], ["quantity", "price"], {"fallback": F.col("l_discount") == 0, "cached": F.col("l_tax") > 0.05})
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type || ':' || coalesce(user_id, -1) AS print, ts, value > 95 AS fatal FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY print ORDER BY ts, event_id) AS occurrences FROM e)
+SELECT event_id, occurrences, occurrences >= 5 OR coalesce(fatal, false) AS alert FROM n
+""")
+def alert_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as an error of a kind and user: how often it was seen by then, and whether it raises an alert."""
+    rows = table(spark, d, "events").select("event_id", F.concat_ws(":", "event_type", F.coalesce("user_id", F.lit(-1))).alias("print"), "ts", (F.col("value") > 95).alias("fatal"))
+    return jobs.alerts(rows, "print", ["ts", "event_id"], 5, F.col("fatal")).select("event_id", "occurrences", "alert")
+
+
+@query(r"""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'a' || user_id END AS article, CASE WHEN event_id % 2 = 0 THEN event_type END AS feature FROM events
+""")
+def job_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Texts out of payloads in which some are numbers or missing, or which are no objects."""
+    made = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"article": 7, "feature": "'), F.col("event_type"), F.lit('"}'))).otherwise(F.concat(F.lit('{"feature": "'), F.col("event_type"), F.lit('", "article": "a'), F.col("user_id"), F.lit('"}')))
+    made = F.when(F.col("event_id") % 2 == 1, F.regexp_replace(made, '"feature": "[a-z]+"', '"feature": null')).otherwise(made)
+    return table(spark, d, "events").select("event_id", *jobs.payload_fields(made, "article", "feature"))

@@ -233,3 +233,14 @@ def page_routes(spark: SparkSession, d: str) -> DataFrame:
     some = lambda n, k, pattern, name: p.where(F.col("page_id") % n == 0).select((3 * F.col("page_id") + k).alias("rule"), F.col("h").alias("suffix"), F.lit(pattern).alias("pattern"), F.lit(name).alias("category"))
     rules = sites.unionByName(some(5, 1, "/en/", "english")).unionByName(some(7, 2, "[0-9]{3}", "numbered"))
     return routing.routed(p, rules)
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.!?\n]+') AS s FROM documents), u AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS sentence FROM t),
+w AS (SELECT doc_id, sentence, regexp_extract_all(s, '[A-Za-z'']+') AS w FROM u)
+SELECT doc_id, CAST(sum(len(list_distinct(list_filter(w[2:], lambda x: regexp_matches(x, '^(?:[A-Z]{2,}|[A-Z][a-z]+(?:[A-Z][a-z]+)*)$'))))) AS BIGINT) AS names FROM w GROUP BY 1
+""")
+def name_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Words of every document's sentences that look like names, each counted once a sentence."""
+    said = F.split("text", r"[.!?\n]+", -1)
+    return docs(spark, d).select("doc_id", F.aggregate(F.transform(said, lambda s: F.size(lexical.proper_nouns(s)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("names"))
