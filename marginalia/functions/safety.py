@@ -125,6 +125,32 @@ def bounded_metadata(c, keys: int = 25, chars: int = 200, depth: int = 3) -> Col
     return F.map_from_entries(cut)
 
 
+def safe_metadata(c, keys: int = 25, items: int = 20, chars: int = 200, depth: int = 3) -> Column:
+    """A JSON object of any shape as JSON that may be stored: a walk over a variant from the outside in, put together from the inside out.
+
+    Each object keeps its first `keys` keys (in the order of their names), each list its first `items` values; values of sensitive
+    keys are masked, texts redacted and cut; a value more than `depth` levels below a value of the top object is "[truncated]".
+    Numbers, booleans and nulls stay. Anything but a valid object (repeated keys are invalid) gives {}.
+    """
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", "$1")
+
+    def members(v: Column, level: int) -> Column:
+        entry = lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.when(e["key"].rlike(SENSITIVE_KEY), F.lit('"[redacted]"')).otherwise(value(e["value"], level)))
+        pairs = F.array_sort(F.map_entries(v.cast("map<string,variant>")), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        return F.concat(F.lit("{"), F.array_join(F.transform(F.slice(pairs, 1, keys), entry), ","), F.lit("}"))
+
+    def value(v: Column, level: int) -> Column:
+        if level > depth:
+            return F.lit('"[truncated]"')
+        kind = F.schema_of_variant(v)
+        listed = F.concat(F.lit("["), F.array_join(F.transform(F.slice(v.cast("array<variant>"), 1, items), lambda x: value(x, level + 1)), ","), F.lit("]"))
+        text = quoted(F.substring(redact(v.cast("string")), 1, chars))
+        return F.when(F.is_variant_null(v), F.lit("null")).when(kind == "STRING", text).when(kind.startswith("OBJECT"), members(v, level + 1)).when(kind.startswith("ARRAY"), listed).otherwise(F.to_json(v))
+
+    bag = F.try_parse_json(col(c))
+    return F.when(F.schema_of_variant(bag).startswith("OBJECT"), members(bag, 0)).otherwise("{}")
+
+
 def tag_rows(c, most: int = 10) -> Column:
     """Valid tags of an answer's array: names that have a slug, each slug once, in order, the first `most`."""
     from marginalia.functions.text import slug

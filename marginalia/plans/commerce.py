@@ -10,7 +10,8 @@ from marginalia.functions.math import age_days, freshness, freshness_points, lev
 from marginalia.operators import analytics, relational, sequences
 from marginalia.plans.registry import query
 from marginalia.sources import sinks
-from marginalia.sources.tables import table
+from marginalia.sources.keyed import KeyedTable
+from marginalia.sources.tables import shared_folder, table
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 NOW = "1998-12-31"
@@ -249,3 +250,34 @@ SELECT 'orders_total{status="' || o_orderstatus || '"} ' || CAST(count(*) AS VAR
 def metric_exposition(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("value"))
     return sinks.exposition(n.select(F.lit("orders_total").alias("name"), F.create_map(F.lit("status"), F.col("o_orderstatus")).alias("labels"), "value"))
+
+
+_SPLIT = """o AS (SELECT o_custkey, o_orderkey, nullif(o_orderstatus, 'P') AS status, o_totalprice AS price, o_orderdate >= TIMESTAMP '1996-01-01' AS late FROM orders),
+l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey, late ORDER BY o_orderkey DESC) = 1), a AS (FROM l WHERE NOT late), b AS (FROM l WHERE late)"""
+
+
+def last_orders(spark: SparkSession, d: str) -> tuple[KeyedTable, DataFrame]:
+    """A keyed table of each customer's last order before a day, and the orders after it as changes."""
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.expr("nullif(o_orderstatus, 'P')").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderdate"))
+    late = F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    kept = KeyedTable(shared_folder(spark, "last_orders"), ("o_custkey",), 16).create(rows.where(~late).drop("o_orderdate"), ["o_orderkey"])
+    return kept, rows.where(late).drop("o_orderdate")
+
+
+@query(f"WITH {_SPLIT} SELECT o_custkey, coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, coalesce(b.status, a.status) AS status, coalesce(b.price, a.price) AS price FROM a FULL JOIN b USING (o_custkey)")
+def keyed_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's last order after an upsert into a table in buckets; a null status keeps the known one."""
+    kept, changes = last_orders(spark, d)
+    kept.upsert(changes, ["o_orderkey"])
+    return kept.rows(spark)
+
+
+@query(f"""
+WITH {_SPLIT}, m AS (SELECT a.*, b.o_orderkey AS o2, b.status AS s2, b.price AS p2, coalesce(b.price < a.price AND a.status = 'O', FALSE) AS free FROM a LEFT JOIN b USING (o_custkey))
+SELECT o_custkey, CASE WHEN free THEN o2 ELSE o_orderkey END AS o_orderkey, CASE WHEN free THEN coalesce(s2, status) ELSE status END AS status, CASE WHEN free THEN p2 ELSE price END AS price FROM m
+""")
+def guarded_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Compare and set: only open orders change, and only to a lower price; nothing is inserted."""
+    kept, changes = last_orders(spark, d)
+    kept.upsert(changes, ["o_orderkey"], guard=lambda old, new: (old["status"] == "O") & (new["price"] < old["price"]), insert=False)
+    return kept.rows(spark)

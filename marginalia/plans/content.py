@@ -182,3 +182,16 @@ SELECT quality, toxic, lang, count(*) AS n FROM labels JOIN documents USING (doc
 """)
 def label_matrix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id").groupBy("quality", "toxic", "lang").agg(F.count("*").alias("n"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS turns, string_agg(CASE WHEN n <= 20 THEN substr(regexp_replace(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+', '[email]', 'g'), '\b[A-Za-z0-9_-]{24,}\b', '[token]', 'g'), 1, 200) END, chr(10) ORDER BY n) AS said FROM t GROUP BY 1)
+SELECT conv_id, least(turns, 20) AS kept, md5(said) AS said_md5, '[redacted]' AS secret, '[truncated]' AS deep FROM c
+""")
+def stored_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of conversations, all turns in it, made fit to be stored: what is left of lists and texts, of a sensitive key and of a deep value."""
+    said = table(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("said")))).alias("turns"))
+    bag = F.to_json(F.struct("turns", F.struct(F.lit("x").alias("api_key")).alias("auth"), F.expr("named_struct('a', named_struct('b', named_struct('c', named_struct('d', turns[0]))))").alias("deep")))
+    safe = said.select("conv_id", F.from_json(safety.safe_metadata(bag), "turns array<struct<said:string>>, auth map<string,string>, deep struct<a:struct<b:struct<c:struct<d:string>>>>").alias("m"))
+    return safe.select("conv_id", F.size("m.turns").cast("long").alias("kept"), F.md5(F.array_join("m.turns.said", "\n")).alias("said_md5"), F.col("m.auth")["api_key"].alias("secret"), F.col("m.deep.a.b.c.d").alias("deep"))
