@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from marginalia.llm.hashing import OTHER_BYTES, prefix_sums, range_hash
+from marginalia.llm.common import mix, ragged
+from marginalia.llm.hashing import BASE, OTHER_BYTES, prefix_sums, range_hash
 
 
 def _slide(values: np.ndarray, width: int, best: np.ufunc, pad: np.uint64) -> np.ndarray:
@@ -53,3 +54,34 @@ def runs(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[
     start, count, double = start[keep], count[keep], double[keep]
     end = start + count + window - 1
     return text[start], start, count, least[start], range_hash(sums, start, end), range_hash(prefix_sums(raw, OTHER_BYTES), start, end), double
+
+
+def parts(raw: np.ndarray, begin: np.ndarray, length: np.ndarray, window: int, gram: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts runs, given by their bytes, into parts whose windows have the first least gram at nearly one offset: within a class of `width` offsets.
+
+    All windows of a class share `window - width + 1` bytes around the gram; equal windows are of one class and share them too.
+    Returns for each part its run, first window in the run, number of windows, the hash of class and shared bytes, and two
+    independent hashes of all its bytes.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(begin):
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
+    text = raw[ragged(begin, length)]
+    sums = prefix_sums(text)
+    first = np.cumsum(length) - length
+    grams = length - gram + 1
+    at = ragged(first, grams)
+    h = range_hash(sums, at, at + gram)
+    least = np.minimum.reduceat(h, np.cumsum(grams) - grams)
+    place = at[h == np.repeat(least, grams)]
+    windows = length - window + 1
+    owner = np.repeat(np.arange(len(begin)), windows)
+    start = ragged(first, windows)
+    anchor = place[np.searchsorted(place, start)]
+    kind = (anchor - start) // width
+    edge = np.flatnonzero(np.concatenate(([True], (np.diff(anchor) != 0) | (np.diff(kind) != 0) | (np.diff(owner) != 0))))
+    count = np.diff(np.append(edge, len(start)))
+    owner, start, shared, kind = owner[edge], start[edge], (anchor - kind * width)[edge], kind[edge]
+    key = mix(range_hash(sums, shared, shared + window - width + 1) + kind.astype(np.uint64) * BASE)
+    end = start + count + window - 1
+    return owner, start - first[owner], count, key, range_hash(sums, start, end), range_hash(prefix_sums(text, OTHER_BYTES), start, end)

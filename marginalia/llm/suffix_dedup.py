@@ -5,6 +5,10 @@ one hash. Runs that are equal as a whole, by two further hashes, are settled onc
 for each distinct one, to the task of their hash. It sorts the suffixes of its stretches by prefix doubling up to the
 window's length; the previous and the next smaller position in suffix order give each start's longest previous factor,
 and the greater ones its longest later factor: a window is a copy where these reach the window's length.
+
+A hash with many unlike stretches, as of a line that many texts share, is cut further: by where in a window the gram stands,
+in classes of a few offsets, and by the bytes that all windows of a class share. Equal windows still meet, and each part of
+a stretch goes to the task of its own class and bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ from marginalia.llm.common import clean, deals, materialise, ragged, raw_text, s
 WINDOW, GRAM = 200, 48
 #: Suffixes are sorted in batches of about so many bytes, cut between hashes.
 BATCH_BYTES = 1 << 19
-REMOVE, SEND, ANSWER = 1, 2, 4
+#: A hash with more bytes of unlike stretches is cut into parts, by classes of so many offsets.
+SPLIT_BYTES, WIDTH = 2 << 20, 16
+REMOVE, SEND, ANSWER, SPLIT = 1, 2, 4, 8
 DOUBLE = np.uint32(1 << 31)
 RUN = (("h", np.uint32), ("f", np.uint64), ("g", np.uint64), ("key", np.int64), ("doc", np.int64), ("start", np.uint32), ("count", np.uint32))
 MARK = (("h", np.uint32), ("key", np.int64), ("start", np.uint32), ("count", np.uint32), ("kind", np.uint8))
@@ -116,15 +122,35 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], end[np.concatenate((first[1:], [True]))]
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
+def split(raw: np.ndarray, begin: np.ndarray, count: np.ndarray, kind: np.ndarray, order: tuple[np.ndarray, ...], window: int, gram: int, width: int, keep_first: bool) -> tuple[np.ndarray, ...]:
+    """The parts of stretches, each of the same bytes sent once: stretch, first window in it, number of windows, hash and kind.
+
+    Parts with the bytes of another are settled here: all but the first in order are copies, and so is the first unless it is to be kept.
+    """
+    owner, at, number, h, f, g = anchors.parts(raw, begin, count + window - 1, window, gram, width)
+    if not len(owner):
+        return owner, at, number, h, np.zeros(0, np.uint8)
+    rank = np.empty(len(begin), np.int64)
+    rank[np.lexsort(order)] = np.arange(len(begin))
+    by = np.lexsort((at, rank[owner], g, f, h))
+    owner, at, number, h, f, g = (x[by] for x in (owner, at, number, h, f, g))
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (f[1:] != f[:-1]) | (g[1:] != g[:-1])))
+    copies = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+    copy = (copies > 1) & ~(new & keep_first)
+    made = np.where(copy, REMOVE, 0) | np.where(new, SEND, 0) | np.where(new & ~copy, kind[owner] & ANSWER, 0)
+    return owner, at, number, h, made.astype(np.uint8)
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary).
 
     Removes each byte of a `window`-byte string that occurs elsewhere in the corpus, overlapping itself included:
     with keep_first only copies after the first in order of doc_id, else all. Strings are judged on the input. A null
     text is empty; texts shorter than the window are kept whole. Repeated rows are copies of each other: where the
     first is to be kept, so are rows that equal it in doc_id and text. A null doc_id comes first. An empty table
-    gives no rows. Only doc_id and text are read.
+    gives no rows. Only doc_id and text are read. split_bytes changes no rows.
     """
+    width = min(WIDTH, max(1, (window - gram) // 4))
     groups = deals(docs.sparkSession, text_bytes(docs))
     rows = clean(docs).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("place", F.pmod("key", F.lit(groups)).cast("int"))
 
@@ -149,6 +175,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: b
         kind = np.where((copies > 1) & ~(new_f & keep_first), REMOVE, 0)
         kind |= np.where(compare & new_f, SEND, 0)
         kind |= np.where(compare & new_f & (kind & REMOVE == 0), ANSWER, 0)
+        sent = np.where(kind & SEND > 0, (count & ~DOUBLE).astype(np.int64) + window - 1, 0)
+        total = np.add.reduceat(sent, np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
+        kind |= np.where((kind & SEND > 0) & (total > split_bytes), SPLIT, 0)
         use = kind > 0
         return blobs(key[use] % groups, MARK, [x[use] for x in (h, key, start, count & ~DOUBLE, kind)])
 
@@ -160,22 +189,33 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: b
         use = (kind & SEND > 0) & (row >= 0)
         h, key, start, count, kind, row = (x[use] for x in (h, key, start, count, kind, row))
         doc = texts.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()[row] if len(row) else np.zeros(0, np.int64)
-        length = count.astype(np.int64) + window - 1
-        to = h.astype(np.int64) % groups
+        count, begin, to = count.astype(np.int64), offsets[row] + start, h.astype(np.int64) % groups
+        cut = kind & SPLIT > 0
+        kind &= ANSWER | SEND
+        if cut.any():
+            owner, at, number, name, made = split(raw, begin[cut], count[cut], kind[cut], (start[cut], key[cut], doc[cut]), window, gram, width, keep_first)
+            owner = np.flatnonzero(cut)[owner]
+            joined = lambda x, more: np.concatenate((x[~cut], more))
+            h, to = joined(h, name.astype(np.uint32)), joined(to, (name >> np.uint64(32)).astype(np.int64) % groups)
+            start, begin = joined(start, (start[owner] + at).astype(np.uint32)), joined(begin, begin[owner] + at)
+            key, doc, count, kind = joined(key, key[owner]), joined(doc, doc[owner]), joined(count, number), joined(kind, made)
+        length = count + window - 1
         out = blobs(to, STRETCH, [h, key, doc, start, length, kind])
         order = np.argsort(to, kind="stable")
         pack = zstandard.ZstdCompressor(level=3)
-        begin = offsets[row] + start
-        data = [pack.compress(raw[ragged(begin[o], length[o])].tobytes()) for o in (order[k] for k in stretches(to[order])[1])]
+        sent = [o[kind[o] & SEND > 0] for o in (order[k] for k in stretches(to[order])[1])]
+        data = [pack.compress(raw[ragged(begin[o], length[o])].tobytes()) for o in sent]
         return out.append_column("bytes", pa.array(data, pa.binary()))
 
     def compare(table: pa.Table) -> pa.Table:
         h, key, doc, start, length, kind = unblob(table, STRETCH)
         raw = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in table.column("bytes")), np.uint8)
-        begin = np.cumsum(length, dtype=np.int64) - length
+        known = kind & REMOVE > 0
+        found = [(key[known], start[known].astype(np.int64), start[known].astype(np.int64) + length[known])]
+        h, key, doc, start, length, kind = (x[kind & SEND > 0] for x in (h, key, doc, start, length.astype(np.int64), kind))
+        begin = np.cumsum(length) - length
         order = np.lexsort((start, key, doc, h))
-        h, key, start, length, kind, begin = (x[order] for x in (h, key, start, length.astype(np.int64), kind, begin))
-        found = []
+        h, key, start, length, kind, begin = (x[order] for x in (h, key, start, length, kind, begin))
         size = np.cumsum(length)
         i = 0
         while i < len(h):
@@ -199,7 +239,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: b
                 place = start[part].astype(np.int64)[who]
                 found.append((key[part][who[head]], (place + at)[head], (place + at)[tail] + window))
             i = j
-        keys, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        keys, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
         return blobs(keys % groups, SPAN, [keys, starts, ends])
 
     def remove(texts: pa.Table, spans: pa.Table) -> pa.Table:

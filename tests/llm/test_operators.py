@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from marginalia.llm import decontamination, jaccard_join, line_dedup, metric_tree, packing, pii, ppm, quality, suffix_dedup, tokens, wavelet
+from marginalia.llm import anchors, decontamination, jaccard_join, line_dedup, metric_tree, packing, pii, ppm, quality, suffix_dedup, tokens, wavelet
 from marginalia.llm.common import shared_path
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,7 +50,8 @@ def test_suffix_dedup(docs, texts, nothing, window, gram):
         spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         rows.append((i, len(t), int(gone.sum()), spans, sha(kept)))
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got(suffix_dedup.dedup(docs, window, gram, keep_first=False), *columns) == want(rows)
+    for split_bytes in (suffix_dedup.SPLIT_BYTES, 0):
+        assert got(suffix_dedup.dedup(docs, window, gram, keep_first=False, split_bytes=split_bytes), *columns) == want(rows)
     assert suffix_dedup.dedup(nothing, window, gram).count() == 0
 
 
@@ -78,7 +79,44 @@ def test_suffix_dedup_of_periods(spark, window, gram, keep_first):
             before.add(w)
         rows.append((i, int(gone.sum()), sha("".join(c for c, g in zip(t, gone) if not g))))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    assert got(suffix_dedup.dedup(docs, window, gram, keep_first), "doc_id", "n_removed", "kept_sha256") == want(rows)
+    for split_bytes in (suffix_dedup.SPLIT_BYTES, 0):
+        assert got(suffix_dedup.dedup(docs, window, gram, keep_first, split_bytes), "doc_id", "n_removed", "kept_sha256") == want(rows)
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_suffix_dedup_of_a_common_line(spark, keep_first):
+    """One line in all documents, with neighbours that are unlike, alike on one side, or alike on both."""
+    r = np.random.default_rng(3)
+    prose = lambda n: bytes(r.integers(97, 123, n, np.uint8)).decode()
+    line, left, right = prose(180), [prose(60) for _ in range(12)], [prose(60) for _ in range(12)]
+    some = lambda known: known[r.integers(len(known))] if r.random() < 0.5 else prose(60)
+    texts = [(i, prose(int(r.integers(0, 80))) + some(left) + line + some(right) + prose(20)) for i in range(300)]
+    seen, rows, before = Counter(t[k : k + 200] for _, t in texts for k in range(len(t) - 199)), [], set()
+    for i, t in texts:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 199):
+            w = t[k : k + 200]
+            if w in before if keep_first else seen[w] > 1:
+                gone[k : k + 200] = True
+            before.add(w)
+        rows.append((i, int(gone.sum()), sha("".join(c for c, g in zip(t, gone) if not g))))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    for split_bytes in (0, 1 << 14):
+        assert got(suffix_dedup.dedup(docs, keep_first=keep_first, split_bytes=split_bytes), "doc_id", "n_removed", "kept_sha256") == want(rows)
+
+
+def test_suffix_dedup_cuts_a_hot_hash():
+    """A line of 180 bytes with unlike neighbours: no part meets many others."""
+    r = np.random.default_rng(4)
+    line = r.integers(97, 123, 180).astype(np.uint8)
+    texts = [np.concatenate((r.integers(97, 123, 150), line, r.integers(97, 123, 150))).astype(np.uint8) for _ in range(2000)]
+    raw, offsets = np.concatenate(texts), np.arange(2001) * 480
+    text, start, count, h, *_ = anchors.runs(raw, offsets, 200, 48)
+    names, sizes = np.unique(h, return_counts=True)
+    hot = h == names[sizes.argmax()]
+    assert sizes.max() > 1500
+    owner, at, number, key, _, _ = anchors.parts(raw, start[hot], count[hot] + 199, 200, 48, 16)
+    assert np.bincount(owner, number).tolist() == count[hot].tolist() and np.unique(key, return_counts=True)[1].max() < 5
 
 
 @pytest.mark.parametrize("window", [5, 8, 20, 40])
