@@ -172,7 +172,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_first: b
         kinds = np.bincount((np.cumsum(new_h) - 1)[new_f])[np.cumsum(new_h) - 1]
         copies = np.bincount(np.cumsum(new_f) - 1)[np.cumsum(new_f) - 1]
         compare = (kinds > 1) | (count & DOUBLE != 0)
-        kind = np.where((copies > 1) & ~(new_f & keep_first), REMOVE, 0)
+        kept = np.zeros(len(h), bool)
+        if keep_first:  # the first of its kind, and the same place of rows that repeat it: spans hold for a key
+            lead = np.flatnonzero(new_f)[np.cumsum(new_f) - 1]
+            kept = (key == key[lead]) & (start == start[lead])
+        kind = np.where((copies > 1) & ~kept, REMOVE, 0)
         kind |= np.where(compare & new_f, SEND, 0)
         kind |= np.where(compare & new_f & (kind & REMOVE == 0), ANSWER, 0)
         sent = np.where(kind & SEND > 0, (count & ~DOUBLE).astype(np.int64) + window - 1, 0)

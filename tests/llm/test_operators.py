@@ -62,6 +62,16 @@ def test_suffix_dedup_keeps_the_first(spark):
     assert kept[1] == f"start {passage}" and len(kept[2]) < 10
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    """Rows that equal the first in id and text are kept with it; an equal text of another id goes."""
+    passage = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, passage), (1, passage), (2, f"{passage} end"), (2, f"{passage} end"), (3, passage), (None, "x"), (None, "x")], "doc_id long, text string")
+    for split_bytes in (suffix_dedup.SPLIT_BYTES, 0):
+        made = got(suffix_dedup.dedup(docs, split_bytes=split_bytes), "doc_id", "n_removed")
+        assert made == [(None, 0), (None, 0), (1, 0), (1, 0), (2, len(passage)), (2, len(passage)), (3, len(passage))]
+    assert {r["n_removed"] for r in suffix_dedup.dedup(docs.where("doc_id < 3"), keep_first=False).collect()} == {len(passage), len(passage) + 4}
+
+
 @pytest.mark.parametrize("window,gram,keep_first", [(40, 12, False), (40, 12, True), (200, 48, False)])
 def test_suffix_dedup_of_periods(spark, window, gram, keep_first):
     """Lines repeated inside one document, of each period from gram to window + 2."""
