@@ -23,18 +23,21 @@ class KeyedTable:
 
     def _dealt(self, df: DataFrame) -> DataFrame:
         h = F.xxhash64(*self.keys)
-        df = df.withColumns({"bucket": F.pmod(h, F.lit(self.buckets)).cast("int"), "_part": F.pmod(F.shiftrightunsigned(h, 40), F.lit(PARTS)).cast("int")})
-        return df
+        return df.withColumns({"bucket": F.pmod(h, F.lit(self.buckets)).cast("int"), "_part": F.pmod(F.shiftrightunsigned(h, 40), F.lit(PARTS)).cast("int")})
+
+    def _last(self, df: DataFrame, order: list[str]) -> DataFrame:
+        """One row a key, put together in each task before the shuffle, so that a key with very many rows is no hot group."""
+        rest = [c for c in df.columns if c not in self.keys]
+        return df.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *rest)).alias("_row")).select(*self.keys, "_row.*").select(*df.columns)
 
     def _grouped(self, df: DataFrame, buckets: int):
-        """Rows by key, after the only shuffle: by bucket and part, which is also how they are written."""
+        """Rows by key, after one shuffle by bucket and part, which is also how they are written."""
         return df.repartition(buckets * PARTS, "bucket", "_part").groupBy("bucket", "_part", *self.keys)
 
     def create(self, rows: DataFrame, order: list[str]) -> KeyedTable:
         """Writes the table; of several rows of one key the greatest by order counts."""
-        rest = [c for c in rows.columns if c not in self.keys]
-        last = self._grouped(self._dealt(rows), self.buckets).agg(F.max_by(F.struct(*rest), F.struct(*order, *rest)).alias("_row"))
-        last.select(*self.keys, "_row.*", "bucket").select(*rows.columns, "bucket").write.partitionBy("bucket").parquet(self.path)
+        last = self._dealt(self._last(rows, order)).repartition(self.buckets * PARTS, "bucket", "_part")
+        last.select(*rows.columns, "bucket").write.partitionBy("bucket").parquet(self.path)
         return self
 
     def rows(self, spark: SparkSession) -> DataFrame:
@@ -53,16 +56,16 @@ class KeyedTable:
         spark = changes.sparkSession
         columns = self.rows(spark).columns
         rest = [c for c in columns if c not in self.keys]
-        changes = self._dealt(changes.select(*columns))
+        changes = self._dealt(self._last(changes.select(*columns), order))
         touched = [r[0] for r in changes.select("bucket").distinct().collect()]
         if not touched:
             return {"inserted": 0, "updated": 0, "refused": 0}
         old = self._dealt(spark.read.parquet(self.path).where(F.col("bucket").isin(touched)))
         row = F.struct(*rest)
-        side = lambda df, new: df.select(*self.keys, "bucket", "_part", F.lit(new).alias("_new"), row.alias("_row"), F.struct(*order, *rest).alias("_order"))
+        side = lambda df, new: df.select(*self.keys, "bucket", "_part", F.lit(new).alias("_new"), row.alias("_row"))
         both = side(old, False).unionByName(side(changes, True))
         met = self._grouped(both, len(touched)).agg(
-            F.first(F.when(~F.col("_new"), F.col("_row")), ignorenulls=True).alias("old"), F.max_by(F.when(F.col("_new"), F.col("_row")), F.when(F.col("_new"), F.col("_order"))).alias("new"),
+            F.first(F.when(~F.col("_new"), F.col("_row")), ignorenulls=True).alias("old"), F.first(F.when(F.col("_new"), F.col("_row")), ignorenulls=True).alias("new"),
         )
         known, asked = F.col("old").isNotNull(), F.col("new").isNotNull()
         allowed = F.coalesce(guard(F.col("old"), F.col("new")), F.lit(False)) if guard else F.lit(True)
