@@ -52,6 +52,18 @@ def expectation(members: DataFrame, tasks: DataFrame, done: DataFrame, group: st
     return made.withColumn("rate", F.when(F.col("expected") > 0, rnd(F.col("completed") / F.col("expected") * 100, 1)).otherwise(0.0))
 
 
+def statuses(members: DataFrame, tasks: DataFrame, done: DataFrame, group: str, hit: str, rest: str) -> DataFrame:
+    """group, status and n of every task of every member of a group: hit if the pair is done, else rest. members: group, user; tasks: group, task; done: user, task, each pair once.
+
+    Only done pairs are joined; the others are told from counts, so that members and tasks never meet as pairs.
+    """
+    given = members.groupBy(group).agg(F.count("*").alias("_m")).join(tasks.groupBy(group).agg(F.count("*").alias("_t")), group)
+    made = done.select("user", "task").join(tasks, "task").join(members, [group, "user"]).groupBy(group).agg(F.count("*").alias("_d"))
+    both = given.join(made, group, "left").select(group, (F.col("_m") * F.col("_t")).alias("_all"), F.coalesce("_d", F.lit(0)).alias("_d"))
+    rows = F.array(F.struct(F.lit(hit).alias("status"), F.col("_d").alias("n")), F.struct(F.lit(rest).alias("status"), (F.col("_all") - F.col("_d")).alias("n")))
+    return both.select(group, F.inline(rows)).where("n > 0")
+
+
 def first_found(df: DataFrame, key: str, candidates: str, table: DataFrame, word: str, columns: list[str]) -> DataFrame:
     """key, position (from 1) and columns of the first of a row's candidates that the table has; rows without one have nulls. table: each word once."""
     tried = df.select(key, F.posexplode(candidates).alias("_at", "_word"))

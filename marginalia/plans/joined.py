@@ -49,10 +49,7 @@ SELECT g AS "group", status, count(*) AS n FROM s GROUP BY 1, 2
 """)
 def assignment_status(spark: SparkSession, d: str) -> DataFrame:
     """Tasks of every member of a group, assigned unless they are done."""
-    members, tasks, done = groups(spark, d)
-    given = members.join(tasks, "group")
-    made = joins.with_default(given, done.withColumn("status", F.lit("DONE")), ["user", "task"], {"status": F.lit("ASSIGNED")})
-    return made.groupBy("group", "status").agg(F.count("*").alias("n"))
+    return joins.statuses(*groups(spark, d), "group", "DONE", "ASSIGNED")
 
 
 @query(f"""
