@@ -57,14 +57,18 @@ def average(df: DataFrame, by: list[str], order: list[str], outcome: Column, alp
     return made.withColumn("confidence", rnd("confidence", 6))
 
 
+#: The longest interval, the largest long: without an end, some 45 reviews in a row that go well would pass it.
+MOST_DAYS = 2**63 - 1
+
+
 def review(state: tuple, grade: str) -> tuple:
-    """One step of spaced repetition (SM-2): interval in days, ease, repetitions."""
+    """One step of spaced repetition (SM-2): interval in days (at most MOST_DAYS), ease, repetitions."""
     interval, ease, reps = state
     if grade == "again":
         return 1, max(1.3, ease - 0.2), 0
     q = {"hard": 3, "good": 4, "easy": 5}[grade]
     ease = max(1.3, ease + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02))
-    interval = 1 if reps == 0 else 6 if reps == 1 else int(interval * ease + 0.5)
+    interval = 1 if reps == 0 else 6 if reps == 1 else min(MOST_DAYS, int(interval * ease + 0.5))
     return (max(1, int(interval * 0.6 + 0.5)) if grade == "hard" else interval), ease, reps + 1
 
 
