@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.math import rnd
+from marginalia.functions.math import exact_mean, rnd
 
 
 def with_parent(df: DataFrame, parent: DataFrame, on: list[str], where: Column, columns: list[str]) -> DataFrame:
@@ -182,7 +182,7 @@ def spilled(df: DataFrame, by: str, n: int, other: str = "other") -> DataFrame:
 
 def average_rounded(c) -> Column:
     """The mean of what isn't null, as a whole number; null where nothing is left."""
-    return rnd(F.avg(c)).cast("long")
+    return rnd(exact_mean(c)).cast("long")
 
 
 def page_counts(page: DataFrame, children: DataFrame, key: str, alias: str) -> DataFrame:
