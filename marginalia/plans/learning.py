@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import levels
-from marginalia.functions.math import LEVELS, crawl_health, rnd, trend
+from marginalia.functions.math import LEVELS, crawl_health, exact_mean, rnd, trend
 from marginalia.operators import learning, lists, sequences
 from marginalia.plans.registry import query
 from marginalia.sources.tables import table
@@ -189,7 +189,7 @@ def weak_areas(spark: SparkSession, d: str) -> DataFrame:
     kind = lambda k: F.col("event_type") == k
     sums = events(spark, d).where("user_id is not null").groupBy("user_id").agg(
         F.count_if(kind("error")).alias("weak"), F.count_if(kind("click")).alias("due"), F.count("*").alias("saved"),
-        F.avg(F.when(kind("purchase"), F.col("value"))).alias("quiz"), F.avg(F.when(kind("view"), F.col("value"))).alias("spoken"),
+        exact_mean(F.when(kind("purchase"), F.col("value"))).alias("quiz"), exact_mean(F.when(kind("view"), F.col("value"))).alias("spoken"),
     )
     areas = levels.weak_areas(sums, weak="weak", due="due", saved="saved", quiz="quiz", spoken="spoken")
     return sequences.newest(areas, ["user_id"], [F.desc("severity"), F.col("area")], 6).select("user_id", "area", rnd("severity", 4).alias("severity"), "position")
