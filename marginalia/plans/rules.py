@@ -113,10 +113,10 @@ SELECT o_orderkey, CASE WHEN ms >= 5000 AND words > 0 THEN floor(least(600.0, gr
 """)
 def reading_measures(spark: SparkSession, d: str) -> DataFrame:
     """Pace, look-ups, progress, scores, placement, decayed confidence, reviews due and model cost of orders as readings."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("long").alias("words"), F.count_if(F.col("l_quantity") > 25).alias("big"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.rint(F.sum("l_quantity")).cast("long").alias("words"), F.count_if(F.col("l_quantity") > 25).alias("big"))
     key = F.col("o_orderkey")
     rows = table(spark, d, "orders").join(lines, key == F.col("l_orderkey")).select(
-        "o_orderkey", "lines", "words", "big", F.round("o_totalprice").cast("long").alias("ms"), (F.col("big") / F.col("lines")).alias("share"), (key % 200).alias("days"),
+        "o_orderkey", "lines", "words", "big", F.rint("o_totalprice").cast("long").alias("ms"), (F.col("big") / F.col("lines")).alias("share"), (key % 200).alias("days"),
         F.get(F.array(*map(F.lit, m.LEVELS)), (key % 6).cast("int")).alias("chosen"), F.when(key % 4 == 0, "Large").when(key % 4 == 1, "x-small-2").when(key % 4 == 2, "other").alias("model"),
     )
     percent = m.progress_percent(F.col("days") - 20)
