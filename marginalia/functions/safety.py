@@ -39,7 +39,10 @@ INJECTION = (
     (r"(?i)</?\s*(?:system|instruction|prompt)\s*>", "[…]"),
 )
 # What counts as an address and as a token when texts are redacted.
-EMAIL, LONG_TOKEN = r"[\w.+-]+@[\w-]+\.[\w.-]+", r"\b[A-Za-z0-9_-]{24,}\b"
+EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
+# A word boundary between ASCII characters, in every version of Java: older ones count letters of all languages in \b, but not in \w.
+_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+LONG_TOKEN = _EDGE + r"[A-Za-z0-9_-]{24,}" + _EDGE
 # Fixed value: keys whose values may hold private content.
 SENSITIVE_KEY = r"(?i)(authorization|body|completion|content|cookie|credential|definition|email|example|explanation|key|pass|phrase|prompt|pwd|response|secret|select|sentence|session|text|token|translation|url)"
 

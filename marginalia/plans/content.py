@@ -106,7 +106,7 @@ def quality_grade(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+', '[email]', 'g'), '\b[A-Za-z0-9_-]{24,}\b', '[token]', 'g') AS text FROM documents
 """)
 def redact_text(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", safety.redact("text").alias("text"))
+    return table(spark, d, "documents").select("doc_id", safety.redact("text").alias("text"))
 
 
 @query("SELECT conv_id, turn, " + " || ',' || ".join(f"CASE WHEN regexp_matches(text, '(?i){'|'.join(p)}') THEN '{k}' ELSE '' END" for k, p in safety.MODERATION.items()) + " AS flags FROM conversations")
