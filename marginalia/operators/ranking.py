@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import math as m
@@ -36,6 +36,20 @@ def with_candidates(people: DataFrame, items: DataFrame, order: list, most: int)
     return people.join(F.broadcast(head)).select(*people.columns, F.explode("_items").alias("_item")).select(*people.columns, "_item.*")
 
 
+def spare(n: int, taken: Column) -> Column:
+    """How long a list must be so that n are left when `taken` of them are passed over; in few steps, so that lists can be shared."""
+    return (n + F.pow(F.lit(4.0), F.greatest(F.lit(1.0), F.ceil(F.log(4.0, F.greatest(taken, F.lit(1))))))).cast("int")
+
+
+def within_bounds(df: DataFrame, by: list[str], need: str, low: Column, high: Column) -> DataFrame:
+    """The rows that can be among a key's first `need` by a score between low and high: those whose high reaches the need-th largest low. Scores are rounded, so a key has few lows, which are counted."""
+    rows = df.withColumns({"_low": low, "_high": high})
+    counts = rows.groupBy(*by, need, "_low").agg(F.count("*").alias("_n"))
+    above = F.sum("_n").over(Window.partitionBy(*by).orderBy(F.desc("_low")))
+    floor = counts.withColumn("_above", above).where(F.col("_above") >= F.col(need)).groupBy(*by).agg(F.max("_low").alias("_floor"))
+    return rows.join(floor, by, "left").where(F.col("_floor").isNull() | (F.col("_high") >= F.col("_floor"))).drop("_low", "_high", "_floor")
+
+
 def sourced(branches: dict[str, DataFrame], key: str) -> DataFrame:
     """The union of candidate branches: each key once, with the sorted names of the branches that found it."""
     rows = reduce(DataFrame.unionByName, (df.select(key, F.lit(name).alias("_source")) for name, df in branches.items()))
