@@ -21,10 +21,12 @@ def routed(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str =
     """key, rule and category of every page: that of the rule with the longest suffix of its host whose pattern its address matches; ties go to the smaller rule. Null without one.
 
     rules: rule, suffix, pattern (null: any address), category. A page is looked up once for each of its host's few suffixes, and a pattern is
-    tried only for pages of its own host. Pages with equal keys share the best rule of all of them; a null url has none.
+    tried only for pages of its own host, once for all rules of a suffix that have it. Pages with equal keys share the best rule of all of them; a null url has none.
     """
     asked = pages.select(key, F.col(url).alias("_url"), F.explode(suffixes(host(url))).alias("suffix"))
-    hit = asked.join(rules.select(F.col("suffix"), "rule", "pattern", "category"), "suffix").where(F.col("pattern").isNull() | F.regexp_like("_url", F.col("pattern")))
+    # Of the rules of one suffix and pattern only the smallest can be the best; else a host's pages would meet all of its rules.
+    first = rules.groupBy("suffix", "pattern").agg(F.min_by(F.struct("rule", "category"), F.struct("rule", "category")).alias("_r")).select("suffix", "pattern", "_r.rule", "_r.category")
+    hit = asked.join(first, "suffix").where(F.col("pattern").isNull() | F.regexp_like("_url", F.col("pattern")))
     # Most characters first, then the smallest rule.
     best = hit.groupBy(key).agg(F.min_by(F.struct("rule", "category"), F.struct(-F.length("suffix"), F.col("rule"))).alias("_best"))
     return pages.select(key).join(best, key, "left").select(key, "_best.rule", "_best.category")
