@@ -86,27 +86,35 @@ def stable_partition(df: DataFrame, first: Column, order: list, n: int) -> DataF
     return head.withColumn("position", F.row_number().over(Window.orderBy(F.desc("_match"), *order))).drop("_match")
 
 
-def spread_runs(df: DataFrame, by: list[str], order: list, category: str, most: int = 3) -> DataFrame:
-    """A listing in which no more than `most` rows of a category follow each other; those that would go to the tail, in order. place: the new position in the key's list.
+def spread(rows: Column, kind: str, category: str, most: int = 3, first: int | None = None) -> Column:
+    """An ordered array of rows (of type `kind`) so that no more than `most` of a category follow each other; those that would go to the tail, in order. With `first`, only so many of the result are kept at any time.
 
-    The lists are short heads of a ranking, so each is one array that is folded inside the JVM. Rows without a
-    category are never moved, and rows that are moved don't end a run.
+    Rows without a category are never moved, and rows that are moved don't end a run.
     """
-    position = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    lists = df.withColumn("_at", position).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", *[c for c in df.columns if c not in by]))).alias("_rows"))
-    kind = lists.schema["_rows"].dataType.simpleString()
     start = F.struct(F.array().cast(kind).alias("kept"), F.array().cast(kind).alias("late"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"))
+    room = lambda c: F.lit(True) if first is None else F.size(c) < first
 
     def step(state: Column, row: Column) -> Column:
         name = row[category].cast("string")
         same = name.eqNullSafe(state["last"])
         over = name.isNotNull() & same & (state["run"] >= most)
         return F.struct(
-            F.when(over, state["kept"]).otherwise(F.concat(state["kept"], F.array(row))).alias("kept"),
-            F.when(over, F.concat(state["late"], F.array(row))).otherwise(state["late"]).alias("late"),
+            F.when(~over & room(state["kept"]), F.concat(state["kept"], F.array(row))).otherwise(state["kept"]).alias("kept"),
+            F.when(over & room(state["late"]), F.concat(state["late"], F.array(row))).otherwise(state["late"]).alias("late"),
             F.when(over, state["last"]).otherwise(name).alias("last"),
             F.when(over, state["run"]).when(same, state["run"] + 1).otherwise(1).alias("run"),
         )
 
-    done = lists.select(*by, F.aggregate("_rows", start, step, lambda s: F.concat(s["kept"], s["late"])).alias("_rows"))
+    whole = lambda s: F.concat(s["kept"], s["late"])
+    return F.aggregate(rows, start, step, whole if first is None else lambda s: F.slice(whole(s), 1, first))
+
+
+def spread_runs(df: DataFrame, by: list[str], order: list, category: str, most: int = 3) -> DataFrame:
+    """A listing in which no more than `most` rows of a category follow each other (see spread). place: the new position in the key's list.
+
+    The lists are short heads of a ranking, so each is one array that is folded inside the JVM.
+    """
+    position = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    lists = df.withColumn("_at", position).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", *[c for c in df.columns if c not in by]))).alias("_rows"))
+    done = lists.select(*by, spread(F.col("_rows"), lists.schema["_rows"].dataType.simpleString(), category, most).alias("_rows"))
     return done.select(*by, F.posexplode("_rows").alias("_place", "_row")).select(*by, (F.col("_place") + 1).alias("place"), "_row.*").drop("_at")

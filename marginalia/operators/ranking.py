@@ -30,10 +30,10 @@ def feed_score(topics, category, tags, delta, age, in_progress) -> Column:
     return F.struct(score.alias("score"), reason.alias("reason"))
 
 
-def with_candidates(people: DataFrame, items: DataFrame, order: list, most: int) -> DataFrame:
-    """Every person beside each of the first `most` items: one short list, broadcast as one row. The limit is the feature."""
-    head = items.orderBy(*order).limit(most).agg(F.collect_list(F.struct(*items.columns)).alias("_items"))
-    return people.join(F.broadcast(head)).select(*people.columns, F.explode("_items").alias("_item")).select(*people.columns, "_item.*")
+def with_candidates(people: DataFrame, items: DataFrame, order: list, most: int, alias: str = "candidates") -> DataFrame:
+    """Every person with an array of the first `most` items: one short list, broadcast as one row. The limit is the feature."""
+    head = items.orderBy(*order).limit(most).agg(F.collect_list(F.struct(*items.columns)).alias(alias))
+    return people.join(F.broadcast(head))
 
 
 def spare(n: int, taken: Column) -> Column:
