@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import lexical, text
 from marginalia.functions.math import clamp, rnd
+from marginalia.sources.tables import shared_folder
 
 # Penalties of the bands, and of a rare word that looks like a name.
 PENALTY = {"top1k": 2, "top2k": 12, "top3k": 24, "top5k": 38, "top10k": 58, "academic": 72, "rare": 85}
@@ -37,23 +38,33 @@ def corpus_ranks(docs: DataFrame, most: int = 10_000) -> DataFrame:
 
 def word_bands(words: DataFrame, known: DataFrame) -> DataFrame:
     """word, lemma and band of each distinct raw word: that of its first candidate that is known, else rare. known: word, band."""
-    forms = words.select("word").distinct().withColumn("_c", lexical.candidates("word"))
-    tried = forms.select("word", F.posexplode("_c").alias("_at", "_form"))
-    found = tried.join(known.select(F.col("word").alias("_form"), "band"), "_form").groupBy("word").agg(F.min_by("band", "_at").alias("band"))
-    return forms.join(found, "word", "left").select("word", F.get("_c", F.lit(0)).alias("lemma"), F.coalesce("band", F.lit("rare")).alias("band"))
+    tried = words.select("word").distinct().select("word", F.posexplode_outer(lexical.candidates("word")).alias("_at", "_form"))
+    found = tried.join(known.select(F.col("word").alias("_form"), "band"), "_form", "left").groupBy("word")
+    return found.agg(F.min_by("_form", "_at").alias("lemma"), F.coalesce(F.min_by("band", F.when(F.col("band").isNotNull(), F.col("_at"))), F.lit("rare")).alias("band"))
+
+
+#: Bytes of text whose words are counted in one task.
+DEALT_BYTES = 16 << 20
 
 
 def vocabulary(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
     """vocabulary (0 to 100), technical (words) and n_words of each text.
 
-    Each text's words are counted before they meet the bands, and each distinct word is looked up once. The score is
-    0.7 of the mean penalty of the words and 0.3 of that of the lemmas, each at its highest; 50 without words.
+    Each distinct word is looked up once, and its band is written to the shared folder. Texts are dealt by their key, so that a
+    text's words are counted, given their bands and summed where the text is, and only texts are shuffled; where the distinct words are too
+    many for a broadcast, the counts of words meet them in a shuffle. The score is 0.7 of the mean penalty of the words and
+    0.3 of that of the lemmas, each at its highest; 50 without words.
     """
-    sentences = docs.select(key, F.posexplode(F.transform(text.sentences("text"), text.words)).alias("_s", "_w"))
+    spark = docs.sparkSession
+    path = shared_folder(spark, "bands")
+    word_bands(docs.select(F.explode(text.words("text")).alias("word")), known).write.parquet(path)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = docs.where(F.col(key).isNotNull()).select(key, "text").repartition(1 + size // DEALT_BYTES, key)
+    sentences = dealt.select(key, F.explode(F.transform(text.sentences("text"), text.words)).alias("_w"))
     places = sentences.select(key, F.posexplode("_w").alias("_i", "word"))
-    name = (F.col("_i") > 0) & F.col("word").rlike("^(?:[A-Z]{2,}|[A-Z][a-z]+(?:[A-Z][a-z]+)*)$")
-    counts = places.groupBy(key, "word", name.alias("name")).agg(F.count("*").alias("n"))
-    scored = counts.join(word_bands(counts, known), "word").where(F.col("lemma").isNotNull())
+    counts = places.groupBy(key, "word", (F.col("_i") > 0).alias("_later")).agg(F.count("*").alias("n"))
+    name = F.col("_later") & F.col("word").rlike("^(?:[A-Z]{2,}|[A-Z][a-z]+(?:[A-Z][a-z]+)*)$")
+    scored = counts.join(spark.read.parquet(path), "word").where(F.col("lemma").isNotNull()).withColumn("name", name)
     penalty = F.create_map(*[x for k, v in PENALTY.items() for x in (F.lit(k), F.lit(v))])
     scored = scored.withColumn("_p", F.when((F.col("band") == "rare") & F.col("name"), NAME_PENALTY).otherwise(F.element_at(penalty, F.col("band"))))
     hard = ~F.col("name") & ((F.col("band") == "academic") | ((F.col("band") == "rare") & F.col("lemma").rlike(TECHNICAL)))
