@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -94,29 +97,67 @@ def difficulty(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFr
     return rows.select(key, "score", text.cefr("score").alias("level"), lexile.alias("lexile"), confidence_of(F.col("n_words"), F.col("_sentences"), F.col("score")).alias("confidence"), "vocabulary", "readability", "syntax", "idiom", "length", "n_words")
 
 
+@lru_cache(maxsize=1 << 17)
+def _typed_key(x: str) -> str:
+    """What counts of a typed word: lower case, letters, digits, underscores, and apostrophes and hyphens inside."""
+    return "".join(c for c in x.lower() if c.isalnum() or c in "_'-").strip("'-")
+
+
+def _deltas(masks: list[int], width: int, more: int, less: int) -> Iterator[tuple[int, int, int, int]]:
+    """Of each row of the table of edit distances, by the bits of the columns (Myers): where it is one more and one less than the column before, and than the row above."""
+    full = (1 << width) - 1
+    for m in masks:
+        d = (((m & more) + more) ^ more) | m | less
+        up, down = less | (full & ~(d | more)), more & d
+        right, left = (up << 1 | 1) & full, down << 1 & full
+        more, less = left | (full & ~(d | right)), right & d
+        yield more, less, up, down
+
+
 def word_diff(reference: list[str], typed: list[str]) -> list[tuple[str, str]]:
-    """Labels of an alignment of two word lists with fewest edits: (word, correct, wrong, missing or extra). Later words are matched first, extras before substitutions before gaps."""
-    keys = [[w for w in ((x, "".join(c for c in x.lower() if c.isalnum() or c == "_" or c in "'-").strip("'-")) for x in words) if w[1]] for words in (reference, typed)]
-    a, b = keys
-    cost = [list(range(len(b) + 1))]
-    for i, (_, x) in enumerate(a, 1):
-        row = [i]
-        for j, (_, y) in enumerate(b, 1):
-            row.append(cost[-1][j - 1] if x == y else 1 + min(cost[-1][j - 1], cost[-1][j], row[-1]))
-        cost.append(row)
-    out, i, j = [], len(a), len(b)
+    """Labels of an alignment of two word lists with fewest edits: (word, correct, wrong, missing or extra). Later words are matched first, extras before substitutions before gaps.
+
+    A row of the table of distances is a few integers of one bit a typed word. The alignment is read from the end; of the rows above, one in some is
+    kept, and those between are worked out again as it comes to them.
+    """
+    a, b = ([w for w in ((x, _typed_key(x)) for x in words) if w[1]] for words in (reference, typed))
+    width, step = len(b), isqrt(len(a)) + 1
+    places: dict[str, int] = {}
+    for j, (_, y) in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    masks = [places.get(x, 0) for _, x in a]
+    kept, state = [], ((1 << width) - 1, 0)
+    for at in range(0, len(a), step):
+        kept.append(state)
+        for more, less, _, _ in _deltas(masks[at : at + step], width, *state):
+            state = more, less
+    out, i, j, at, rows = [], len(a), len(b), len(a), []
     while i or j:
-        if i and j and a[i - 1][1] == b[j - 1][1]:
+        if not i:
+            j -= 1
+            out.append((b[j][0], "extra"))
+            continue
+        if i <= at:
+            at = (i - 1) // step * step
+            above = kept[at // step]
+            rows = [(*above, 0, 0), *_deltas(masks[at:i], width, *above)]
+        bit = j - 1
+        if j and masks[i - 1] >> bit & 1:
             i, j = i - 1, j - 1
             out.append((a[i][0], "correct"))
             continue
-        insert = cost[i][j - 1] if j else None
-        delete = cost[i - 1][j] if i else None
-        swap = cost[i - 1][j - 1] if i and j else None
-        if j and (not i or insert <= min(delete, swap)):
+        if not j:
+            i -= 1
+            out.append((a[i][0], "missing"))
+            continue
+        # Costs of the neighbours, less that of the diagonal one.
+        above, row = rows[i - 1 - at], rows[i - at]
+        delete = (above[0] >> bit & 1) - (above[1] >> bit & 1)
+        insert = (row[2] >> bit - 1 & 1) - (row[3] >> bit - 1 & 1) if bit else 1
+        if insert <= min(delete, 0):
             j -= 1
             out.append((b[j][0], "extra"))
-        elif i and j and swap <= min(delete, insert):
+        elif delete >= 0:
             i, j = i - 1, j - 1
             out.append((a[i][0], "wrong"))
         else:
@@ -125,18 +166,28 @@ def word_diff(reference: list[str], typed: list[str]) -> list[tuple[str, str]]:
     return out[::-1]
 
 
+def diff_counts(reference: list[str], typed: list[str]) -> tuple[int, int, int, int]:
+    """How many words are correct, wrong, missing and extra. If one list is the other with words left out, every alignment with fewest edits has the same counts, and none is looked for."""
+    a, b = ([k for k in map(_typed_key, words) if k] for words in (reference, typed))
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    rest = iter(long)
+    if all(w in rest for w in short):
+        return len(short), 0, len(a) - len(short), len(b) - len(short)
+    labels = Counter(label for _, label in word_diff(reference, typed))
+    return labels["correct"], labels["wrong"], labels["missing"], labels["extra"]
+
+
 def dictation(df: DataFrame, key: str, reference: str, typed: str) -> DataFrame:
-    """key, accuracy (whole percent) and counts of correct, wrong, missing and extra words of each dictation. Texts are short; the alignment is a small table each, in Arrow batches."""
+    """key, accuracy (whole percent) and counts of correct, wrong, missing and extra words of each dictation. The alignment is worked out in Arrow batches."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for k, ref, given in frame.itertuples(index=False, name=None):
-                labels = [label for _, label in word_diff((ref or "").split(), (given or "").split())]
-                n = {x: labels.count(x) for x in ("correct", "wrong", "missing", "extra")}
-                total = n["correct"] + n["wrong"] + n["missing"]
-                rows.append((k, 100 if not total else int(n["correct"] / total * 100 + 0.5), *n.values()))
+                n = diff_counts((ref or "").split(), (given or "").split())
+                total = sum(n[:3])
+                rows.append((k, 100 if not total else int(n[0] / total * 100 + 0.5), *n))
             yield pd.DataFrame(rows, columns=[key, "accuracy", "correct", "wrong", "missing", "extra"])
 
     return df.select(key, reference, typed).mapInPandas(run, f"{key} {kind}, accuracy int, correct int, wrong int, missing int, extra int")
