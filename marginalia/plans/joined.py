@@ -186,7 +186,7 @@ def range_overlaps(spark: SparkSession, d: str) -> DataFrame:
 def speech_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of each text's words by those of its lower-cased copy without every seventh, in buckets."""
     words = text.matches("text", "[A-Za-z]+")
-    rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", words.alias("a"), F.filter(words, lambda x, i: i % 7 != 3).alias("b"))
+    rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", words.alias("a")).select("doc_id", "a", F.filter("a", lambda x, i: i % 7 != 3).alias("b"))
     made = joins.aligned(rows, "doc_id", "a", "b")
     return made.groupBy(joins.coverage_bucket(F.col("coverage")).alias("bucket")).agg(F.count("*").alias("n"), F.sum("matched").alias("matched"))
 
