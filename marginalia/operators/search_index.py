@@ -20,6 +20,8 @@ from marginalia.operators.ranking import cover_rank
 WORD = "[a-z]+"
 #: Files of a bucket of postings: a frequent word's documents are dealt over so many.
 PARTS = 4
+#: Bytes of text whose places are gathered in one task.
+DEALT_BYTES = 16 << 20
 
 
 def bucket(c, buckets: int) -> Column:
@@ -64,12 +66,17 @@ class SearchIndex:
         return held.where(F.col("n") == len(terms)).select("doc_id", cover_rank("places", list(terms)).alias("rank"))
 
 
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, word and the word's places. Texts are dealt by their key, so a document's places are gathered where it is and no token is shuffled."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    dealt = docs.select(F.col(key).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t")).repartition(1 + size // DEALT_BYTES, "doc_id")
+    tokens = dealt.select("doc_id", F.posexplode(matches("_t", WORD)).alias("place", "word"))
+    return tokens.where(~F.col("word").isin(*STOP_WORDS)).groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = 64) -> SearchIndex:
     """Writes the index of a table of texts. Null and empty texts have no postings; a row's places are counted from 0; rows that share a key are one document, its places those of all of them."""
-    tokens = docs.select(F.col(key).alias("doc_id"), F.posexplode(matches(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD)).alias("place", "word"))
-    # A document's rows are in one task, so its places are gathered before the shuffle.
-    posted = tokens.where(~F.col("word").isin(*STOP_WORDS)).groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    posted = posted.withColumn("bucket", bucket("word", buckets))
+    posted = postings(docs, key, text).withColumn("bucket", bucket("word", buckets))
     posted.repartition(buckets * PARTS, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).sortWithinPartitions("bucket", "word", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
     index = SearchIndex(path, buckets)
     distinct = index.postings(docs.sparkSession).select("word").distinct().select("word", stem("word").alias("stem"))
